@@ -100,7 +100,7 @@ def bbox_even_split(spark, sf):
           AND e.x1 + (tile_row*20+1e1-e.y1)*(e.x2-e.x1)/(e.y2-e.y1) <= tile_col*20+1e1) % 2 = 1"""))
 def tiles_meeting_areas(spark, sf):
     tiles = fx.dem(spark, sf).select(
-        F.expr("row div 20").alias("tile_row"), F.expr("col div 20").alias("tile_col")
+        F.expr("cast(row div 20 as int)").alias("tile_row"), F.expr("cast(col div 20 as int)").alias("tile_col")
     ).distinct()
     return vector.tiles_meeting(tiles, fx.zone_edges(spark, sf), 20.0, ["k"])
 
@@ -192,10 +192,10 @@ def median_filter(spark, sf):
     return rounded(focal.median3(cells, fx.dem(spark, sf)))
 
 
-@query(sql("""SELECT DISTINCT g.row, g.col FROM obs JOIN g o ON o.id=obs.id, (SELECT unnest(range(-2,3)) AS dr) a, (SELECT unnest(range(-2,3)) AS dc) c
+@query(sql("""SELECT DISTINCT g.row, g.col FROM rc JOIN g o ON o.id=rc.id, (SELECT unnest(range(-2,3)) AS dr) a, (SELECT unnest(range(-2,3)) AS dc) c
     JOIN g ON g.row=o.row+a.dr AND g.col=o.col+c.dc"""))
 def square_dilation(spark, sf):
-    return focal.dilate(fx.observed(spark, sf), 2, fx.grid(spark, sf))
+    return focal.dilate(fx.river_cells(spark, sf), 2, fx.grid(spark, sf))
 
 
 MASK_AB = {"ma": "SELECT id FROM zc WHERE k IN (6,7,11)", "mb": "SELECT id FROM obs",

@@ -76,18 +76,16 @@ PARTS: dict[str, str] = {
           WHEN ts >= TIMESTAMP '2024-01-20 00:00:00' AND ts <= TIMESTAMP '2024-01-28 23:59:59' THEN 'POST' ELSE 'OTHER' END AS period FROM events""",
 }
 
-_WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
-
 
 def sql(body: str, **extra: str) -> str:
     """``body`` with the CTEs it names in front, dependencies first."""
     parts = {**PARTS, **extra}
     order: list[str] = []
 
-    def need(text: str, me: str = "") -> None:
+    def need(text: str, open_: tuple[str, ...] = ()) -> None:
         for w in _from_names(text):
-            if w in parts and w != me and w not in order:
-                need(parts[w], w)
+            if w in parts and w not in open_ and w not in order:
+                need(parts[w], (*open_, w))
                 order.append(w)
 
     need(body)
@@ -102,14 +100,5 @@ def sql(body: str, **extra: str) -> str:
 
 
 def _from_names(text: str) -> list[str]:
-    """Table names: words after FROM or JOIN, and after commas of a FROM list."""
-    names: list[str] = []
-    for m in re.finditer(r"\b(?:FROM|JOIN)\s+([^()]*?)(?=\bWHERE\b|\bON\b|\bGROUP\b|\bJOIN\b|\bUNION\b|\bORDER\b|\bQUALIFY\b|\bLEFT\b|\(|\)|$|\bUSING\b|\bHAVING\b)", text, re.I | re.S):
-        for item in m.group(1).split(","):
-            w = _WORD.search(item)
-            if w:
-                names.append(w.group(0))
-    # A list that goes on after a parenthesised item: ") alias, name".
-    for m in re.finditer(r"\)\s*\w*\s*(?:\([^)]*\))?\s*,\s*([A-Za-z_]\w*)", text):
-        names.append(m.group(1))
-    return names
+    """Table names: words after FROM, JOIN or a comma, when no dot follows."""
+    return re.findall(r"(?:\bFROM\s|\bJOIN\s|,)\s*([A-Za-z_]\w*)\b(?!\s*\.)", text, re.I)
