@@ -13,15 +13,15 @@ from floodgrid.operators.grid import Grid
 OFFSETS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
 
 
-def neighbourhood(cells: DataFrame, value: str = "value") -> DataFrame:
+def neighbourhood(cells: DataFrame, value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``nb``: the nine values around each cell, row by row, NULL where absent.
 
     Two sorted passes (along rows, then along columns) instead of nine emitted copies of the
     raster. A row pass also leaves the triple of an absent cell next to a present one, so that
-    diagonal neighbours across a gap are not lost.
+    diagonal neighbours across a gap are not lost. ``keys`` separate several layers of cells.
     """
-    keep = [c for c in cells.columns if c not in ("row", "col")]
-    along = Window.partitionBy("row").orderBy("col")
+    keep = [c for c in cells.columns if c not in ("row", "col", *keys)]
+    along = Window.partitionBy(*keys, "row").orderBy("col")
     v = F.col(value)
     h = (
         cells.withColumn("_pc", F.lag("col").over(along))
@@ -48,9 +48,9 @@ def neighbourhood(cells: DataFrame, value: str = "value") -> DataFrame:
     gap_before = F.col("_pc").isNull() | (F.col("_pc") < F.col("col") - 2)
     before = F.when(gap_before, entry(F.col("col") - 1, none, none, v, absent))
     rows = h.select(
-        "row", F.inline(F.filter(F.array(here, after, before), lambda e: e.isNotNull()))
+        *keys, "row", F.inline(F.filter(F.array(here, after, before), lambda e: e.isNotNull()))
     )
-    down = Window.partitionBy("col").orderBy("row")
+    down = Window.partitionBy(*keys, "col").orderBy("row")
     empty = F.array(none, none, none)
 
     def neighbour_row(shift, delta: int) -> Column:
@@ -61,7 +61,7 @@ def neighbourhood(cells: DataFrame, value: str = "value") -> DataFrame:
         "_dn", neighbour_row(F.lead, 1)
     )
     return full.where(F.col("p").isNotNull()).select(
-        "row", "col", "p.*", F.concat("_up", "t", "_dn").alias("nb")
+        *keys, "row", "col", "p.*", F.concat("_up", "t", "_dn").alias("nb")
     )
 
 
@@ -141,24 +141,30 @@ def hillshade(
     return g.withColumn("shade", F.floor(scaled).cast("int")).drop("nb", "_fill", "_dzdy", "_dzdx")
 
 
-def median3(cells: DataFrame, domain: DataFrame, value: str = "value") -> DataFrame:
-    """3x3 median of the present values for every domain cell; gaps in the domain get filled."""
+def median3(
+    cells: DataFrame, domain: DataFrame, value: str = "value", keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """3x3 median of the present values for every domain cell; gaps in the domain get filled.
+
+    With ``keys`` the domain carries them too: one domain per layer.
+    """
+    at = [*keys, "row", "col"]
     dense = (
-        domain.select("row", "col")
+        domain.select(*at)
         .distinct()
         .withColumn("_in", F.lit(True))
-        .join(cells.select("row", "col", value), ["row", "col"], "full_outer")
+        .join(cells.select(*at, value), at, "full_outer")
     )
     s = F.array_sort(F.filter("nb", lambda x: x.isNotNull()))
     n = F.size("_s")
     mid = (F.get("_s", ((n - 1) / 2).cast("int")) + F.get("_s", (n / 2).cast("int"))) / 2
     return (
-        neighbourhood(dense, value)
+        neighbourhood(dense, value, keys)
         .where("_in")
         .withColumn("_s", s)
         .withColumn(value, mid)
         .where(F.col(value).isNotNull())
-        .select("row", "col", value)
+        .select(*at, value)
     )
 
 

@@ -1,6 +1,6 @@
 """Registered queries; importing the area modules fills the registry."""
 
-from floodgrid.queries import flow_queries, grid_queries, hazard_queries  # noqa: F401
+from floodgrid.queries import flow_queries, grid_queries, hazard_queries, scene_queries  # noqa: F401
 from floodgrid.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

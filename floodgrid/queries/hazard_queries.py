@@ -164,18 +164,18 @@ def column_value_profile(spark, sf):
 
 
 # Squares around suppliers against triangles around customers, both spread by their balances.
-SQ = """SELECT s_suppkey AS a, s_acctbal/2.3e1 AS cx, (s_suppkey % 37)*1e1 AS cy, 9e0+s_nationkey/5e0 AS r FROM supplier"""
-TRI = """SELECT c_custkey AS b, c_acctbal/2.3e1+3e-1 AS cx, (c_custkey % 41)*9e0+1e-1 AS cy, 6e0+c_nationkey/4e0 AS r FROM customer"""
+SQ = """SELECT s_suppkey AS a, s_acctbal/2.3e1 AS cx, (s_suppkey % 37)*1e1 AS cy, 9e0+s_nationkey/5.3e0 AS r FROM supplier"""
+TRI = """SELECT c_custkey AS b, c_acctbal/2.3e1+3e-1 AS cx, (c_custkey % 41)*9e0+1e-1 AS cy, 6e0+c_nationkey/4.1e0 AS r FROM customer"""
 
 
 def _squares_and_triangles(spark, sf):
     s = fx.table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("a"), (F.col("s_acctbal") / 23.0).alias("cx"), ((F.col("s_suppkey") % 37) * 10.0).alias("cy"),
-        (9.0 + F.col("s_nationkey") / 5.0).alias("r"),
+        (9.0 + F.col("s_nationkey") / 5.3).alias("r"),
     )
     c = fx.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("b"), (F.col("c_acctbal") / 23.0 + 0.3).alias("cx"), ((F.col("c_custkey") % 41) * 9.0 + 0.1).alias("cy"),
-        (6.0 + F.col("c_nationkey") / 4.0).alias("r"),
+        (6.0 + F.col("c_nationkey") / 4.1).alias("r"),
     )
 
     def shape(df, key, corners):
