@@ -92,7 +92,7 @@ def _node_kind(v: Column) -> Column:
         .when(s.startswith("ARRAY"), "list")
         .when(s == "STRING", "str")
         .when(s == "BOOLEAN", "bool")
-        .when(s.isin("TINYINT", "SMALLINT", "INT", "BIGINT"), "int")
+        .when(s.isin("TINYINT", "SMALLINT", "INT", "BIGINT") | s.rlike(r"^DECIMAL\(\d+,0\)$"), "int")
         .when(s == "VOID", "null")
         .otherwise("float")
     )
