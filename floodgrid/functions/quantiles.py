@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from floodgrid.runtime import materialize
+
 _CUTS = 64
+# Distinct (group, value) rows up to which one ordered pass is fine even if one group has all.
+ONE_PASS_ROWS = 2_000_000
 
 
 def group_percentiles(
@@ -18,10 +22,11 @@ def group_percentiles(
     """Linear-interpolated percentiles per group: one row per group, one column per name.
 
     The builtin exact ``percentile`` keeps every distinct value of a group in one buffer.
-    Here values are first counted per (group, value) with map-side combine, then cut into
-    slices by mergeable sketches. Slice counts tell which slice holds a wanted rank, and only
-    those slices are ordered, each in its own window. The sketch decides balance only, so the
-    result is exact.
+    Here values are first counted per (group, value) with map-side combine and that table is
+    written, so its size is known. A small table is ordered per group. A large one is cut into
+    slices by mergeable sketches: slice counts tell which slice holds a wanted rank, and only
+    those slices are ordered, each in its own window. The sketch decides balance only, so both
+    ways are exact.
 
     ``few_groups`` says that the keys come from a fixed list (layers, scenarios), which bounds
     the per-group table and lets it be broadcast.
@@ -30,12 +35,51 @@ def group_percentiles(
     if not keys:
         one = df.withColumn("_all", F.lit(0))
         return group_percentiles(one, ["_all"], value, probs, True).drop("_all")
-    hist = (
+    hist = materialize(
         df.select(*keys, v.cast("double").alias("_v"))
         .where(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")
         .agg(F.count("*").alias("_n"))
     )
+    if hist.count() <= ONE_PASS_ROWS:
+        return _in_one_pass(hist, keys, probs)
+    return _in_slices(hist, keys, probs, few_groups)
+
+
+def _rank_slots(probs: dict[str, float], total: Column) -> tuple[list[Column], Column]:
+    """Fractional positions, and an array of the (slot, rank) pairs around each of them."""
+    pos = [F.lit(p) * (total - 1) for p in probs.values()]
+    slots = F.array(
+        *[
+            F.struct(F.lit(2 * i + k).alias("slot"), rank.cast("long").alias("rank"))
+            for i, p in enumerate(pos)
+            for k, rank in enumerate((F.floor(p), F.ceil(p)))
+        ]
+    )
+    return pos, slots
+
+
+def _interpolated(probs: dict[str, float], pos: list[Column]) -> list[Column]:
+    out = []
+    for i, name in enumerate(probs):
+        lo, hi = F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}")
+        out.append((lo + (hi - lo) * (pos[i] - F.floor(pos[i]))).alias(name))
+    return out
+
+
+def _in_one_pass(hist: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    ranked = hist.withColumn("_end", F.sum("_n").over(group.orderBy("_v"))).withColumn("_total", F.sum("_n").over(group))
+    pos, slots = _rank_slots(probs, F.col("_total"))
+    own = F.filter(slots, lambda s: (s["rank"] < F.col("_end")) & (s["rank"] >= F.col("_end") - F.col("_n")))
+    hit = ranked.select(*keys, "_v", "_total", F.inline(own))
+    picked = hit.groupBy(*keys, "_total").agg(
+        *[F.max(F.when(F.col("slot") == s, F.col("_v"))).alias(f"_s{s}") for s in range(2 * len(probs))]
+    )
+    return picked.select(*keys, *_interpolated(probs, pos))
+
+
+def _in_slices(hist: DataFrame, keys: list[str], probs: dict[str, float], few_groups: bool) -> DataFrame:
     grid = [(i + 1) / (_CUTS + 1) for i in range(_CUTS)]
     cuts = hist.groupBy(*keys).agg(
         F.sum("_n").alias("_total"),
@@ -50,14 +94,7 @@ def group_percentiles(
         Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     )
     bins = bins.withColumn("_before", F.coalesce(before, F.lit(0)))
-    pos = [F.lit(p) * (F.col("_total") - 1) for p in probs.values()]
-    ranks = F.array(
-        *[
-            F.struct(F.lit(2 * i + k).alias("slot"), rank.cast("long").alias("rank"))
-            for i, p in enumerate(pos)
-            for k, rank in enumerate((F.floor(p), F.ceil(p)))
-        ]
-    )
+    pos, ranks = _rank_slots(probs, F.col("_total"))
     wanted = cuts.select(*keys, F.explode(ranks).alias("_w")).select(*keys, "_w.slot", "_w.rank")
     # At most two wanted ranks per probability and group; slices per group are bounded too.
     wanted = wanted.join(bins, keys).where(
@@ -82,12 +119,7 @@ def group_percentiles(
         ]
     )
     out = picked.join(small(cuts.select(*keys, "_total")), keys)
-    cols = []
-    for i, name in enumerate(probs):
-        lo, hi = F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}")
-        frac = pos[i] - F.floor(pos[i])
-        cols.append((lo + (hi - lo) * frac).alias(name))
-    return out.select(*keys, *cols)
+    return out.select(*keys, *_interpolated(probs, pos))
 
 
 def group_stats(

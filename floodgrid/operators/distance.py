@@ -113,3 +113,27 @@ def distance_inside(mask: DataFrame, grid: Grid) -> DataFrame:
     m = mask.select("row", "col").distinct()
     outside = from_rows(mask.sparkSession, grid).join(m, ["row", "col"], "left_anti")
     return distance_to(outside, grid).join(m, ["row", "col"], "left_semi")
+
+
+def square_reach(queries: DataFrame, targets: DataFrame, reach: int, keys: list[str] | None = None) -> DataFrame:
+    """Query rows with ``steps``: the smallest square radius, up to ``reach``, that meets a target.
+
+    Each query looks along the 2 * reach + 1 rows around it for the nearest target to the left
+    and right, which sorted windows give; targets are never copied. No row where none is near.
+    """
+    keys = keys or []
+    at = [*keys, "row", "col"]
+    off = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_d")
+    looks = queries.select(*at, off).select(
+        *keys, (F.col("row") + F.col("_d")).alias("_line"), "col", "_d", F.lit(None).cast("int").alias("_t")
+    )
+    marks = targets.select(*keys, F.col("row").alias("_line"), "col", F.lit(None).cast("int").alias("_d"), F.col("col").alias("_t"))
+    line = Window.partitionBy(*keys, "_line")
+    near = line.orderBy("col").rangeBetween(-reach, 0)
+    far = line.orderBy("col").rangeBetween(0, reach)
+    both = looks.unionByName(marks).withColumn("_a", F.max("_t").over(near)).withColumn("_b", F.min("_t").over(far))
+    gap = F.least(F.col("col") - F.col("_a"), F.col("_b") - F.col("col"))
+    hit = both.where("_d is not null").withColumn("_g", gap).where("_g is not null")
+    return hit.groupBy(*keys, (F.col("_line") - F.col("_d")).alias("row"), "col").agg(
+        F.min(F.greatest(F.abs("_d"), F.col("_g"))).alias("steps")
+    )

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodgrid.operators.focal import dilate
-from floodgrid.operators.grid import Grid
+from floodgrid.operators.distance import square_reach
 from floodgrid.operators.masks import flags
 
 CONFUSION = {"tn": 1, "tp": 2, "fp": 3, "fn": 4}
@@ -123,36 +122,36 @@ def observed_composition(observed: DataFrame, hazard: DataFrame, scenarios: list
 
 
 def positional_tolerance(
-    hazard: DataFrame, observed: DataFrame, grid: Grid, radii: list[int], scenarios: list[str], cell_area: float
+    hazard: DataFrame, observed: DataFrame, radii: list[int], scenarios: list[str], cell_area: float
 ) -> DataFrame:
     """Recall near predictions and precision near observations for square radii.
 
-    All radii go through one keyed dilation.
+    A dilation by r reaches a cell exactly when its square distance is at most r, so one search
+    up to the largest radius serves all radii.
     """
     spark = observed.sparkSession
-    rr = F.explode(F.array(*[F.lit(r) for r in radii])).alias("radius")
+    reach = max(radii)
+    kinds = F.explode(F.array(*[F.lit(s) for s in scenarios])).alias("scenario")
     obs = observed.select("row", "col").distinct()
-    obs_near = dilate(obs.select("row", "col", rr), F.col("radius"), grid, ["radius"])
     pred = hazard.select("scenario", "row", "col")
-    pred_near = dilate(pred.select("scenario", "row", "col", rr), F.col("radius"), grid, ["scenario", "radius"])
-    captured = pred_near.join(obs, ["row", "col"], "left_semi").groupBy("scenario", "radius").agg(
-        F.count("*").alias("captured")
+    found = square_reach(obs.select("row", "col", kinds), pred, reach, ["scenario"])
+    # Observations do not depend on the scenario; predictions of all scenarios ask them at once.
+    spots = pred.groupBy("row", "col").agg(F.collect_set("scenario").alias("_s"))
+    backed = square_reach(spots, obs, reach).join(spots, ["row", "col"]).select(F.explode("_s").alias("scenario"), "steps")
+    counts = lambda df, name: df.groupBy("scenario").agg(
+        *[F.count_if(F.col("steps") <= r).alias(f"{name}{r}") for r in radii]
     )
-    confirmed = pred.join(obs_near, ["row", "col"]).groupBy("scenario", "radius").agg(F.count("*").alias("confirmed"))
     sizes = pred.groupBy("scenario").agg(F.count("*").alias("n_pred"))
-    pairs = F.array(
-        *[F.struct(F.lit(s).alias("scenario"), F.lit(r).alias("radius")) for s in scenarios for r in radii]
-    )
-    every = spark.range(1).select(F.inline(pairs))
-    n_obs = obs.agg(F.count("*")).scalar()
-    out = (
-        F.broadcast(every)
-        .join(captured, ["scenario", "radius"], "left")
-        .join(confirmed, ["scenario", "radius"], "left")
-        .join(sizes, "scenario", "left")
-        .fillna(0)
-        .withColumn("n_obs", n_obs)
+    every = F.broadcast(spark.range(1).select(kinds))
+    wide = every.join(counts(found, "a"), "scenario", "left").join(counts(backed, "b"), "scenario", "left")
+    wide = wide.join(sizes, "scenario", "left").fillna(0).withColumn("n_obs", obs.agg(F.count("*")).scalar())
+    rows = F.array(
+        *[
+            F.struct(F.lit(r).alias("radius"), F.col(f"a{r}").alias("captured"), F.col(f"b{r}").alias("confirmed"))
+            for r in radii
+        ]
     )
+    out = wide.select("scenario", "n_pred", "n_obs", F.inline(rows))
     km2 = cell_area / 1e6
     out = out.withColumn("recall", F.when(F.col("n_obs") > 0, F.col("captured") / F.col("n_obs"))).withColumn(
         "precision", F.when(F.col("n_pred") > 0, F.col("confirmed") / F.col("n_pred"))

@@ -384,7 +384,7 @@ TOL = {
     round(CASE WHEN prec+rec>0 THEN 2e0*prec*rec/(prec+rec) END,6) AS f1 FROM pt""", **TOL))
 def positional_tolerance(spark, sf):
     return rounded(
-        validate.positional_tolerance(fx.hazard(spark, sf), fx.observed(spark, sf), fx.grid(spark, sf), [0, 1, 2, 3, 5], NAMES, fx.CELL_AREA)
+        validate.positional_tolerance(fx.hazard(spark, sf), fx.observed(spark, sf), [0, 1, 2, 3, 5], NAMES, fx.CELL_AREA)
     )
 
 
