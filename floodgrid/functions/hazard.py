@@ -31,7 +31,7 @@ def flood_index(hr: Column, adjusted: Column) -> Column:
 
 
 def min_max_pm1(x: Column, low: Column, high: Column) -> Column:
-    return 2.0 * ((x - low) / (high - low) - 0.5)
+    return 2.0 * (F.try_divide(x - low, high - low) - 0.5)
 
 
 def fuzzy_large(x: Column, midpoint: float | Column, spread: float | Column) -> Column:

@@ -291,7 +291,7 @@ def network_metrics(
     both = out.join(comp, keys) if keys else out.withColumn("_k", F.lit(0)).join(
         comp.withColumn("_k", F.lit(0)), "_k"
     ).drop("_k")
-    return both.withColumn("largest_fraction", F.col("largest_cells") / F.col("stream_cells"))
+    return both.withColumn("largest_fraction", F.try_divide(F.col("largest_cells"), F.col("stream_cells")))
 
 
 def proximity_agreement(

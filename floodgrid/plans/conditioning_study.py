@@ -29,7 +29,7 @@ def conditioning_scenarios(
         shed = hydro.watersheds(flow, main, grid)
         overlap = masks.overlap_counts(basin, shed).select("iou", "dice")
         near = inside.join(to_rivers, ["row", "col"], "left").agg(
-            F.coalesce(F.count_if(F.col("dist") <= tolerance) / F.count("*"), F.lit(0.0)).alias("streams_near_rivers"),
+            F.coalesce(F.try_divide(F.count_if(F.col("dist") <= tolerance), F.count("*")), F.lit(0.0)).alias("streams_near_rivers"),
             F.count("*").alias("stream_cells"),
             F.max_by("row", F.struct("acc", -F.col("row"), -F.col("col"))).alias("outlet_row"),
             F.max_by("col", F.struct("acc", -F.col("row"), -F.col("col"))).alias("outlet_col"),

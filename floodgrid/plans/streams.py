@@ -67,7 +67,7 @@ def network_overlap(a: DataFrame, b: DataFrame, grid: Grid, tolerance: float) ->
 
     def near(x: DataFrame, y: DataFrame):
         d = x.select("row", "col").join(distance_to(y, grid), ["row", "col"], "left")
-        share = F.count_if(F.col("dist") <= tolerance) / F.count("*")
+        share = F.try_divide(F.count_if(F.col("dist") <= tolerance), F.count("*"))
         return d.agg(F.coalesce(share, F.lit(0.0))).scalar()
 
     counts = masks.overlap_counts(a, b).select(

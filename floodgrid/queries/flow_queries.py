@@ -361,9 +361,9 @@ def sweep_leaders(spark, sf):
     return hydro.sweep_leaders(_agreement(spark, sf, SWEEP_CELLS), "threshold")
 
 
-@query(sql("""SELECT i AS intersection_cells, u AS union_cells, round(i/u,6) AS jaccard, round((SELECT count(*) FILTER (d<=5)/count(*) FROM
+@query(sql("""SELECT i AS intersection_cells, u AS union_cells, round(i/u,6) AS jaccard, round((SELECT coalesce(count(*) FILTER (d<=5)/nullif(count(*),0),0e0) FROM
       (SELECT a.id, sqrt(min((a.row-b.row)*(a.row-b.row)+(a.col-b.col)*(a.col-b.col))) AS d FROM na a, nb_ b GROUP BY 1)),6) AS a_near_b,
-    round((SELECT count(*) FILTER (d<=5)/count(*) FROM (SELECT b.id, sqrt(min((a.row-b.row)*(a.row-b.row)+(a.col-b.col)*(a.col-b.col))) AS d FROM na a, nb_ b GROUP BY 1)),6) AS b_near_a
+    round((SELECT coalesce(count(*) FILTER (d<=5)/nullif(count(*),0),0e0) FROM (SELECT b.id, sqrt(min((a.row-b.row)*(a.row-b.row)+(a.col-b.col)*(a.col-b.col))) AS d FROM na a, nb_ b GROUP BY 1)),6) AS b_near_a
     FROM (SELECT count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS i, count(*) AS u FROM na a FULL JOIN nb_ b ON a.id=b.id)""",
     na="SELECT g.id, g.row, g.col FROM (SELECT cur FROM spaths) s JOIN g ON g.id=s.cur JOIN basin ON basin.id=g.id",
     nb_="SELECT f.id, f.row, f.col FROM flow f JOIN basin ON basin.id=f.id WHERE f.acc>=100", **SEED))

@@ -9,7 +9,7 @@ from floodgrid.functions.rounding import rounded
 from floodgrid.operators import hydro, masks, polygon_overlay, validate, vector, zonal
 from floodgrid.plans import flood_index as fi
 from floodgrid.queries import fixtures as fx
-from floodgrid.queries.flow_queries import _seeds
+from floodgrid.queries.flow_queries import SEED, _seeds
 from floodgrid.queries.registry import query
 from floodgrid.queries.sqlparts import sql
 
@@ -111,9 +111,27 @@ def hazard_scenario_summary(spark, sf):
     return rounded(fi.scenario_summary(fx.hazard(spark, sf), fx.CELL_AREA))
 
 
-@query()
+METHOD = {
+    **SEED,
+    "ch2": "SELECT 'slope_area' AS method, cur AS id FROM spaths UNION ALL SELECT 'area_threshold', id FROM chan",
+    "meth": "SELECT * FROM (VALUES ('slope_area'),('area_threshold')) v(method)",
+    "ml": "SELECT m.method, l.id, l.nxt FROM meth m JOIN links l ON TRUE LEFT JOIN ch2 c ON c.method=m.method AND c.id=l.id WHERE c.id IS NULL",
+    "mp": "SELECT m.method, d.id AS src, d.id AS cur FROM meth m JOIN d8 d ON TRUE UNION ALL SELECT p.method, p.src, l.nxt FROM mp p JOIN ml l ON l.method=p.method AND l.id=p.cur",
+    "mt": "SELECT p.method, p.src AS id, p.cur AS target FROM mp p JOIN ch2 c ON c.method=p.method AND c.id=p.cur",
+    "mh": """SELECT m.method, f.id, f.row, f.col, t.target, CASE WHEN f.z-c.z=0 THEN 1e-5 ELSE f.z-c.z END AS h, pow((c.acc+1e0)*69.381334e0/1e6, 0.354429752e0) AS hr
+        FROM meth m JOIN flow f ON TRUE LEFT JOIN mt t ON t.method=m.method AND t.id=f.id LEFT JOIN flow c ON c.id=t.target""",
+    "mg": "SELECT *, CASE WHEN h>0 THEN ln(hr/h) END AS gfi, hr-h AS wd FROM mh",
+    "mn": "SELECT *, 2e0*((gfi-min(gfi) OVER (PARTITION BY method))/(max(gfi) OVER (PARTITION BY method)-min(gfi) OVER (PARTITION BY method))-5e-1) AS norm FROM mg",
+    "tc": "SELECT method AS threshold, id, row, col, wd FROM mn WHERE norm > -0.53e0",
+    **{k: v for k, v in SENS.items() if k in ("runs", "tadj", "treach", "tlab", "tcell")},
+    "mpr": "SELECT threshold AS method, count(*) AS n, count(*) FILTER (wd<0) AS neg, count(*) FILTER (wd>0) AS pos FROM tcell WHERE n>=8 GROUP BY 1",
+}
+
+
+@query(sql(f"""SELECT a.method, a.analysis_cells, a.resolved_cells, a.negative_h_cells, a.finite_index_cells, p.n AS prone_cells, round(p.n*{KM2},6) AS prone_km2, p.neg AS prone_negative_wd_cells, p.pos AS prone_positive_wd_cells, a.physical_cells
+    FROM (SELECT method, count(*) AS analysis_cells, count(target) AS resolved_cells, count(*) FILTER (h<0) AS negative_h_cells, count(gfi) AS finite_index_cells, count(*) FILTER (wd>0) AS physical_cells FROM mn GROUP BY 1) a JOIN mpr p ON p.method=a.method""", **METHOD))
 def channel_method_comparison(spark, sf):
-    """Two channel definitions through the whole chain; checked by pieces elsewhere."""
+    """Two channel definitions through the whole chain."""
     g = fx.grid(spark, sf)
     seeds = hydro.propagate_downstream(fx.flow(spark, sf), _seeds(spark, sf), g)
     sets = {
@@ -359,7 +377,8 @@ def observed_composition(spark, sf):
 
 
 @query(sql("""SELECT (SELECT count(*) FROM ((SELECT id FROM hc WHERE scenario='P175') EXCEPT (SELECT id FROM hc WHERE scenario='P250')))=0 AS physical_equal,
-    (SELECT count(*) FROM ((SELECT id FROM hc WHERE scenario='M175') EXCEPT (SELECT id FROM hc WHERE scenario='P175')))=0 AS manual_equals_physical"""))
+    (SELECT count(*) FROM ((SELECT id FROM hc WHERE scenario='M175') EXCEPT (SELECT id FROM hc WHERE scenario='P175')))=0
+      AND (SELECT count(*) FROM ((SELECT id FROM hc WHERE scenario='P175') EXCEPT (SELECT id FROM hc WHERE scenario='M175')))=0 AS manual_equals_physical"""))
 def scenario_domain_equivalence(spark, sf):
     h = fx.hazard(spark, sf)
     of = lambda s: h.where(F.col("scenario") == s)

@@ -15,7 +15,13 @@ from floodgrid.queries.registry import query
 from floodgrid.queries.sqlparts import sql
 
 
-@query()
+FILL = """WITH RECURSIVE n8 AS MATERIALIZED (SELECT a.id AS a, b.id AS b, b.z AS z FROM g a, (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) s(dr,dc) JOIN g b ON b.row=a.row+s.dr AND b.col=a.col+s.dc),
+    f(id, w) USING KEY (id) AS (SELECT g.id, g.z AS w FROM g, h WHERE row IN (0, h.hi-1) OR col IN (0,99) UNION
+      SELECT n.b, min(greatest(n.z, f.w)) FROM f JOIN n8 n ON n.a=f.id LEFT JOIN recurring.f o ON o.id=n.b WHERE o.w IS NULL OR greatest(n.z, f.w) < o.w GROUP BY n.b)
+    SELECT g.row, g.col, round(g.z,6) AS value, round(f.w,6) AS filled FROM g JOIN f ON f.id=g.id"""
+
+
+@query(FILL.replace("WITH RECURSIVE", sql("SELECT 1 FROM g, h").rsplit("\n", 1)[0].replace("WITH ", "WITH RECURSIVE ", 1) + ","))
 def depression_filling(spark, sf):
     return rounded(conditioning.fill_depressions(fx.dem(spark, sf), fx.grid(spark, sf)))
 
