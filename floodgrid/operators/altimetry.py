@@ -147,29 +147,63 @@ LON_KEYS = ("lon", "lng", "longitude")
 HEIGHT_KEYS = ("h", "elevation", "elev", "height")
 
 
-def candidate_arrays(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """Arrays that hold points: of objects with position and height fields, or of numeric rows."""
-    nodes = materialize(json_nodes(docs, text, keys))
+def _array_elements(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """(keys, path, pos, fields, nums): elements of every array as named numbers or numeric row."""
+    nodes = json_nodes(docs, text, keys)
     arrays = nodes.where("kind = 'list'").select(*keys, "path", F.posexplode(F.col("v").try_cast("array<variant>")).alias("pos", "e"))
-    obj = F.col("e").try_cast("map<string,variant>")
-    row = F.col("e").try_cast("array<double>")
-    elements = materialize(arrays.select(*keys, "path", "pos", F.map_keys(obj).alias("names"), row.alias("nums")))
+    named = F.transform_values(F.col("e").try_cast("map<string,variant>"), lambda _, v: v.try_cast("double"))
+    named = F.transform_keys(named, lambda k, _: F.lower(k))
+    return materialize(arrays.select(*keys, "path", "pos", named.alias("fields"), F.col("e").try_cast("array<double>").alias("nums")))
+
+
+def _array_candidates(elements: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, kind, rows, names, roles): arrays that hold points and where their values are."""
+    at = [*keys, "path"]
 
-    def has(ks: tuple[str, ...]) -> Column:
-        return F.max(F.arrays_overlap(F.transform("names", F.lower), F.array(*[F.lit(k) for k in ks])))
+    def chosen(names: tuple[str, ...]) -> Column:
+        """The first name that any element of the array has."""
+        return F.coalesce(*[F.max(F.when(F.array_contains(F.map_keys("fields"), n), F.lit(n))) for n in names])
 
     dicts = (
-        elements.where("names is not null")
-        .groupBy(*keys, "path")
-        .agg(F.count("*").alias("rows"), has(LAT_KEYS).alias("a"), has(LON_KEYS).alias("b"), has(HEIGHT_KEYS).alias("c"))
-        .where("rows >= 2 and a and b and c")
-        .select(*keys, "path", F.lit("dict_rows").alias("kind"), "rows")
+        elements.where("fields is not null")
+        .groupBy(*at)
+        .agg(F.count("*").alias("rows"), F.struct(chosen(LAT_KEYS).alias("lat"), chosen(LON_KEYS).alias("lon"), chosen(HEIGHT_KEYS).alias("h")).alias("names"))
+        .where("rows >= 2 and names.lat is not null and names.lon is not null and names.h is not null")
+        .select(*at, F.lit("dict_rows").alias("kind"), "rows", "names")
     )
     numeric = elements.where("nums is not null and size(nums) >= 3 and not exists(slice(nums, 1, 3), x -> x is null)")
-    roles = column_roles(numeric, [*keys, "path"], "nums", "pos")
-    counted = numeric.groupBy(*keys, "path").agg(F.count("*").alias("rows")).where("rows >= 2")
-    nums = counted.join(roles.select(*keys, "path"), [*keys, "path"], "left_semi").select(*keys, "path", F.lit("numeric_rows").alias("kind"), "rows")
-    return dicts.unionByName(nums)
+    roles = column_roles(numeric, at, "nums", "pos").select(*at, F.struct("lat_index", "lon_index", "height_index").alias("roles"))
+    counted = numeric.groupBy(*at).agg(F.count("*").alias("rows")).where("rows >= 2")
+    nums = counted.join(roles, at).select(*at, F.lit("numeric_rows").alias("kind"), "rows", "roles")
+    return dicts.unionByName(nums, allowMissingColumns=True)
+
+
+def candidate_arrays(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """(keys, path, kind, rows): arrays of objects with position and height, or of numeric rows."""
+    return _array_candidates(_array_elements(docs, text, keys), keys).select(*keys, "path", "kind", "rows")
+
+
+def extract_points(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """(keys, path, kind, row_index, lat, lon, height) of the finite rows of all candidate arrays."""
+    elements = _array_elements(docs, text, keys)
+    found = _array_candidates(elements, keys)
+    rows = elements.join(found, [*keys, "path"])
+
+    def value(name: str, index: str) -> Column:
+        by_name = F.try_element_at("fields", F.col(f"names.{name}"))
+        v = F.when(F.col("kind") == "dict_rows", by_name).otherwise(F.get("nums", F.col(f"roles.{index}")))
+        return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+    out = rows.select(
+        *keys,
+        "path",
+        "kind",
+        F.col("pos").alias("row_index"),
+        value("lat", "lat_index").alias("lat"),
+        value("lon", "lon_index").alias("lon"),
+        value("h", "height_index").alias("height"),
+    )
+    return out.where("lat is not null and lon is not null and height is not null")
 
 
 def point_summary(points: DataFrame, keys: list[str]) -> DataFrame:

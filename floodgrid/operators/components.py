@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from floodgrid.functions.ranking import global_rank
 from floodgrid.operators.grid import Grid
 from floodgrid.operators.tilegraph import label_components
+from floodgrid.runtime import materialize
 
 
 def component_sizes(labelled: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -17,11 +18,17 @@ def component_sizes(labelled: DataFrame, keys: list[str] | None = None) -> DataF
 def remove_small(
     mask: DataFrame, grid: Grid, min_pixels: int = 8, keys: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Cells of components with at least ``min_pixels``, and component counts before and after."""
+    """Cells of components with at least ``min_pixels``, and component counts before and after.
+
+    Cells are filtered by their tile piece, so a component with a third of all cells is not one
+    join key; only the short table of pieces meets the component sizes.
+    """
     keys = keys or []
-    labelled = label_components(mask, grid, keys)
-    sizes = component_sizes(labelled, keys)
-    kept = labelled.join(sizes.where(F.col("cells") >= min_pixels), keys + ["label"], "left_semi")
+    labelled = materialize(label_components(mask, grid, keys, with_piece=True))
+    pieces = labelled.groupBy(*keys, "label", "piece").agg(F.count("*").alias("_n"))
+    sizes = pieces.groupBy(*keys, "label").agg(F.sum("_n").alias("cells"))
+    large = pieces.join(sizes.where(F.col("cells") >= min_pixels), keys + ["label"], "left_semi")
+    kept = labelled.join(large.select(*keys, "piece"), keys + ["piece"], "left_semi").drop("piece")
     g = sizes.groupBy(*keys) if keys else sizes
     counts = g.agg(
         F.count("*").alias("components_before"),

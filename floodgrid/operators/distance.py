@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from floodgrid.operators.grid import Grid, from_rows
 
 _STRIP = 32
+_BLOCK = 4096
 
 
 def _nearest_in_row(gap: np.ndarray, width: int, cols: np.ndarray, dx: float) -> np.ndarray:
@@ -54,8 +55,8 @@ def distance_to(
     """(key?, row, col, dist) for every grid cell; no row where the mask of the key is empty.
 
     Columns first (nearest mask row above and below, by windows), then rows (lower envelope,
-    strips of rows as Arrow batches). A group is one column or one strip of rows, so its size is
-    the side of the grid and never the raster.
+    strips of rows as Arrow batches). A group is a block of one column or a strip of rows, so
+    narrow, tall grids are spread as well as square ones.
     """
     keys = [key] if key else []
     dx, dy = abs(grid.res_x), abs(grid.res_y)
@@ -67,14 +68,31 @@ def distance_to(
     both = base.select(*keys, "row", "col", F.lit(None).cast("int").alias("m")).unionByName(
         mask.select(*keys, "row", "col", F.col("row").alias("m"))
     )
-    up = Window.partitionBy(*keys, "col").orderBy("row").rangeBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys, "col").orderBy(F.desc("row")).rangeBetween(
-        Window.unboundedPreceding, 0
+    block = F.floor(F.col("row") / _BLOCK).cast("int")
+    both = both.withColumn("_blk", block)
+    at = [*keys, "col", "_blk"]
+    up = Window.partitionBy(*at).orderBy("row").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*at).orderBy(F.desc("row")).rangeBetween(Window.unboundedPreceding, 0)
+    # What lies above and below each block of a column, from one row per block.
+    inside = mask.select(*keys, "col", block.alias("_blk"), "row").groupBy(*at).agg(
+        F.min("row").alias("_f"), F.max("row").alias("_l")
+    )
+    blocks = base.where(F.col("row") % _BLOCK == 0).select(*keys, "col", block.alias("_blk")).join(inside, at, "left")
+    order = Window.partitionBy(*keys, "col").orderBy("_blk")
+    back = Window.partitionBy(*keys, "col").orderBy(F.desc("_blk"))
+    so_far = Window.unboundedPreceding
+    carried = blocks.select(
+        *at,
+        F.max("_l").over(order.rowsBetween(so_far, -1)).alias("_above"),
+        F.min("_f").over(back.rowsBetween(so_far, -1)).alias("_below"),
     )
     gaps = (
         both.withColumn("_a", F.max("m").over(up))
         .withColumn("_b", F.min("m").over(down))
         .where("m is null")
+        .join(carried, at)
+        .withColumn("_a", F.coalesce("_a", "_above"))
+        .withColumn("_b", F.coalesce("_b", "_below"))
         .select(
             *keys,
             "row",

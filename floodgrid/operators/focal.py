@@ -10,7 +10,21 @@ from pyspark.sql import functions as F
 from floodgrid.functions.quantiles import group_percentiles
 from floodgrid.operators.grid import Grid
 
-OFFSETS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
+# Cells per window along a row or column; longer lines are cut and share two cells at each cut.
+BLOCK = 4096
+
+
+def _with_halo(df: DataFrame, axis: str) -> DataFrame:
+    """Adds ``_blk`` along an axis; the two cells at a cut also appear next door (not ``_own``)."""
+    b, k = F.floor(F.col(axis) / BLOCK), F.pmod(axis, F.lit(BLOCK))
+    near = F.array_compact(
+        F.array(
+            F.struct(b.alias("_blk"), F.lit(True).alias("_own")),
+            F.when(k < 2, F.struct((b - 1).alias("_blk"), F.lit(False).alias("_own"))),
+            F.when(k >= BLOCK - 2, F.struct((b + 1).alias("_blk"), F.lit(False).alias("_own"))),
+        )
+    )
+    return df.select("*", F.inline(near))
 
 
 def neighbourhood(cells: DataFrame, value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -21,13 +35,14 @@ def neighbourhood(cells: DataFrame, value: str = "value", keys: tuple[str, ...]
     diagonal neighbours across a gap are not lost. ``keys`` separate several layers of cells.
     """
     keep = [c for c in cells.columns if c not in ("row", "col", *keys)]
-    along = Window.partitionBy(*keys, "row").orderBy("col")
+    along = Window.partitionBy(*keys, "row", "_blk").orderBy("col")
     v = F.col(value)
     h = (
-        cells.withColumn("_pc", F.lag("col").over(along))
+        _with_halo(cells, "col").withColumn("_pc", F.lag("col").over(along))
         .withColumn("_pv", F.lag(value).over(along))
         .withColumn("_nc", F.lead("col").over(along))
         .withColumn("_nv", F.lead(value).over(along))
+        .where("_own")
     )
     none = F.lit(None).cast("double")
     left = F.when(F.col("_pc") == F.col("col") - 1, F.col("_pv"))
@@ -50,7 +65,8 @@ def neighbourhood(cells: DataFrame, value: str = "value", keys: tuple[str, ...]
     rows = h.select(
         *keys, "row", F.inline(F.filter(F.array(here, after, before), lambda e: e.isNotNull()))
     )
-    down = Window.partitionBy(*keys, "col").orderBy("row")
+    rows = _with_halo(rows, "row")
+    down = Window.partitionBy(*keys, "col", "_blk").orderBy("row")
     empty = F.array(none, none, none)
 
     def neighbour_row(shift, delta: int) -> Column:
@@ -60,7 +76,7 @@ def neighbourhood(cells: DataFrame, value: str = "value", keys: tuple[str, ...]
     full = rows.withColumn("_up", neighbour_row(F.lag, -1)).withColumn(
         "_dn", neighbour_row(F.lead, 1)
     )
-    return full.where(F.col("p").isNotNull()).select(
+    return full.where(F.col("_own") & F.col("p").isNotNull()).select(
         *keys, "row", "col", "p.*", F.concat("_up", "t", "_dn").alias("nb")
     )
 

@@ -37,12 +37,9 @@ def select_datasets(requests: DataFrame, catalog: DataFrame, key: str) -> DataFr
     c = catalog.select(F.col("name").alias("member"), "grp", F.col("pos").alias("_cpos"))
     single = requests.join(c, F.col("name") == F.col("member")).select(key, F.lit(0).alias("_k"), F.col("pos").alias("_p"), F.col("member"))
     group = requests.join(c, (F.col("name") == F.col("grp"))).select(key, F.lit(1).alias("_k"), F.col("_cpos").alias("_p"), "member")
-    # ``all`` is expanded through a constant key: the catalog is the list of dataset kinds.
-    every = (
-        requests.where("name = 'all'").select(key).distinct().withColumn("_one", F.lit(1))
-        .join(c.withColumn("_one", F.lit(1)), "_one")
-        .select(key, F.lit(1).alias("_k"), F.col("_cpos").alias("_p"), "member")
-    )
+    # The catalog is the list of dataset kinds, short enough for one value.
+    whole = c.agg(F.collect_list(F.struct(F.lit(1).alias("_k"), F.col("_cpos").alias("_p"), "member"))).scalar()
+    every = requests.where("name = 'all'").select(key).distinct().withColumn("_c", whole).select(key, F.inline("_c"))
     first = single.unionByName(group).unionByName(every).groupBy(key, "member").agg(F.min(F.struct("_k", "_p")).alias("_o"))
     # One row per dataset kind and request, a short list.
     pos = F.row_number().over(Window.partitionBy(key).orderBy("_o", "member"))

@@ -284,9 +284,13 @@ def graph_components(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def label_components(
-    mask: DataFrame, grid: Grid, keys: Iterable[str] = (), tile: int = TILE
+    mask: DataFrame, grid: Grid, keys: Iterable[str] = (), tile: int = TILE, with_piece: bool = False
 ) -> DataFrame:
-    """8-connected components per key; ``label`` is the smallest cell id of the component."""
+    """8-connected components per key; ``label`` is the smallest cell id of the component.
+
+    ``with_piece`` keeps the label inside the tile too: a key of at most tile x tile cells for
+    joins that a giant component would make lopsided.
+    """
     keys = list(keys)
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in mask.select(*keys).schema] if keys else []
     schema = ", ".join([*fields, "row int", "col int", "label long"])
@@ -315,6 +319,7 @@ def label_components(
     merged = graph_components(edges, keys).select(
         *keys, F.col("node").alias("label"), F.col("label").alias("_to")
     )
+    piece = [F.col("label").alias("piece")] if with_piece else []
     return local.join(merged, keys + ["label"], "left").select(
-        *keys, "row", "col", F.coalesce("_to", "label").alias("label")
+        *keys, "row", "col", *piece, F.coalesce("_to", "label").alias("label")
     )

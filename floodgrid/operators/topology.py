@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodgrid.operators.polygon_overlay import bbox_pairs
+from floodgrid.operators.polygon_overlay import bbox_pairs, in_bands, in_squares
 from floodgrid.operators.vector import edges as make_edges
+from floodgrid.runtime import materialize
 
 
 def ring_table(features: DataFrame, key: str, rings: str = "rings") -> DataFrame:
@@ -109,7 +110,7 @@ def clip_lines(line_boxes: DataFrame, line_edges: DataFrame, region_boxes: DataF
     Lines are cut at every crossing with the polygon's edges; a piece is kept when its mid-point
     is inside. ``region_edges`` carry the polygon key; boxes find the candidate pairs.
     """
-    pairs = bbox_pairs(line_boxes, region_boxes, line_key, region_key, cell)
+    pairs = materialize(bbox_pairs(line_boxes, region_boxes, line_key, region_key, cell))
     o = region_edges.select(region_key, F.col("x1").alias("u1"), F.col("y1").alias("v1"), F.col("x2").alias("u2"), F.col("y2").alias("v2"))
     mine = pairs.join(line_edges.select(line_key, "seq", "x1", "y1", "x2", "y2"), line_key)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -118,7 +119,10 @@ def clip_lines(line_boxes: DataFrame, line_edges: DataFrame, region_boxes: DataF
     t = ((F.col("u1") - F.col("x1")) * ey - (F.col("v1") - F.col("y1")) * ex) / F.when(den != 0, den)
     s = ((F.col("u1") - F.col("x1")) * dy - (F.col("v1") - F.col("y1")) * dx) / F.when(den != 0, den)
     eid = [line_key, region_key, "seq", "x1", "y1", "x2", "y2"]
-    cuts = mine.join(o, region_key).withColumn("t", t).where((s >= 0) & (s <= 1) & (F.col("t") > 0) & (F.col("t") < 1)).select(*eid, "t")
+    near = in_squares(mine, ("x1", "x2"), ("y1", "y2"), cell).join(
+        in_squares(o, ("u1", "u2"), ("v1", "v2"), cell), [region_key, "_bx", "_by"]
+    )
+    cuts = near.withColumn("t", t).where((s >= 0) & (s <= 1) & (F.col("t") > 0) & (F.col("t") < 1)).select(*eid, "t")
     ends = mine.select(*eid, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
     along = Window.partitionBy(*eid).orderBy("t")
     parts = cuts.unionByName(ends).distinct().withColumn("t2", F.lead("t").over(along)).where("t2 is not null")
@@ -131,7 +135,8 @@ def clip_lines(line_boxes: DataFrame, line_edges: DataFrame, region_boxes: DataF
     spans = (my >= F.least("v1", "v2")) & (my < F.greatest("v1", "v2"))
     x_at = F.col("u1") + (my - F.col("v1")) * ex / F.when(ey != 0, ey)
     pid = [line_key, region_key, "seq", "piece", "px", "py", "qx", "qy"]
-    judged = parts.join(o, region_key).groupBy(*pid).agg(F.count_if(spans & (x_at > mx)).alias("_n"))
+    banded = parts.withColumn("_by", F.floor(my / cell).cast("long"))
+    judged = banded.join(in_bands(o, ("v1", "v2"), cell), [region_key, "_by"]).groupBy(*pid).agg(F.count_if(spans & (x_at > mx)).alias("_n"))
     return judged.where("_n % 2 = 1").select(
         line_key, region_key, "seq", "piece", F.col("px").alias("x1"), F.col("py").alias("y1"), F.col("qx").alias("x2"), F.col("qy").alias("y2")
     )

@@ -237,6 +237,12 @@ def outlet_window_audit(spark, sf):
     return hydro.outlet_window_audit(c, [0.5, 1, 2, 5, 10], [0, 1, 2, 4, 8, 16])
 
 
+@query(sql("SELECT row, col, flow.acc FROM flow JOIN basin ON basin.id=flow.id WHERE flow.acc>=20 ORDER BY flow.acc DESC, row, col LIMIT 1"))
+def main_outlet_in_basin(spark, sf):
+    """The largest stream cell anywhere in the basin, beside the windowed audit."""
+    return hydro.top_by_accumulation(hydro.streams(fx.acc(spark, sf), 20, fx.basin(spark, sf)), 1)
+
+
 CLUSTER = {
     "near": "SELECT a.point_id AS a, b.point_id AS b FROM pts a JOIN pts b ON sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 2e0",
     "creach": "SELECT point_id AS src, point_id AS node FROM pts UNION SELECT r.src, near.b FROM creach r JOIN near ON near.a=r.node",

@@ -141,6 +141,16 @@ def overview_pyramid(spark, sf):
     return rounded(gr.overview_pyramid(cells, [2, 4, 8, 16]))
 
 
+@query(sql("SELECT k, row, col FROM g JOIN zc ON zc.id=g.id"))
+def polygon_rasterisation(spark, sf):
+    return vector.rasterize_polygons(fx.zone_edges(spark, sf), fx.grid(spark, sf), ["k"])
+
+
+@query(sql("SELECT row, col FROM rc"))
+def line_rasterisation(spark, sf):
+    return vector.rasterize_lines(fx.river_edges(spark, sf), fx.grid(spark, sf), []).distinct()
+
+
 @query(sql("SELECT k, row, col, round(z,6) AS value FROM g JOIN zc ON zc.id=g.id WHERE k=12"))
 def clip_raster_to_polygon(spark, sf):
     mask = fx.zone_cells(spark, sf).where("k = 12")

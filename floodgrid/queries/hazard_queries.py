@@ -33,13 +33,6 @@ def flood_index_normalised(spark, sf):
     return rounded(fx.index(spark, sf).where("norm is not null").select("id", "norm"))
 
 
-@query(sql("""SELECT row, col FROM gfi WHERE norm > -0.53e0"""))
-def prone_mask(spark, sf):
-    """The prone cells here form components far above the minimum size, so all are kept."""
-    kept, _ = fi.prone_mask(fx.index(spark, sf), fx.grid(spark, sf), min_pixels=1)
-    return kept.select("row", "col")
-
-
 @query(sql("""SELECT count(*) AS analysis_cells, count(target) AS resolved_cells, count(*) FILTER (target IS NULL) AS unresolved_cells,
     count(*) FILTER (h<0) AS negative_h_cells, count(*) FILTER (h=0) AS zero_h_cells, count(gfi) AS finite_index_cells FROM gfi"""))
 def routing_counts(spark, sf):
@@ -78,6 +71,12 @@ SENS = {
 }
 
 
+@query(sql("SELECT row, col FROM tcell WHERE threshold=-0.53e0 AND n>=8", **SENS))
+def prone_mask(spark, sf):
+    kept, _ = fi.prone_mask(fx.index(spark, sf), fx.grid(spark, sf))
+    return kept.select("row", "col")
+
+
 @query(sql(f"""SELECT threshold, cells, round(cells*{KM2},6) AS area_km2, round(1e2*cells/valid,6) AS percent_valid, pos AS positive_wd_cells, neg AS negative_wd_cells, zer AS zero_wd_cells,
     cb AS components_before, ca AS components_after, round(big*{KM2},6) AS largest_km2, round(CASE WHEN cells>0 THEN pos/cells ELSE 0e0 END,6) AS physical_precision,
     round(pos/phys,6) AS physical_recall, round(pos/(cells+phys-pos),6) AS physical_jaccard FROM tsum JOIN tot ON TRUE""", **SENS))
@@ -219,7 +218,7 @@ def _squares_and_triangles(spark, sf):
 def polygon_intersection_areas(spark, sf):
     sq, tri = _squares_and_triangles(spark, sf)
     pairs = polygon_overlay.bbox_pairs(vector.bounding_box(sq, ["a"]), vector.bounding_box(tri, ["b"]), "a", "b", 40.0)
-    out = polygon_overlay.intersection_areas(pairs, vector.edges(sq, ["a"]), vector.edges(tri, ["b"]), "a", "b")
+    out = polygon_overlay.intersection_areas(pairs, vector.edges(sq, ["a"]), vector.edges(tri, ["b"]), "a", "b", 40.0)
     return rounded(out.where("area > 1e-3"), 4)
 
 

@@ -441,8 +441,17 @@ def json_tree_summary(spark, sf):
 
 @query("""SELECT event_id, '$.pts' AS path, 'dict_rows' AS kind, CAST(2 AS BIGINT) AS rows FROM events UNION ALL SELECT event_id, '$.nums', 'numeric_rows', 2 FROM events WHERE event_id % 2 = 0""")
 def candidate_point_arrays(spark, sf):
+    return altimetry.candidate_arrays(_point_documents(spark, sf), "text", ["event_id"])
+
+
+@query("""SELECT event_id, '$.pts' AS path, 'dict_rows' AS kind, 0 AS row_index, 1e0 AS lat, 2e0 AS lon, 3e0 AS height FROM events UNION ALL
+    SELECT event_id, '$.nums', 'numeric_rows', j, CASE j WHEN 0 THEN -9e-1 ELSE -8e-1 END, CASE j WHEN 0 THEN 1004e-1 ELSE 1005e-1 END, CASE j WHEN 0 THEN value ELSE 12e0 END FROM events, (SELECT CAST(unnest([0,1]) AS INT) AS j) WHERE event_id % 2 = 0""")
+def candidate_point_extraction(spark, sf):
+    return altimetry.extract_points(_point_documents(spark, sf), "text", ["event_id"])
+
+
+def _point_documents(spark, sf):
     v = F.col("value").cast("string")
     nums = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("[[-0.9,100.4,"), v, F.lit("],[-0.8,100.5,12.0]]"))).otherwise("[[1.0],[2.0]]")
     text = F.concat(F.lit('{"pts":[{"Lat":1,"lon":2,"h":3},{"lat":4}],"nums":'), nums, F.lit("}"))
-    docs = fx.table(spark, sf, "events").select("event_id", text.alias("text"))
-    return altimetry.candidate_arrays(docs, "text", ["event_id"])
+    return fx.table(spark, sf, "events").select("event_id", text.alias("text"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from floodgrid.operators import distance, hydro, outline
+from floodgrid.operators import distance, focal, hydro, outline
 from floodgrid.operators.focal import dilate, median3, neighbourhood
 from floodgrid.operators.grid import Grid
 from floodgrid.operators.tilegraph import accumulate, first_downstream, graph_components, label_components
@@ -104,7 +104,9 @@ def test_graph_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000}
 
 
-def test_distance_is_exact_and_anisotropic(spark):
+@pytest.mark.parametrize("block", [5, 4096])
+def test_distance_is_exact_and_anisotropic(spark, monkeypatch, block):
+    monkeypatch.setattr(distance, "_BLOCK", block)
     rng = np.random.default_rng(5)
     g = Grid(W, H, res_x=2.5, res_y=-1.5)
     cells = [(int(r), int(c)) for r, c in zip(*np.nonzero(rng.random((H, W)) < 0.03))]
@@ -130,7 +132,9 @@ def test_square_reach_equals_dilation(spark):
         assert {k for k, v in steps.items() if v <= radius} == grown & set(q)
 
 
-def test_neighbourhood_keeps_diagonals_across_gaps(spark, raster):
+@pytest.mark.parametrize("block", [4, 4096])
+def test_neighbourhood_keeps_diagonals_across_gaps(spark, raster, monkeypatch, block):
+    monkeypatch.setattr(focal, "BLOCK", block)
     a = random_surface(9, gaps=0.5)
     p = np.pad(a, 1, constant_values=np.nan)
     for r in neighbourhood(raster(a)).collect():
