@@ -140,7 +140,8 @@ def named_zone_cells(spark, sf) -> DataFrame:
 
 @shared
 def basin(spark, sf) -> DataFrame:
-    return zone_cells(spark, sf).where("k >= 5").select("row", "col").distinct()
+    """The zones of all regions but the first."""
+    return named_zone_cells(spark, sf).where("rk <> 0").select("row", "col").distinct()
 
 
 # Bends of the test rivers (x offset, share of the grid height).

@@ -146,7 +146,7 @@ def first_downstream_channel(spark, sf):
 
 
 POUR = {
-    "pour": "SELECT id FROM flow WHERE flow.acc >= 40 AND row % 10 = 5 AND abs(col-50) <= 20",
+    "pour": "SELECT id FROM rc",
     "plinks": "SELECT l.id, l.nxt FROM links l LEFT JOIN pour c ON c.id=l.id WHERE c.id IS NULL",
     "ppaths": "SELECT id AS src, id AS cur FROM d8 UNION ALL SELECT p.src, l.nxt FROM ppaths p JOIN plinks l ON l.id=p.cur",
 }
@@ -154,8 +154,8 @@ POUR = {
 
 @query(sql("SELECT CAST(src//100 AS INT) AS row, CAST(src%100 AS INT) AS col, cur AS outlet FROM ppaths JOIN pour ON pour.id=cur", **POUR))
 def watershed_by_pour_points(spark, sf):
-    pours = fx.acc(spark, sf).where("acc >= 40 and row % 10 = 5 and abs(col - 50) <= 20")
-    return hydro.watersheds(fx.flow(spark, sf), pours, fx.grid(spark, sf))
+    """The river cells are the pour points."""
+    return hydro.watersheds(fx.flow(spark, sf), fx.river_cells(spark, sf), fx.grid(spark, sf))
 
 
 EXITS = {

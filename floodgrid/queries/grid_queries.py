@@ -151,19 +151,18 @@ def line_rasterisation(spark, sf):
     return vector.rasterize_lines(fx.river_edges(spark, sf), fx.grid(spark, sf), []).distinct()
 
 
-@query(sql("SELECT k, row, col, round(z,6) AS value FROM g JOIN zc ON zc.id=g.id WHERE k=12"))
+@query(sql("SELECT DISTINCT row, col, round(z,6) AS value FROM g JOIN zn ON zn.id=g.id WHERE r_name='ASIA'"))
 def clip_raster_to_polygon(spark, sf):
-    mask = fx.zone_cells(spark, sf).where("k = 12")
-    out = gr.clip_to_mask(fx.dem(spark, sf), mask)
-    return rounded(out.select(F.lit(12).alias("k"), "row", "col", "value"))
+    mask = fx.named_zone_cells(spark, sf).where("r_name = 'ASIA'")
+    return rounded(gr.clip_to_mask(fx.dem(spark, sf), mask))
 
 
-@query(sql("""SELECT row, col FROM g WHERE id IN (SELECT id FROM zc WHERE k=12) OR EXISTS
-    (SELECT 1 FROM zc JOIN g m ON m.id=zc.id WHERE zc.k=12 AND (m.row-g.row)*(m.row-g.row)+(m.col-g.col)*(m.col-g.col) <= 9)"""))
+@query(sql("""SELECT DISTINCT g.row, g.col FROM zn JOIN g m ON m.id=zn.id, (SELECT unnest(range(-3,4)) AS dr) a, (SELECT unnest(range(-3,4)) AS dc) b JOIN g ON g.row=m.row+a.dr AND g.col=m.col+b.dc
+    WHERE zn.r_name='ASIA' AND a.dr*a.dr+b.dc*b.dc <= 9"""))
 def buffer_area_by_distance(spark, sf):
     from floodgrid.operators.distance import distance_to
 
-    mask = fx.zone_cells(spark, sf).where("k = 12").select("row", "col")
+    mask = fx.named_zone_cells(spark, sf).where("r_name = 'ASIA'").select("row", "col")
     return distance_to(mask, fx.grid(spark, sf)).where("dist <= 3.0").select("row", "col")
 
 
@@ -208,12 +207,12 @@ def square_dilation(spark, sf):
     return focal.dilate(fx.river_cells(spark, sf), 2, fx.grid(spark, sf))
 
 
-MASK_AB = {"ma": "SELECT id FROM zc WHERE k IN (6,7,11)", "mb": "SELECT id FROM obs",
+MASK_AB = {"ma": "SELECT id FROM zn WHERE r_name='ASIA'", "mb": "SELECT id FROM obs",
     "fl": "SELECT coalesce(a.id,b.id) AS id, a.id IS NOT NULL AS in_a, b.id IS NOT NULL AS in_b FROM (SELECT DISTINCT id FROM ma) a FULL JOIN mb b ON a.id=b.id"}
 
 
 def _mask_ab(spark, sf):
-    a = fx.zone_cells(spark, sf).where("k in (6, 7, 11)").select("row", "col")
+    a = fx.named_zone_cells(spark, sf).where("r_name = 'ASIA'").select("row", "col")
     return a, fx.observed(spark, sf)
 
 

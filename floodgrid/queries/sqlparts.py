@@ -48,7 +48,7 @@ PARTS: dict[str, str] = {
         ON row+5e-1 >= least(y1,y2) AND row+5e-1 < greatest(y1,y2)""",
     "zc": """SELECT zx.k, g.id FROM g JOIN zx ON zx.row=g.row AND zx.u <= g.col+5e-1 GROUP BY zx.k, g.id HAVING count(*)%2=1""",
     "zn": "SELECT zc.k, zc.id, n_name, n_regionkey AS rk, r_name FROM zc JOIN nation ON n_nationkey=zc.k JOIN region ON r_regionkey=n_regionkey",
-    "basin": "SELECT DISTINCT id FROM zc WHERE k BETWEEN 5 AND 24",
+    "basin": "SELECT DISTINCT zc.id FROM zc JOIN nation ON n_nationkey=zc.k WHERE n_regionkey <> 0",
     "rverts": """SELECT r_regionkey AS k, seq, CAST(r_regionkey AS DOUBLE)*20e0 + dx AS x, fy*h AS y
         FROM region, h, (VALUES (0,10.25e0,2e-2),(1,17.25e0,27e-2),(2,5.25e0,51e-2),(3,14.25e0,74e-2),(4,7.25e0,98e-2)) v(seq,dx,fy)""",
     "re": """SELECT a.k, a.seq, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM rverts a JOIN rverts b ON a.k=b.k AND b.seq=a.seq+1""",
