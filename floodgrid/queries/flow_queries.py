@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from floodgrid.functions.rounding import rounded
-from floodgrid.operators import components, distance, hydro, masks, vector
+from floodgrid.operators import components, distance, hydro, vector
 from floodgrid.operators.tilegraph import label_components
 from floodgrid.plans import streams as sweep
 from floodgrid.queries import fixtures as fx
