@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodgrid.llm import decontaminate
+from floodgrid.llm import decontaminate, token_cache, wavelet
+from floodgrid.runtime import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +72,22 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         decontaminate.items_digest(h["items"]).alias("items_sha256"),
         decontaminate.contaminated().alias("contaminated"),
     )
+
+
+END_OF_DOCUMENT = 2
+
+
+@query()
+def op2_wavelet_token_shards(spark: SparkSession, sf: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    wavelet.write_shards(docs, out, public_tokenizers.path("word_bpe_49k.json"), END_OF_DOCUMENT)
+    return wavelet.read_documents(spark, out)
+
+
+@query()
+def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    cache = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    counted = token_cache.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), cache, keep=["doc_id"])
+    return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
