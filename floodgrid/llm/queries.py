@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodgrid.llm import decontaminate, token_cache, wavelet
+from floodgrid.llm import decontaminate, license_scan, secret_scan, token_cache, wavelet
 from floodgrid.runtime import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,13 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     counted = token_cache.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), cache, keep=["doc_id"])
     return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query()
+def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf, "documents"), keep=["doc_id"])
+
+
+@query()
+def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf, "documents"), keep=["doc_id"])
