@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodgrid.llm import decontaminate, license_scan, secret_scan, token_cache, wavelet
+from floodgrid.llm import decontaminate, license_scan, mixing, secret_scan, token_cache, wavelet
 from floodgrid.runtime import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,47 @@ def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf, "documents"), keep=["doc_id"])
+
+
+_SQL_SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    f"""
+    WITH d AS (
+        SELECT doc_id, source, len({_SQL_SPACE_WORDS})::BIGINT AS size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents
+    ),
+    s AS (
+        SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source
+    ),
+    o AS (
+        SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS ws,
+            coalesce(sum(source_size) OVER (ORDER BY source_size::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below_size,
+            coalesce(sum(w) OVER (ORDER BY source_size::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below_w
+        FROM s
+    ),
+    c AS (SELECT *, (total - 3 * below_size)::DOUBLE * w / (ws - below_w) > 3.0::DOUBLE * source_size AS capped FROM o),
+    t AS (
+        SELECT source, source_size,
+            CASE WHEN capped THEN 3.0::DOUBLE * source_size
+            ELSE (total - 3 * sum(CASE WHEN capped THEN source_size ELSE 0 END) OVER ())::DOUBLE * w / (sum(CASE WHEN capped THEN 0 ELSE w END) OVER ())::DOUBLE
+            END AS target
+        FROM c
+    ),
+    p AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS full_takes FROM t),
+    q AS (SELECT *, CASE WHEN full_takes < 3 AND source_size > 0 THEN target - full_takes * source_size ELSE 0 END AS budget FROM p),
+    g AS (
+        SELECT source, h, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto
+        FROM d WHERE size > 0 GROUP BY source, h
+    ),
+    e AS (
+        SELECT q.source, min(h) AS h, arg_min(words, h) AS words, arg_min(budget - upto + words, h) AS rest
+        FROM g JOIN q ON g.source IS NOT DISTINCT FROM q.source WHERE upto > budget GROUP BY q.source
+    )
+    SELECT d.doc_id, d.size, q.source_size, q.target,
+        (d.size * (full_takes + CASE WHEN e.h IS NULL THEN (budget > 0)::INT WHEN d.h < e.h + (2 * rest > words)::INT THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN e ON e.source IS NOT DISTINCT FROM d.source
+    """
+)
+def op7_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
