@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodgrid.llm import decontaminate, license_scan, mixing, secret_scan, token_cache, wavelet
+from floodgrid.llm import decontaminate, license_scan, mixing, quality_rules, secret_scan, token_cache, wavelet
 from floodgrid.runtime import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,19 @@ _SQL_SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')
 )
 def op7_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return judged.select(
+        "row.doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.round("probability", 4).alias("probability"),
+    )
