@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodgrid.llm import decontaminate, license_scan, mixing, quality_rules, secret_scan, token_cache, wavelet
+from floodgrid.llm import decontaminate, license_scan, mixing, quality_gam, quality_rules, secret_scan, token_cache, wavelet
 from floodgrid.runtime import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,15 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "kept",
         F.round("probability", 4).alias("probability"),
     )
+
+
+@query()
+def op9_quality_gam(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = quality_gam.classify(docs, table(spark, sf, "labels"), keep=["doc_id"])
+    return scored.select(
+        "row.doc_id",
+        quality_gam.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
