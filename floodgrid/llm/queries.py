@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodgrid.llm import decontaminate, license_scan, mixing, quality_gam, quality_rules, secret_scan, token_cache, wavelet
+from floodgrid.llm import decontaminate, license_scan, mixing, quality_gam, quality_rules, secret_scan, token_cache, warc_revisit, wavelet
 from floodgrid.runtime import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,80 @@ def op9_quality_gam(spark: SparkSession, sf: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+# Each page is captured four times, a day apart and a minute after the page before: a response, a
+# revisit, a second response with a new tag (every third page) or a revisit that has only a date,
+# and a last revisit. Every seventh page's first capture is a revisit, so nothing is earlier.
+def warc_records(pages: DataFrame) -> DataFrame:
+    """Capture records derived from whole pages."""
+    shots = pages.selectExpr("page_id", "url", "md5(html) AS digest", "octet_length(html) AS size", "explode(sequence(0, 3)) AS j")
+    full = ((F.col("j") == 0) & (F.col("page_id") % 7 != 0)) | ((F.col("j") == 2) & (F.col("page_id") % 3 == 0))
+    second = (F.col("j") >= 2) & (F.col("page_id") % 3 == 0)
+    tag = F.concat(F.lit('"'), F.col("digest"), F.when(second, "-2").otherwise(""), F.lit('"'))
+    tag = F.when(~full & (F.col("page_id") % 5 == 0), F.concat(F.lit("W/"), tag)).when(~full & (F.col("page_id") % 11 == 0), "stale").otherwise(tag)
+    dated = (F.col("j") == 2) & ~full
+    pairs = F.array(
+        F.struct(F.lit("Content-Length").alias("name"), F.when(full, F.col("size")).otherwise(0).cast("string").alias("value")),
+        F.struct(F.lit("Date").alias("name"), (F.col("page_id") * 60 + F.col("j") * 86400).cast("string").alias("value")),
+        F.struct(F.lit("ETag").alias("name"), F.when(~dated, tag).alias("value")),
+        F.struct(F.lit("Last-Modified").alias("name"), F.when(F.col("page_id") % 2 == 0, (F.col("page_id") % 100).cast("string")).alias("value")),
+        F.struct(F.lit("X-Cache").alias("name"), F.when(~full, F.lit("revalidated")).alias("value")),
+    )
+    return shots.select(
+        (F.col("page_id") * 4 + F.col("j")).alias("record_id"),
+        "url",
+        (F.col("page_id") * 60 + F.col("j") * 86400).alias("date"),
+        F.when(full, "response").otherwise("revisit").alias("kind"),
+        F.when(full, 200).otherwise(304).alias("status"),
+        F.filter(pairs, lambda h: h["value"].isNotNull()).alias("headers"),
+    )
+
+
+_SQL_CANONICAL = r"""
+    CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]')
+    THEN regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+        || CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/'
+           ELSE regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '(.)/+$', '\1') END
+        || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'),
+            lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))), '&'), ''), '')
+    ELSE trim(regexp_replace(url, '#.*$', '')) END
+"""
+
+
+@query(
+    f"""
+    WITH shots AS (
+        SELECT page_id, j, {_SQL_CANONICAL} AS canonical_url, page_id * 4 + j AS record_id, page_id * 60 + j * 86400 AS date,
+            (j = 0 AND page_id % 7 <> 0) OR (j = 2 AND page_id % 3 = 0) AS whole, strlen(html) AS size,
+            '"' || md5(html) || CASE WHEN j >= 2 AND page_id % 3 = 0 THEN '-2' ELSE '' END || '"' AS tag,
+            CASE WHEN page_id % 2 = 0 THEN (page_id % 100)::VARCHAR END AS modified
+        FROM (SELECT page_id, url, html, unnest(range(4)) AS j FROM pages)
+    ),
+    r AS (SELECT * FROM shots WHERE whole),
+    v AS (
+        SELECT *, CASE WHEN j = 2 THEN NULL WHEN page_id % 5 = 0 THEN 'W/' || tag WHEN page_id % 11 = 0 THEN 'stale' ELSE tag END AS own,
+        FROM shots WHERE NOT whole
+    ),
+    m AS (
+        SELECT v.*, r.record_id AS response_id, r.tag AS old_tag, r.modified AS old_modified, r.size AS old_size,
+            CASE WHEN r.record_id IS NULL THEN 'no_response'
+                WHEN own IS NOT NULL THEN CASE WHEN regexp_replace(own, '^W/', '') = r.tag THEN 'resolved' ELSE 'changed' END
+                WHEN v.modified IS NOT NULL AND r.modified IS NOT NULL THEN CASE WHEN v.modified = r.modified THEN 'resolved' ELSE 'changed' END
+                ELSE 'unvalidated' END AS outcome
+        FROM v LEFT JOIN LATERAL (
+            SELECT * FROM r WHERE r.canonical_url = v.canonical_url AND r.date < v.date ORDER BY r.date DESC, r.record_id DESC LIMIT 1
+        ) r ON TRUE
+    )
+    SELECT record_id, canonical_url, date, outcome, response_id,
+        CASE WHEN outcome = 'resolved' THEN concat_ws('; ', 'Content-Length: ' || old_size,
+            CASE WHEN own IS NULL THEN 'ETag: ' || old_tag END, CASE WHEN modified IS NULL THEN 'Last-Modified: ' || old_modified END)
+        ELSE 'Content-Length: 0' END
+        || concat('; Date: ', date) || coalesce('; ETag: ' || own, '') || coalesce('; Last-Modified: ' || modified, '') || '; X-Cache: revalidated' AS headers
+    FROM m
+    """
+)
+def op3_warc_revisits(spark: SparkSession, sf: str) -> DataFrame:
+    resolved = warc_revisit.resolve_revisits(warc_records(table(spark, sf, "pages")))
+    text = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "; ")
+    return resolved.withColumn("headers", text)
