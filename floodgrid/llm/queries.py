@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodgrid.llm import decontaminate, license_scan, mixing, quality_gam, quality_rules, secret_scan, token_cache, warc_revisit, wavelet
+from floodgrid.llm import decontaminate, jaccard_join, license_scan, mixing, quality_gam, quality_rules, secret_scan, token_cache, warc_revisit, wavelet
 from floodgrid.runtime import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +250,8 @@ def op3_warc_revisits(spark: SparkSession, sf: str) -> DataFrame:
     resolved = warc_revisit.resolve_revisits(warc_records(table(spark, sf, "pages")))
     text = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "; ")
     return resolved.withColumn("headers", text)
+
+
+@query()
+def op8_jaccard_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.link_classes(table(spark, sf, "documents").select("doc_id", "text"))

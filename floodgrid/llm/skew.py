@@ -1,0 +1,24 @@
+"""Joins in which a few keys may hold a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 200
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, share: int = HOT_SHARE, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``values`` (one row per ``key``).
+
+    Keys with over 1/``share`` of the rows, fewer than ``share`` of them, are joined by broadcast, so
+    their rows stay where they are; all others by shuffle. ``rows`` is read twice, so it should be a
+    written table.
+    """
+    count = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.agg(F.count("*")).first()[0]
+    hot = F.broadcast(count.where((F.col("_n") * share > total) & F.col(key).isNotNull()).select(key))
+    hot_values = F.broadcast(values.join(hot, key, "left_semi"))
+    often = rows.join(hot, key, "left_semi").join(hot_values, key, how)
+    rest = rows.join(hot, key, "left_anti").join(values, key, how)
+    return often.unionByName(rest)
