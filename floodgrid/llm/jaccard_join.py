@@ -165,8 +165,8 @@ def _signatures(documents: DataFrame, doc_id: str, text: str, k: int, t: int, le
     return rows.mapInArrow(run, "doc_id bigint, n int, digest binary, bands array<bigint>, prefix array<bigint>")
 
 
-def _possible(documents: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
-    """Rows of ``documents`` whose id may be in ``ids`` (column ``doc_id``), and those without one.
+def _possible(documents: DataFrame, ids: DataFrame, doc_id: str, wanted: bool = True) -> DataFrame:
+    """Rows of ``documents`` whose id may be in ``ids`` (column ``doc_id``), and those without one; else all others.
 
     A bit set of 2^FILTER_BITS bits is broadcast whatever the number of ids; it lets through rows by
     chance, which a join takes out, and where it is full it saves nothing.
@@ -189,7 +189,7 @@ def _possible(documents: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
             null = np.isnan(c.astype(np.float64))
             at = np.where(null, 0, c).astype(np.int64)
             keep = null | (bits.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep == wanted))
 
     celled = documents.withColumn("_cell", F.when(F.col(f"`{doc_id}`").isNotNull(), cell(doc_id)))
     return celled.mapInArrow(run, documents.schema)
@@ -370,3 +370,18 @@ def _with_classes(made: DataFrame, nodes: DataFrame, wider: DataFrame) -> DataFr
     with_sets = join_hot(rows, by_set, "digest").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     empty = made.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return with_sets.unionByName(empty)
+
+
+def one_of_each_class(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, t: int = THRESHOLD) -> DataFrame:
+    """The row with the smallest id of every class (rows without an id last), with all columns."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    numbered = materialize(documents.select(kept, F.col(f"`{doc_id}`").alias("id"), F.monotonically_increasing_id().alias("place")))
+    classes = materialize(link_classes(numbered.select("place", F.col(f"row.`{text}`").alias("text")), "place", "text", k, t))
+    linked_rows = classes.withColumnRenamed("doc_id", "place").join(numbered.select("place", "id"), "place")
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("place"))).alias("first")
+    keepers = linked_rows.groupBy("component_id").agg(first).select("first.place")
+    dropped = materialize(classes.select(F.col("doc_id")).join(keepers.withColumnRenamed("place", "doc_id"), "doc_id", "left_anti"))
+    # Only rows that may be dropped are shuffled.
+    sure = _possible(numbered, dropped, "place", wanted=False)
+    rest = _possible(numbered, dropped, "place").join(dropped.withColumnRenamed("doc_id", "place"), "place", "left_anti")
+    return sure.select("row.*").unionByName(rest.select("row.*"))
