@@ -1,17 +1,63 @@
-"""Corpus preparation as stages over the documents table."""
+"""Corpus preparation as stages over the documents table.
+
+Quality rules drop what they reject, one document of each class of near copies stays, documents that
+hold too much of a benchmark go, sources are mixed to their target weights (a document taken k times
+is k rows), and the token ids are written as wavelet-matrix shards and read back.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from floodgrid.llm import decontaminate, jaccard_join, mixing, quality_rules, wavelet
+from floodgrid.runtime import materialize, shared_dir
+
+TOKENIZER, END_OF_DOCUMENT = "word_bpe_49k.json", 2
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(docs).where("kept").select("row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each_class(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.benchmark_hits(docs, benchmark, keep_text=True).where(~decontaminate.contaminated()).select("row.*")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(docs).where("takes > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("takes").cast("int")))).select("row.*")
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    wavelet.write_shards(docs, out, public_tokenizers.path(TOKENIZER), END_OF_DOCUMENT)
+    return wavelet.read_documents(spark, out)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", keep_good),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("source_mixing", mix_sources),
+    ("token_shards", write_tokens),
+]
+# Shingle classes, posterior estimates and tokenizer files are beyond SQL; the tests hold the stages
+# against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
