@@ -12,25 +12,20 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable
-from itertools import chain, filterfalse
 
 import numpy as np
 
-# Letters of the Latin-1 block in UTF-8.
-_LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
-# The pre-tokenizers' patterns, for pieces of these characters.
-_WORD_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|" + _LATIN + rb")+|[0-9]|[!-/:-@\[-`{-~]+")
-_SPACED_PARTS = re.compile(
-    rb"'s|'t|'re|'ve|'m|'ll|'d| ?(?:[A-Za-z]|" + _LATIN + rb")+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\n"
-)
-_WORD_PLAIN = re.compile(rb"(?:[!-~]|" + _LATIN + rb")+")
-_SPACED_PLAIN = re.compile(rb" ?(?:[!-~\n]|" + _LATIN + rb")+")
-# White space other than the single blank and line feed, in UTF-8, and runs of the two.
-_UNSAFE = [b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
-_UNSAFE += [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"<|"]
-_UNSAFE_WIDE = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
-
-PIECES_KEPT = 400_000
+# What plain texts consist of: printable ASCII, blanks and line feeds, and the letters of the Latin-1
+# block, whose UTF-8 is 0xC3 and a byte of 0x80 to 0xBF other than those of the two signs.
+_PLAIN = bytes([10, *range(32, 127), *range(0x80, 0xC0), 0xC3])
+_SIGNS = (b"\xc3\x97", b"\xc3\xb7")
+# The pre-tokenizers' patterns, for plain texts.
+_WORD_PARTS = re.compile(rb"[a-z\x80-\xff]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[!-/:-@\[-`{-~]+")
+_SPACED_PARTS = re.compile(rb" ?[A-Za-z\x80-\xff]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\n")
+# Runs of white space, which belong to several parts.
+_RUNS = (b"  ", b"\n\n", b" \n", b"\n ")
+
+PARTS_KEPT = 600_000
 _LOADED: dict[tuple, object] = {}
 
 
@@ -58,6 +53,13 @@ def cuts_of(path: str) -> str:
     return "whole"
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class PieceEncoder:
     """``encode(texts)`` gives one value per text: its ids as uint32 bytes, or their number."""
 
@@ -67,71 +69,75 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.letters = byte_alphabet()
         self.cuts = cuts_of(path)
-        self.mark = self.tokenizer.token_to_id("<|endoftext|>")
-        self.value: Callable = len if counts else lambda ids: np.asarray(ids, "<u4").tobytes()
+        self.split = (_WORD_PARTS if self.cuts == "words" else _SPACED_PARTS).findall
+        self.counts = counts
         self.join: Callable[[Iterable], object] = sum if counts else b"".join
-        self.pieces: dict[bytes, object] = {}
-        self.parts: dict[bytes, object] = {}
+        self.recent: dict[bytes, object] = {}
+        self.older: dict[bytes, object] = {}
+
+    def _value(self, ids: list[int]):
+        return len(ids) if self.counts else np.asarray(ids, "<u4").tobytes()
 
     def _library(self, texts: list[bytes]) -> list:
         made = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [self.value(e.ids) for e in made]
-
-    def _between_marks(self, texts: list[bytes], step: int = 2000) -> Iterable:
-        """Values of texts without special strings, many in one call with a special string between."""
-        for at in range(0, len(texts), step):
-            some = texts[at : at + step]
-            joined = b"<|endoftext|>".join(some).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            for part in np.split(ids, np.flatnonzero(ids == self.mark)):
-                yield self.value(part[1:] if len(part) and part[0] == self.mark else part)
-
-    def _learn(self, new: set[bytes]) -> None:
-        plain, split = (_WORD_PLAIN, _WORD_PARTS) if self.cuts == "words" else (_SPACED_PLAIN, _SPACED_PARTS)
-        if len(self.pieces) > PIECES_KEPT:
-            self.pieces.clear()
-        if len(self.parts) > PIECES_KEPT:
-            self.parts.clear()
-        odd, cut = [], []
-        for p in new:
-            if b"<|" in p:
-                odd.append(p)
-            elif plain.fullmatch(p):
-                cut.append((p, split.findall(p)))
+        return [self._value(e.ids) for e in made]
+
+    def _learn(self, part: bytes):
+        """A part's value: kept from before, or what the model gives for the part alone."""
+        if len(self.recent) >= PARTS_KEPT:
+            # Parts not met since the last change of tables are dropped.
+            self.older, self.recent = self.recent, {}
+        value = self.older.get(part)
+        if value is None:
+            if self.cuts == "words":
+                part_text = part.decode().lower().encode().decode("latin-1")
             else:
-                cut.append((p, [p]))
-        unseen = list(set(filterfalse(self.parts.__contains__, chain.from_iterable(parts for _, parts in cut))))
-        self.parts.update(zip(unseen, self._between_marks(unseen)))
-        get = self.parts.__getitem__
-        self.pieces.update((p, self.join(map(get, parts))) for p, parts in cut)
-        if odd:
-            self.pieces.update(zip(odd, self._library(odd)))
-
-    def _cut(self, text: bytes) -> list[bytes] | None:
-        if self.cuts == "words":
-            # Only A-Z: what the tokenizer does to other letters is left to it. A special string
-            # is known by its exact letters, so such texts keep theirs.
-            return (text if b"<|" in text else text.lower()).split()
-        if self.cuts == "whole" or any(u in text for u in _UNSAFE) or text[:1].isspace() or text[-1:].isspace():
+                part_text = part.decode("latin-1")
+            value = self._value([t.id for t in self.model.tokenize(part_text.translate(self.letters))])
+        self.recent[part] = value
+        return value
+
+    def _parts(self, text: bytes) -> list[bytes] | None:
+        """The text's parts, or None if it is to be encoded whole."""
+        if b"<|" in text or text.translate(None, _PLAIN) or any(s in text for s in _SIGNS) or self.cuts == "whole":
             return None
-        if b"\xe2\x80" in text and _UNSAFE_WIDE.search(text):
+        if self.cuts == "words":
+            return self.split(text.lower())
+        if any(u in text for u in _RUNS) or text[:1].isspace() or text[-1:].isspace():
             return None
-        first, *rest = text.split(b" ")
-        return [first, *[b" " + r for r in rest]] if text else []
+        return self.split(text)
+
+    def _known(self, parts: list[bytes]):
+        values = list(map(self.recent.get, parts))
+        for i in [i for i, v in enumerate(values) if v is None]:
+            values[i] = self._learn(parts[i])
+        return self.join(values)
 
     def encode(self, texts: list[bytes]) -> list:
-        cut = [self._cut(t) for t in texts]
-        new = set(filterfalse(self.pieces.__contains__, chain.from_iterable(c for c in cut if c)))
-        if new:
-            self._learn(new)
-            # A cleared table has lost pieces that were known before.
-            lost = set(filterfalse(self.pieces.__contains__, chain.from_iterable(c for c in cut if c)))
-            if lost:
-                self._learn(lost)
-        get = self.pieces.__getitem__
-        whole = iter(self._library([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else self.join(map(get, c)) for c in cut]
+        cut = [self._parts(t) for t in texts]
+        whole = iter(self._odd([t for t, c in zip(texts, cut) if c is None]))
+        return [next(whole) if c is None else self._known(c) for c in cut]
+
+    def _odd(self, texts: list[bytes]) -> list:
+        """Values of texts that are not plain, word by word where that is safe."""
+        if self.cuts != "words":
+            return self._library(texts)
+        out: list = [None] * len(texts)
+        for i, t in enumerate(texts):
+            if b"<|" not in t:
+                # White space is dropped, so each word stands alone; only odd words need the library.
+                values = []
+                for w in t.split():
+                    parts = self._parts(w)
+                    values.append(self._library([w])[0] if parts is None else self._known(parts))
+                out[i] = self.join(values)
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, v in zip(rest, self._library([texts[i] for i in rest])):
+            out[i] = v
+        return out
 
 
 def encoder(path: str, counts: bool) -> PieceEncoder:
