@@ -2,48 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodgrid.runtime import materialize
 
-_CUTS = 64
-# Distinct (group, value) rows up to which one ordered pass is fine even if one group has all.
-ONE_PASS_ROWS = 2_000_000
-
 
-def group_percentiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str | Column,
-    probs: dict[str, float],
-    few_groups: bool = False,
-) -> DataFrame:
+def group_percentiles(df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated percentiles per group: one row per group, one column per name.
 
-    The builtin exact ``percentile`` keeps every distinct value of a group in one buffer.
-    Here values are first counted per (group, value) with map-side combine and that table is
-    written, so its size is known. A small table is ordered per group. A large one is cut into
-    slices by mergeable sketches: slice counts tell which slice holds a wanted rank, and only
-    those slices are ordered, each in its own window. The sketch decides balance only, so both
-    ways are exact.
-
-    ``few_groups`` says that the keys come from a fixed list (layers, scenarios), which bounds
-    the per-group table and lets it be broadcast.
+    The builtin exact ``percentile`` keeps every distinct value of a group in one buffer. Here values
+    are counted per (group, value) with map-side combine and cut into ranges by (group, value). Sums
+    per group and range tell which ranges hold a wanted rank; only those are ordered, each range of a
+    group in its own window, so no task holds more than a range, whatever the size of a group.
     """
     v = F.col(value) if isinstance(value, str) else value
     if not keys:
         one = df.withColumn("_all", F.lit(0))
-        return group_percentiles(one, ["_all"], value, probs, True).drop("_all")
-    hist = materialize(
+        return group_percentiles(one, ["_all"], value, probs).drop("_all")
+    hist = (
         df.select(*keys, v.cast("double").alias("_v"))
         .where(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")
         .agg(F.count("*").alias("_n"))
     )
-    if hist.count() <= ONE_PASS_ROWS:
-        return _in_one_pass(hist, keys, probs)
-    return _in_slices(hist, keys, probs, few_groups)
+    cut = materialize(hist.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    sizes = cut.groupBy(*keys, "_part").agg(F.sum("_n").alias("_pn"))
+    # One row per range that holds some of the group.
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_pn").over(group.orderBy("_part"))
+    sizes = sizes.select(*keys, "_part", (upto - F.col("_pn")).alias("_before"), upto.alias("_upto"), F.sum("_pn").over(group).alias("_total"))
+    pos, slots = _rank_slots(probs, F.col("_total"))
+    inside = F.filter(slots, lambda s: (s["rank"] >= F.col("_before")) & (s["rank"] < F.col("_upto")))
+    wanted = sizes.withColumn("_want", inside).where(F.size("_want") > 0)
+    wanted = wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_before", "_total", "_want")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    rows = cut.join(wanted, (F.col("_part") == F.col("_p")) & same)
+    ordered = Window.partitionBy("_part", *keys).orderBy("_v")
+    ranked = rows.withColumn("_end", F.sum("_n").over(ordered) + F.col("_before")).withColumn("_start", F.col("_end") - F.col("_n"))
+    own = F.filter("_want", lambda s: (s["rank"] < F.col("_end")) & (s["rank"] >= F.col("_start")))
+    hit = ranked.select(*keys, "_v", "_total", F.inline(own))
+    picked = hit.groupBy(*keys, "_total").agg(
+        *[F.max(F.when(F.col("slot") == s, F.col("_v"))).alias(f"_s{s}") for s in range(2 * len(probs))]
+    )
+    return picked.select(*keys, *_interpolated(probs, pos))
 
 
 def _rank_slots(probs: dict[str, float], total: Column) -> tuple[list[Column], Column]:
@@ -67,73 +71,12 @@ def _interpolated(probs: dict[str, float], pos: list[Column]) -> list[Column]:
     return out
 
 
-def _in_one_pass(hist: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    group = Window.partitionBy(*keys)
-    ranked = hist.withColumn("_end", F.sum("_n").over(group.orderBy("_v"))).withColumn("_total", F.sum("_n").over(group))
-    pos, slots = _rank_slots(probs, F.col("_total"))
-    own = F.filter(slots, lambda s: (s["rank"] < F.col("_end")) & (s["rank"] >= F.col("_end") - F.col("_n")))
-    hit = ranked.select(*keys, "_v", "_total", F.inline(own))
-    picked = hit.groupBy(*keys, "_total").agg(
-        *[F.max(F.when(F.col("slot") == s, F.col("_v"))).alias(f"_s{s}") for s in range(2 * len(probs))]
-    )
-    return picked.select(*keys, *_interpolated(probs, pos))
-
-
-def _in_slices(hist: DataFrame, keys: list[str], probs: dict[str, float], few_groups: bool) -> DataFrame:
-    grid = [(i + 1) / (_CUTS + 1) for i in range(_CUTS)]
-    cuts = hist.groupBy(*keys).agg(
-        F.sum("_n").alias("_total"),
-        F.percentile_approx("_v", grid, 1000).alias("_cuts"),
-    )
-    small = F.broadcast if few_groups else (lambda d: d)
-    binned = hist.join(small(cuts.select(*keys, "_cuts")), keys).select(
-        *keys, "_v", "_n", F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))).alias("_b")
-    )
-    bins = binned.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-    before = F.sum("_bn").over(
-        Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    bins = bins.withColumn("_before", F.coalesce(before, F.lit(0)))
-    pos, ranks = _rank_slots(probs, F.col("_total"))
-    wanted = cuts.select(*keys, F.explode(ranks).alias("_w")).select(*keys, "_w.slot", "_w.rank")
-    # At most two wanted ranks per probability and group; slices per group are bounded too.
-    wanted = wanted.join(bins, keys).where(
-        (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_bn"))
-    )
-    slices = wanted.groupBy(*keys, "_b", "_before").agg(
-        F.collect_list(F.struct("slot", "rank")).alias("_want")
-    )
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ordered = (
-        binned.join(small(slices), keys + ["_b"])
-        .withColumn("_end", F.sum("_n").over(inside) + F.col("_before"))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
-    hit = ordered.select(*keys, "_v", "_start", "_end", F.explode("_want").alias("_w")).where(
-        (F.col("_w.rank") >= F.col("_start")) & (F.col("_w.rank") < F.col("_end"))
-    )
-    picked = hit.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("_w.slot") == s, F.col("_v"))).alias(f"_s{s}")
-            for s in range(2 * len(probs))
-        ]
-    )
-    out = picked.join(small(cuts.select(*keys, "_total")), keys)
-    return out.select(*keys, *_interpolated(probs, pos))
-
-
 def group_stats(
-    df: DataFrame,
-    keys: list[str],
-    value: str | Column,
-    probs: dict[str, float],
-    plain: dict[str, Column],
-    few_groups: bool = False,
+    df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float], plain: dict[str, Column]
 ) -> DataFrame:
     """``plain`` aggregates and exact percentiles side by side, one row per group."""
     if not keys:
         one = df.withColumn("_all", F.lit(0))
-        return group_stats(one, ["_all"], value, probs, plain, True).drop("_all")
+        return group_stats(one, ["_all"], value, probs, plain).drop("_all")
     aggs = df.groupBy(*keys).agg(*[c.alias(n) for n, c in plain.items()])
-    pct = group_percentiles(df, keys, value, probs, few_groups)
-    return aggs.join(F.broadcast(pct) if few_groups else pct, keys, "left")
+    return aggs.join(group_percentiles(df, keys, value, probs), keys, "left")

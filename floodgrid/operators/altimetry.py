@@ -46,20 +46,21 @@ def parse_series(docs: DataFrame, text: str, keys: list[str], bbox: tuple[float,
 LAT_RANGE, LON_RANGE, HEIGHT_RANGE = (-2.0, 1.0), (99.0, 102.0), (-200.0, 5000.0)
 
 
-def column_roles(rows: DataFrame, keys: list[str], values: str, position: str, first: int = 500) -> DataFrame:
+# Least share of plausible latitudes, longitudes and heights.
+LEAST_SHARES = (0.8, 0.8, 0.5)
+
+
+def column_roles(rows: DataFrame, keys: list[str], values: str) -> DataFrame:
     """Which array position is latitude, longitude and height, per key.
 
-    Scores are the share of values in a plausible range over the first ``first`` rows; a key
-    whose best scores stay below 0.8, 0.8 and 0.5 gets no row. Positions beyond the shortest
-    array do not count.
+    Scores are the share of values in a plausible range over all rows; a key whose best scores stay
+    below ``LEAST_SHARES`` gets no row. Positions beyond the shortest array do not count.
     """
-    # A sample of fixed size per key is part of the definition of the scores.
-    sample = rows.where(F.col(position) < first)
-    width = rows.where(F.col(position) < first).groupBy(*keys).agg(F.min(F.size(values)).alias("_w"))
+    width = rows.groupBy(*keys).agg(F.min(F.size(values)).alias("_w"))
     v = F.col("v").cast("double")
     share = lambda r: F.coalesce(F.avg(v.between(*r).cast("double")), F.lit(0.0))
     s = (
-        sample.select(*keys, F.posexplode(values).alias("idx", "v"))
+        rows.select(*keys, F.posexplode(values).alias("idx", "v"))
         .groupBy(*keys, "idx")
         .agg(share(LAT_RANGE).alias("lat"), share(LON_RANGE).alias("lon"), share(HEIGHT_RANGE).alias("height"))
         .join(width, keys)
@@ -74,7 +75,7 @@ def column_roles(rows: DataFrame, keys: list[str], values: str, position: str, f
     picked = cols.withColumn("la", best("lat", F.col("c"))).withColumn("lo", best("lon", F.col("c")))
     rest = F.filter("c", lambda e: (e["idx"] != F.col("la.idx")) & (e["idx"] != F.col("lo.idx")))
     picked = picked.withColumn("_rest", rest).where(F.size("_rest") > 0).withColumn("el", best("height", F.col("_rest")))
-    return picked.where("la.lat >= 0.8 and lo.lon >= 0.8 and el.height >= 0.5").select(
+    return picked.where((F.col("la.lat") >= LEAST_SHARES[0]) & (F.col("lo.lon") >= LEAST_SHARES[1]) & (F.col("el.height") >= LEAST_SHARES[2])).select(
         *keys,
         F.col("la.idx").alias("lat_index"),
         F.col("lo.idx").alias("lon_index"),
@@ -88,7 +89,8 @@ def column_roles(rows: DataFrame, keys: list[str], values: str, position: str, f
 def _node_kind(v: Column) -> Column:
     s = F.schema_of_variant(v)
     return (
-        F.when(s.startswith("OBJECT"), "dict")
+        F.when(v.isNull(), "broken")
+        .when(s.startswith("OBJECT"), "dict")
         .when(s.startswith("ARRAY"), "list")
         .when(s == "STRING", "str")
         .when(s == "BOOLEAN", "bool")
@@ -98,17 +100,20 @@ def _node_kind(v: Column) -> Column:
     )
 
 
-def json_nodes(docs: DataFrame, text: str, keys: list[str], max_depth: int = 32) -> DataFrame:
+def json_nodes(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Every node of the JSON trees: (keys, depth, path, key, kind, children, v).
 
-    Levels are exploded one after another until none is left; nodes stay on the executors.
+    Levels are exploded one after another until none is left, however deep; nodes stay on the
+    executors. A text that is not JSON is one node of kind ``broken`` without a value.
     """
     spark = docs.sparkSession
     level = materialize(
-        docs.select(*keys, F.lit(0).alias("depth"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.parse_json(text).alias("v"))
+        docs.select(*keys, F.lit(0).alias("depth"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.try_parse_json(text).alias("v"))
     )
     out = level
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         inner = level.where(_node_kind(F.col("v")).isin("dict", "list"))
         if inner.isEmpty():
             break
@@ -123,12 +128,18 @@ def json_nodes(docs: DataFrame, text: str, keys: list[str], max_depth: int = 32)
 
 
 def json_tree_summary(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """Long report: node kinds, key frequencies, depth and list lengths over all trees."""
+    """Long report over all trees: node kinds, key frequencies, keys of the roots, beam paths, depth and list lengths."""
     nodes = materialize(json_nodes(docs, text, keys))
     kinds = nodes.groupBy(F.lit("kind").alias("section"), F.col("kind").alias("name")).agg(F.count("*").cast("double").alias("value"))
     names = nodes.where("key is not null").groupBy(F.lit("key").alias("section"), F.col("key").alias("name")).agg(
         F.count("*").cast("double").alias("value")
     )
+    roots = nodes.where("depth = 1 and key is not null").groupBy(F.lit("top_key").alias("section"), F.col("key").alias("name")).agg(
+        F.count("*").cast("double").alias("value")
+    )
+    beams = nodes.where(F.col("key").rlike(BEAM)).groupBy(F.lit("beam_path").alias("section"), F.col("path").alias("name")).agg(
+        F.count("*").cast("double").alias("value")
+    )
     depth = nodes.agg(F.max("depth").cast("double").alias("value")).select(
         F.lit("depth").alias("section"), F.lit("max").alias("name"), "value"
     )
@@ -138,13 +149,24 @@ def json_tree_summary(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
         {"count": F.count("n").cast("double"), "min": F.min("n").cast("double"), "max": F.max("n").cast("double")},
     ) 
     rows = F.array(*[F.struct(F.lit("list_length").alias("section"), F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("count", "min", "median", "max")])
-    return kinds.unionByName(names).unionByName(depth).unionByName(lens.select(F.inline(rows)))
+    return kinds.unionByName(names).unionByName(roots).unionByName(beams).unionByName(depth).unionByName(lens.select(F.inline(rows)))
 
 
 # Names that mark position and height fields, in order of preference.
-LAT_KEYS = ("lat", "latitude")
-LON_KEYS = ("lon", "lng", "longitude")
-HEIGHT_KEYS = ("h", "elevation", "elev", "height")
+LAT_KEYS = ("lat", "latitude", "segment_lat", "lat_ph")
+LON_KEYS = ("lon", "lng", "longitude", "segment_lon", "lon_ph")
+HEIGHT_KEYS = (
+    "h", "elevation", "elev", "height", "h_te_best_fit", "terrain", "terrain_h", "terrain_height",
+    "h_mean_canopy_abs", "h_canopy_abs", "h_te_interp",
+)
+# Fixed value: how a beam is named.
+BEAM = "(?i)gt[123][lr]"
+
+
+def beam_of(path: Column) -> Column:
+    """The beam named last in a node's path, in lower case; UNKNOWN without one."""
+    named = F.regexp_extract_all(path, F.lit(f"({BEAM})"), F.lit(1))
+    return F.coalesce(F.lower(F.try_element_at(named, F.lit(-1))), F.lit("UNKNOWN")).alias("beam")
 
 
 def _array_elements(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -172,19 +194,21 @@ def _array_candidates(elements: DataFrame, keys: list[str]) -> DataFrame:
         .select(*at, F.lit("dict_rows").alias("kind"), "rows", "names")
     )
     numeric = elements.where("nums is not null and size(nums) >= 3 and not exists(slice(nums, 1, 3), x -> x is null)")
-    roles = column_roles(numeric, at, "nums", "pos").select(*at, F.struct("lat_index", "lon_index", "height_index").alias("roles"))
-    counted = numeric.groupBy(*at).agg(F.count("*").alias("rows")).where("rows >= 2")
-    nums = counted.join(roles, at).select(*at, F.lit("numeric_rows").alias("kind"), "rows", "roles")
+    roles = column_roles(numeric, at, "nums").select(*at, F.struct("lat_index", "lon_index", "height_index").alias("roles"))
+    length = F.size("nums")
+    counted = numeric.groupBy(*at).agg(F.count("*").alias("rows"), F.min(length).alias("shortest"), F.max(length).alias("longest")).where("rows >= 2")
+    nums = counted.join(roles, at).select(*at, F.lit("numeric_rows").alias("kind"), "rows", "shortest", "longest", "roles")
     return dicts.unionByName(nums, allowMissingColumns=True)
 
 
 def candidate_arrays(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(keys, path, kind, rows): arrays of objects with position and height, or of numeric rows."""
-    return _array_candidates(_array_elements(docs, text, keys), keys).select(*keys, "path", "kind", "rows")
+    """(keys, path, beam, kind, rows, shortest, longest): arrays of objects with position and height, or of numeric rows."""
+    found = _array_candidates(_array_elements(docs, text, keys), keys)
+    return found.select(*keys, "path", beam_of(F.col("path")), "kind", "rows", "shortest", "longest")
 
 
 def extract_points(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(keys, path, kind, row_index, lat, lon, height) of the finite rows of all candidate arrays."""
+    """(keys, path, beam, kind, row_index, lat, lon, height) of the finite rows of all candidate arrays."""
     elements = _array_elements(docs, text, keys)
     found = _array_candidates(elements, keys)
     rows = elements.join(found, [*keys, "path"])
@@ -197,6 +221,7 @@ def extract_points(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     out = rows.select(
         *keys,
         "path",
+        beam_of(F.col("path")),
         "kind",
         F.col("pos").alias("row_index"),
         value("lat", "lat_index").alias("lat"),
