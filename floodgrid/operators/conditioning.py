@@ -85,8 +85,10 @@ def lowest_passes(edges: DataFrame) -> DataFrame:
         order = F.struct("w", F.least("a", "b"), F.greatest("a", "b"))
         pick = graph.groupBy("a").agg(F.min_by(F.struct("b", "w"), order).alias("_p")).select("a", F.col("_p.b").alias("next"), F.col("_p.w").alias("pass"))
         back = pick.select(F.col("a").alias("next"), F.col("next").alias("_back"))
-        # Two nodes that choose each other: the smaller one stays as the root of the tree.
-        tree = pick.join(back, "next", "left").select(
+        # Two nodes that choose each other: the smaller one stays as the root of the tree. Nodes
+        # that drain outside have no partner and would all meet on one key.
+        leaving = pick.where(F.col("next") == OUTSIDE).withColumn("_back", F.lit(None).cast("long"))
+        tree = pick.where(F.col("next") != OUTSIDE).join(back, "next", "left").unionByName(leaving).select(
             "a", F.when((F.col("_back") == F.col("a")) & (F.col("a") < F.col("next")), F.col("a")).otherwise(F.col("next")).alias("next"), "pass"
         )
         tree = tree.select("a", "next", F.when(F.col("a") == F.col("next"), float("-inf")).otherwise(F.col("pass")).alias("pass"))
@@ -105,7 +107,9 @@ def lowest_passes(edges: DataFrame) -> DataFrame:
         known = materialize(known.where(F.col("root") == OUTSIDE).unionByName(moved))
         left = graph.join(trees.select("a", F.col("_root").alias("ra"), F.col("_p").alias("pa")), "a")
         right = trees.select(F.col("a").alias("b"), F.col("_root").alias("rb"), F.col("_p").alias("pb"))
-        joined = left.join(right, "b", "left").select(
+        # Passes to the outside need no root.
+        outer = left.where(F.col("b") == OUTSIDE)
+        joined = left.where(F.col("b") != OUTSIDE).join(right, "b").unionByName(outer, allowMissingColumns=True).select(
             F.col("ra").alias("a"),
             F.coalesce("rb", "b").alias("b"),
             F.greatest("w", "pa", F.coalesce("pb", F.lit(float("-inf")))).alias("w"),
@@ -135,8 +139,10 @@ def fill_depressions(cells: DataFrame, grid: Grid, tile: int = TILE) -> DataFram
         F.col("label").alias("a"), F.coalesce("_to", F.lit(OUTSIDE)).cast("long").alias("b"), F.greatest("_z", F.coalesce("_zt", "_z")).alias("w")
     )
     levels = lowest_passes(flooded.where("not is_cell").select("a", "b", "w").unionByName(across).where("a != b"))
-    raised = tiles.join(levels.withColumnRenamed("node", "a"), "a", "left")
-    return raised.select("row", "col", "value", F.greatest("w", F.coalesce("level", F.col("w"))).alias("filled"))
+    # Cells that already drain to the border or a gap share one label and have no level to look up.
+    drained = tiles.where(F.col("a") == OUTSIDE)
+    raised = tiles.where(F.col("a") != OUTSIDE).join(levels.withColumnRenamed("node", "a"), "a", "left")
+    return raised.unionByName(drained, allowMissingColumns=True).select("row", "col", "value", F.greatest("w", F.coalesce("level", F.col("w"))).alias("filled"))
 
 
 def _spread_flats(pdf: pd.DataFrame) -> pd.DataFrame:

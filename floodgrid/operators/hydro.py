@@ -343,7 +343,7 @@ def exit_clusters(exits: DataFrame, radius: float) -> DataFrame:
     to the smallest id of the bucket instead of to each other. Only buckets next to one another
     are compared point by point, with equal positions taken once.
     """
-    from floodgrid.operators.tilegraph import graph_components
+    from floodgrid.functions.graph import components as graph_components
 
     side = radius / math.sqrt(2.0) * (1 - 1e-9)
     pts = exits.select(

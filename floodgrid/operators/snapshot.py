@@ -29,11 +29,15 @@ def attribute_filter(df: DataFrame, supported: dict[str, str], wanted: dict[str,
 
 
 def select_datasets(requests: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
-    """(key, position, name): datasets asked for, groups expanded, each once, order kept.
+    """(key, position, name, problem): datasets asked for, groups expanded, each once, order kept.
 
     ``requests`` has (key, pos, name), ``catalog`` (name, grp, pos). Single names keep their
-    order; members of groups follow in catalog order; ``all`` stands for the whole catalog.
+    order; members of groups follow in catalog order; ``all`` stands for the whole catalog
+    and must be alone: beside other names the request is refused, as one row with the problem.
     """
+    asks = requests.groupBy(key).agg(F.bool_or(F.col("name") == "all").alias("_all"), F.bool_or(F.col("name") != "all").alias("_other"))
+    refused = asks.where("_all and _other").select(key)
+    requests = requests.join(refused, key, "left_anti")
     c = catalog.select(F.col("name").alias("member"), "grp", F.col("pos").alias("_cpos"))
     single = requests.join(c, F.col("name") == F.col("member")).select(key, F.lit(0).alias("_k"), F.col("pos").alias("_p"), F.col("member"))
     group = requests.join(c, (F.col("name") == F.col("grp"))).select(key, F.lit(1).alias("_k"), F.col("_cpos").alias("_p"), "member")
@@ -43,7 +47,10 @@ def select_datasets(requests: DataFrame, catalog: DataFrame, key: str) -> DataFr
     first = single.unionByName(group).unionByName(every).groupBy(key, "member").agg(F.min(F.struct("_k", "_p")).alias("_o"))
     # One row per dataset kind and request, a short list.
     pos = F.row_number().over(Window.partitionBy(key).orderBy("_o", "member"))
-    return first.select(key, pos.alias("position"), F.col("member").alias("name"))
+    chosen = first.select(key, pos.alias("position"), F.col("member").alias("name"), F.lit(None).cast("string").alias("problem"))
+    return chosen.unionByName(
+        refused.select(key, F.lit(None).cast("int").alias("position"), F.lit("all").alias("name"), F.lit("all beside other names").alias("problem"))
+    )
 
 
 def id_batches(ids: DataFrame, column: str, size: int) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodgrid.operators.grid import Grid
+from floodgrid.functions.graph import components
 from floodgrid.runtime import materialize
 
 TILE = 256
@@ -249,40 +250,6 @@ def _label_tile(keys: list[str], width: int):
     return run
 
 
-def graph_components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, a, b) -> (keys, node, label): label is the smallest node of the component."""
-    both = materialize(
-        edges.select(*keys, "a", "b").unionByName(
-            edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))
-        ).distinct()
-    )
-    state = materialize(
-        both.groupBy(*keys, F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label"))
-    )
-    while True:
-        heard = (
-            both.join(state.select(*keys, F.col("node").alias("b"), "label"), keys + ["b"])
-            .groupBy(*keys, F.col("a").alias("node"))
-            .agg(F.min("label").alias("_m"))
-        )
-        low = state.join(heard, keys + ["node"], "left").select(
-            *keys, "node", "label", F.least("label", "_m").alias("_new")
-        )
-        # Shortcut: take over the label that the label's own node has by now.
-        via = state.where("label != node").select(
-            *keys, F.col("node").alias("_new"), F.col("label").alias("_up")
-        )
-        nxt = materialize(
-            low.join(via, keys + ["_new"], "left").select(
-                *keys, "node", F.coalesce("_up", "_new").alias("_l"), "label"
-            )
-        )
-        changed = not nxt.where("_l != label").isEmpty()
-        state = nxt.select(*keys, "node", F.col("_l").alias("label"))
-        if not changed:
-            return state
-
-
 def label_components(
     mask: DataFrame, grid: Grid, keys: Iterable[str] = (), tile: int = TILE, with_piece: bool = False
 ) -> DataFrame:
@@ -316,7 +283,7 @@ def label_components(
     asks = asks.where(f"floor(row / {tile}) != r0 or floor(col / {tile}) != c0")
     met = asks.join(border.select(*keys, "row", "col", F.col("label").alias("b")), keys + ["row", "col"])
     edges = met.where("a != b").select(*keys, "a", "b").distinct()
-    merged = graph_components(edges, keys).select(
+    merged = components(edges, keys).select(
         *keys, F.col("node").alias("label"), F.col("label").alias("_to")
     )
     piece = [F.col("label").alias("piece")] if with_piece else []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from floodgrid.functions import hazard as hz
 from floodgrid.functions.quantiles import group_stats
+from floodgrid.functions.skew import join_hot
 from floodgrid.operators import hydro
 from floodgrid.operators.components import remove_small
 from floodgrid.operators.grid import Grid
@@ -31,9 +32,8 @@ def river_heights(
         .join(flow.select("id", "row", "col", "value"), ["row", "col"])
         .select(F.col("id").alias("target"), F.col("acc").alias("ariver"), F.col("value").alias("_cz"))
     )
-    found = cells.where("target is not null").join(ends, "target")
-    lost = cells.where("target is null")
-    out = found.unionByName(lost, allowMissingColumns=True)
+    # A main stem's last cells may be the target of a large share of all cells.
+    out = join_hot(materialize(cells), ends, "target", how="left")
     h = hz.height_above(F.col("value"), F.col("_cz"))
     return out.select(
         "id",
@@ -111,7 +111,7 @@ def variable_stats(index: DataFrame, cell_area: float) -> DataFrame:
     long = index.select(F.inline(rows)).where("x is not null")
     x = F.col("x")
     plain = {"cells": F.count(x), "min_value": F.min(x), "mean_value": F.avg(x), "max_value": F.max(x)}
-    return group_stats(long, ["variable"], x, PROBS, plain, few_groups=True)
+    return group_stats(long, ["variable"], x, PROBS, plain)
 
 
 def depth_counts(index: DataFrame, mask: DataFrame | None = None) -> DataFrame:

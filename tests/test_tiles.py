@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from floodgrid.operators import distance, focal, hydro, outline
 from floodgrid.operators.focal import dilate, median3, neighbourhood
 from floodgrid.operators.grid import Grid
-from floodgrid.operators.tilegraph import accumulate, first_downstream, graph_components, label_components
+from floodgrid.functions.graph import components as graph_components
+from floodgrid.operators.tilegraph import accumulate, first_downstream, label_components
 
 H, W = 23, 17
 G = Grid(W, H)
