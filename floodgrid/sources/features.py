@@ -29,20 +29,23 @@ def _coords(kind: Column, geometry: Column) -> Column:
 
 
 def parse_features(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(keys, feature_id, kind, properties, coords) from collection or feature documents.
+    """(keys, feature_id, kind, properties, coords, issue) from collection or feature documents.
 
-    Features without geometry are skipped.
+    Features without geometry are skipped. A geometry collection gives a row per member. A text that
+    is not JSON, and a geometry that cannot be read, give a row with the issue.
     """
     v = F.try_parse_json(F.col(text))
     many = F.try_variant_get(v, "$.features", "array<variant>")
     feats = F.coalesce(many, F.array(v))
     f = docs.select(*keys, F.posexplode(feats).alias("feature_id", "_f"))
     geometry = F.try_variant_get("_f", "$.geometry", "variant")
-    kind = F.try_variant_get(geometry, "$.type", "string")
-    f = f.select(
-        *keys, "feature_id", kind.alias("kind"), F.try_variant_get("_f", "$.properties", "map<string,string>").alias("properties"), geometry.alias("_g")
-    )
-    return f.where("kind is not null").withColumn("coords", _coords(F.col("kind"), F.col("_g"))).drop("_g")
+    members = F.coalesce(F.try_variant_get(geometry, "$.geometries", "array<variant>"), F.array(geometry))
+    f = f.select(*keys, "feature_id", F.try_variant_get("_f", "$.properties", "map<string,string>").alias("properties"), F.explode(members).alias("_g"))
+    f = f.withColumn("kind", F.try_variant_get("_g", "$.type", "string")).where("kind is not null")
+    f = f.withColumn("coords", _coords(F.col("kind"), F.col("_g"))).drop("_g")
+    f = f.withColumn("issue", F.when(F.col("coords").isNull(), "unreadable geometry"))
+    broken = docs.where(v.isNull()).select(*keys, F.lit("broken document").alias("issue"))
+    return f.select(*keys, "feature_id", "kind", "properties", "coords", "issue").unionByName(broken, allowMissingColumns=True)
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -118,22 +121,31 @@ def esri_to_geojson(features: DataFrame) -> Column:
 # --- WMS capabilities ---
 
 
+_LAYER = "<((?:[A-Za-z0-9_.-]+:)?Layer)(?=[\\s>/])"
+
+
 def wms_layers(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(keys, name, title) of the named layers of capability documents; a title defaults to the name."""
-    names = F.xpath(text, F.lit("//*[local-name()='Layer'][*[local-name()='Name'][normalize-space(text())!='']]/*[local-name()='Name'][last()]/text()"))
-    titles = F.xpath(
-        text,
-        F.lit("//*[local-name()='Layer'][*[local-name()='Name'][normalize-space(text())!='']]/*[local-name()='Name'][last()]/../*[local-name()='Title'][last()]/text()"),
-    )
-    titled = F.xpath(
-        text,
-        F.lit("//*[local-name()='Layer'][*[local-name()='Name'][normalize-space(text())!='']][*[local-name()='Title'][normalize-space(text())!='']]/*[local-name()='Name'][last()]/text()"),
+    """(keys, name, title) of the named layers of capability documents; a title defaults to the name.
+
+    Layers are numbered in the text first, so titles belong to places, and layers of one name keep
+    their own.
+    """
+    pieces = F.split(text, f"(?={_LAYER})")
+    numbered = F.transform(pieces, lambda p, i: F.regexp_replace(p, F.lit(f"^{_LAYER}"), F.concat(F.lit('<$1 place="'), i.cast("string"), F.lit('"'))))
+    d = docs.select(*keys, F.array_join(numbered, "").alias("_text"))
+    named = "//*[local-name()='Layer'][*[local-name()='Name'][normalize-space(text())!='']]"
+    titled = f"{named}[*[local-name()='Title'][normalize-space(text())!='']]"
+
+    def found(path: str) -> Column:
+        return F.xpath("_text", F.lit(path))
+
+    d = d.select(
+        *keys,
+        F.map_from_arrays(found(f"{titled}/@place"), found(f"{titled}/*[local-name()='Title'][last()]/text()")).alias("_titles"),
+        F.explode(F.arrays_zip(found(f"{named}/@place").alias("place"), found(f"{named}/*[local-name()='Name'][last()]/text()").alias("name"))).alias("_l"),
     )
-    d = docs.select(*keys, names.alias("n"), titles.alias("t"), titled.alias("h"))
-    pairs = F.map_from_entries(F.arrays_zip("h", "t"))
-    e = d.select(*keys, pairs.alias("m"), F.explode("n").alias("name"))
-    name = F.trim("name")
-    return e.select(*keys, name.alias("name"), F.coalesce(F.trim(F.try_element_at("m", F.col("name"))), name).alias("title"))
+    name = F.trim("_l.name")
+    return d.select(*keys, name.alias("name"), F.coalesce(F.trim(F.try_element_at("_titles", F.col("_l.place"))), name).alias("title"))
 
 
 def read_wms_layers(spark: SparkSession, path: str) -> DataFrame:
