@@ -25,17 +25,27 @@ def _supplier_collections(spark, sf):
     )
     pt = F.concat(F.lit('{"type":"Feature","properties":{"id":"'), k, F.lit('","kind":"spot"},"geometry":{"type":"Point","coordinates":['), k, F.lit(","), n, F.lit("]}}"))
     none = F.lit('{"type":"Feature","properties":{},"geometry":null}')
-    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), sq, F.lit(","), none, F.lit(","), pt, F.lit("]}"))
+    both = F.concat(
+        F.lit('{"type":"Feature","properties":{"kind":"both"},"geometry":{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":['), k, F.lit(","), n,
+        F.lit(']},{"type":"LineString","coordinates":[[0,0],['), k, F.lit(","), n, F.lit("]]}]}}"),
+    )
+    # Every ninth text is cut off.
+    end = F.when(F.col("s_suppkey") % 9 == 4, "").otherwise("]}")
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), sq, F.lit(","), none, F.lit(","), pt, F.lit(","), both, end)
     s = fx.table(spark, sf, "supplier").withColumn("e", F.col("s_suppkey") + 2).withColumn("f", F.col("s_nationkey") + 3)
     return s.select("s_suppkey", text.alias("text"))
 
 
 @query("""SELECT s_suppkey, j AS feature_id, CASE j WHEN 0 THEN 'Polygon' ELSE 'Point' END AS kind, CASE j WHEN 0 THEN 'area' ELSE 'spot' END AS label, s_suppkey*1e0 AS xmin, s_nationkey*1e0 AS ymin,
-    CASE j WHEN 0 THEN s_suppkey+2e0 ELSE s_suppkey*1e0 END AS xmax, CASE j WHEN 0 THEN s_nationkey+3e0 ELSE s_nationkey*1e0 END AS ymax FROM supplier, (SELECT CAST(unnest([0,2]) AS INT) AS j)""")
+    CASE j WHEN 0 THEN s_suppkey+2e0 ELSE s_suppkey*1e0 END AS xmax, CASE j WHEN 0 THEN s_nationkey+3e0 ELSE s_nationkey*1e0 END AS ymax, NULL AS issue FROM supplier, (SELECT CAST(unnest([0,2]) AS INT) AS j) WHERE s_suppkey % 9 <> 4
+    UNION ALL SELECT s_suppkey, 3, k, 'both', CASE k WHEN 'Point' THEN s_suppkey ELSE least(s_suppkey, 0) END*1e0, CASE k WHEN 'Point' THEN s_nationkey ELSE 0 END*1e0, s_suppkey*1e0, s_nationkey*1e0, NULL
+    FROM supplier, (SELECT unnest(['Point','LineString']) AS k) WHERE s_suppkey % 9 <> 4
+    UNION ALL SELECT s_suppkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'broken document' FROM supplier WHERE s_suppkey % 9 = 4""")
 def geojson_features(spark, sf):
     f = feat.parse_features(_supplier_collections(spark, sf), "text", ["s_suppkey"])
-    box = vector.bounding_box(f.withColumn("label", F.col("properties")["kind"]), ["s_suppkey", "feature_id", "kind", "label"])
-    return box
+    good = f.where("issue is null").withColumn("label", F.col("properties")["kind"])
+    box = vector.bounding_box(good, ["s_suppkey", "feature_id", "kind", "label"])
+    return box.unionByName(f.where("issue is not null").select("s_suppkey", "issue"), allowMissingColumns=True)
 
 
 @query(sql("SELECT k, ring, seq, round(x1,6) AS x1, round(y1,6) AS y1, round(x2,6) AS x2, round(y2,6) AS y2 FROM ze"))
@@ -71,10 +81,10 @@ def arcgis_to_geojson(spark, sf):
     return p.select("c_custkey", feat.esri_to_geojson(p).alias("geometry"), "issue")
 
 
-@query("""SELECT l_orderkey, name, title FROM (SELECT DISTINCT l_orderkey, 'layer_'||CAST(l_linenumber AS VARCHAR) AS name, CASE WHEN l_linenumber % 2 = 0 THEN 'Title '||CAST(l_linenumber AS VARCHAR) ELSE 'layer_'||CAST(l_linenumber AS VARCHAR) END AS title FROM lineitem)""")
+@query("""SELECT l_orderkey, name, title FROM (SELECT DISTINCT l_orderkey, l_linenumber, 'layer_'||CAST(l_linenumber // 3 AS VARCHAR) AS name, CASE WHEN l_linenumber % 2 = 0 THEN 'Title '||CAST(l_linenumber AS VARCHAR) ELSE 'layer_'||CAST(l_linenumber // 3 AS VARCHAR) END AS title FROM lineitem)""")
 def wms_capability_layers(spark, sf):
-    """One capability document per order: a nameless root layer and a layer per line number."""
-    name = F.concat(F.lit("layer_"), S("l_linenumber"))
+    """One capability document per order: a nameless root layer and a layer per line number; up to three share a name."""
+    name = F.concat(F.lit("layer_"), F.floor(F.col("l_linenumber") / 3).cast("string"))
     title = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("<Title>Title "), S("l_linenumber"), F.lit("</Title>"))).otherwise("")
     layer = F.concat(F.lit("<Layer><Name> "), name, F.lit(" </Name>"), title, F.lit("</Layer>"))
     lines = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
@@ -192,10 +202,12 @@ def attribute_filter(spark, sf):
 
 
 @query("""WITH cat AS (SELECT DISTINCT event_type AS name, CASE WHEN event_type < 'p' THEN 'group-a' END AS grp FROM events), c AS (SELECT name, grp, row_number() OVER (ORDER BY name) AS pos FROM cat),
-    req AS (SELECT user_id, event_id AS pos, CASE WHEN event_id % 7 = 0 THEN 'group-a' WHEN event_id % 501 = 0 THEN 'all' ELSE event_type END AS name FROM events WHERE value > 9e1),
+    req AS (SELECT user_id, event_id AS pos, CASE WHEN user_id % 13 = 0 OR event_id % 501 = 0 THEN 'all' WHEN event_id % 7 = 0 THEN 'group-a' ELSE event_type END AS name FROM events),
+    mixed AS (SELECT user_id FROM req GROUP BY 1 HAVING bool_or(name='all') AND bool_or(name<>'all')),
     o AS (SELECT user_id, req.name AS member, 0 AS a, pos AS b FROM req WHERE req.name IN (SELECT name FROM c) UNION ALL SELECT user_id, c.name, 1, c.pos FROM req JOIN c ON c.grp=req.name UNION ALL SELECT user_id, c.name, 1, c.pos FROM req, c WHERE req.name='all'),
     f AS (SELECT user_id, member, min(a*1000000000000+b) AS k FROM o GROUP BY 1,2)
-    SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY k, member) AS INT) AS position, member AS name FROM f""")
+    SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY k, member) AS INT) AS position, member AS name, NULL AS problem FROM f WHERE user_id NOT IN (SELECT user_id FROM mixed)
+    UNION ALL SELECT user_id, NULL, 'all', 'all beside other names' FROM mixed""")
 def dataset_selection(spark, sf):
     e = fx.table(spark, sf, "events")
     kinds = e.select(F.col("event_type").alias("name")).distinct()
@@ -203,8 +215,9 @@ def dataset_selection(spark, sf):
     from floodgrid.functions.ranking import global_rank
 
     cat = global_rank(kinds, [F.asc("name")], "pos").withColumn("grp", F.when(F.col("name") < "p", "group-a"))
-    name = F.when(F.col("event_id") % 7 == 0, "group-a").when(F.col("event_id") % 501 == 0, "all").otherwise(F.col("event_type"))
-    req = e.where("value > 90").select("user_id", F.col("event_id").alias("pos"), name.alias("name"))
+    whole = (F.col("user_id") % 13 == 0) | (F.col("event_id") % 501 == 0)
+    name = F.when(whole, "all").when(F.col("event_id") % 7 == 0, "group-a").otherwise(F.col("event_type"))
+    req = e.select("user_id", F.col("event_id").alias("pos"), name.alias("name"))
     return snapshot.select_datasets(req, cat, "user_id")
 
 
@@ -234,14 +247,14 @@ def batch_completeness(spark, sf):
     return snapshot.batch_problems(_planned(spark, sf), _received(spark, sf), "id")
 
 
-@query(sql("""SELECT batch, count(*) AS ids, count(n) AS present, CASE WHEN count(n)=0 THEN 'absent' ELSE 'corrupt' END AS state FROM bt LEFT JOIN (SELECT l_orderkey AS id, count(*) AS n FROM lineitem WHERE l_linenumber=1 GROUP BY 1) r ON r.id=bt.id
+@query(sql("""SELECT batch, count(*) AS ids, count(n) AS present, CASE WHEN count(n)=0 THEN 'absent' ELSE 'corrupt' END AS state FROM bt LEFT JOIN (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY 1) r ON r.id=bt.id
     GROUP BY 1 HAVING count(*) FILTER (n=1) < count(*)""", **PLAN))
 def resume_plan(spark, sf):
-    got = fx.table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"))
+    got = fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"))
     return snapshot.resume_plan(snapshot.id_batches(_planned(spark, sf), "id", 100), got, "id")
 
 
-@query(sql("""SELECT (SELECT count(*) FROM orders) AS before_count, (SELECT count(*) FROM recv) AS after_count, count(*) FILTER (planned AND received=0) AS only_before, count(*) FILTER (NOT planned) AS only_after, FALSE AS unchanged FROM cnt""", **PLAN))
+@query(sql("""SELECT (SELECT count(*) FROM orders) AS before_count, (SELECT count(*) FROM recv) AS after_count, count(*) FILTER (planned AND received=0) AS only_before, count(*) FILTER (NOT planned) AS only_after, (SELECT count(*) FROM orders)=(SELECT count(*) FROM recv) AND count(*) FILTER (planned AND received=0)=0 AND count(*) FILTER (NOT planned)=0 AS unchanged FROM cnt""", **PLAN))
 def snapshot_drift(spark, sf):
     return snapshot.snapshot_drift(_planned(spark, sf), _received(spark, sf), "id")
 
@@ -289,9 +302,9 @@ def percentile_stretch(spark, sf):
     return rounded(cartodata.stretch(a, log=True).select("row", "col", "stretched"))
 
 
-@query(sql("SELECT count(value) AS values, round(quantile_cont(abs(value),0.98),6) AS limit_value FROM chg WHERE comparison='EVENT_MINUS_PRE'", **SAR))
+@query(sql("SELECT count(value) AS values, round(quantile_cont(abs(value),0.98),6) AS limit_value FROM chg", **SAR))
 def symmetric_limit(spark, sf):
-    return rounded(cartodata.symmetric_limit(sar_changes(spark, sf).where("comparison = 'EVENT_MINUS_PRE'")))
+    return rounded(cartodata.symmetric_limit(sar_changes(spark, sf)))
 
 
 LAB = "SELECT c_custkey, trim(CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment||CAST(c_custkey % 40 AS VARCHAR) ELSE lower(c_mktsegment)||CAST(c_custkey % 40 AS VARCHAR) END) AS name, c_acctbal AS x, c_custkey*1e0 AS y FROM customer"

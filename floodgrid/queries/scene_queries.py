@@ -182,22 +182,27 @@ def radar_layer_classification(spark, sf):
     return sar.layer_check(files, "l_orderkey", "name")
 
 
+def line_role():
+    """The acquisition that an order line stands for."""
+    n = F.col("l_linenumber") % 3
+    return F.when(n == 1, "PRE").when(n == 2, "EVENT").otherwise("POST")
+
+
 LAYERS = [f"{r}_{p}" for r in ("PRE", "EVENT", "POST") for p in ("VV", "VH")]
 
 
 @fx.shared
 def sar_layers(spark, sf):
-    """(row, col, role, pol, db) from the first three order lines."""
+    """(row, col, role, pol, db) from all order lines."""
     k = F.col("l_orderkey")
-    role = F.when(F.col("l_linenumber") == 1, "PRE").when(F.col("l_linenumber") == 2, "EVENT").otherwise("POST")
+    role = line_role()
     power = F.array(
         F.struct(F.lit("VV").alias("pol"), (F.col("a") / 1e5).alias("p")), F.struct(F.lit("VH").alias("pol"), (F.col("b") / 1e2).alias("p"))
     )
     return (
         fx.table(spark, sf, "lineitem")
-        .where(F.col("l_linenumber").isin(1, 2, 3))
         .groupBy(F.floor(k / 100).cast("int").alias("row"), (k % 100).cast("int").alias("col"), role.alias("role"))
-        .agg(F.avg("l_extendedprice").alias("a"), F.avg("l_quantity").alias("b"))
+        .agg(F.max("l_extendedprice").alias("a"), F.max("l_quantity").alias("b"))
         .select("row", "col", "role", F.inline(power))
         .select("row", "col", "role", "pol", F.round(sar.to_db(F.col("p")), 9).alias("db"))
         .where("db is not null")
@@ -252,9 +257,9 @@ def power_to_decibel(spark, sf):
     return rounded(sar_layers(spark, sf))
 
 
-@query(sql("SELECT comparison, variable, mode, CAST(id//100 AS INT) AS row, CAST(id%100 AS INT) AS col, round(value,6) AS value FROM chg", **SAR))
+@query(sql("SELECT comparison, variable, mode, CAST(id//100 AS INT) AS row, CAST(id%100 AS INT) AS col, value FROM chg", **SAR))
 def temporal_differences(spark, sf):
-    return rounded(sar_changes(spark, sf))
+    return sar_changes(spark, sf)
 
 
 @query(sql(f"SELECT comparison, variable, mode, {DIST} FROM (SELECT *, value AS v FROM chg) GROUP BY 1,2,3", **SAR))
@@ -309,9 +314,9 @@ CCOLS = """round(om,6) AS observed_median, round(nm,6) AS non_observed_median, r
     round(oneg,6) AS observed_negative_pct, round(nneg,6) AS non_observed_negative_pct, round(om-nm,6) AS observed_minus_non_observed, round(fm-tm,6) AS fn_minus_tp"""
 
 
-@query(sql(f"SELECT comparison, variable, {CCOLS} FROM zp WHERE mode='RAW' AND comparison='EVENT_MINUS_PRE'", **SAR, **CONTRAST))
+@query(sql(f"SELECT comparison, variable, {CCOLS} FROM zp WHERE mode='RAW'", **SAR, **CONTRAST))
 def zone_contrast_table(spark, sf):
-    c = sar_changes(spark, sf).where("mode = 'RAW' and comparison = 'EVENT_MINUS_PRE'").drop("mode")
+    c = sar_changes(spark, sf).where("mode = 'RAW'").drop("mode")
     keys = ["comparison", "variable"]
     return rounded(sar.zone_contrasts(sar.by_zone(c, sar_zones(spark, sf), keys), keys))
 
@@ -323,11 +328,11 @@ def filter_sensitivity(spark, sf):
 
 
 @query(sql(f"""SELECT comparison, {DIST} FROM (SELECT c.comparison, a.a-b.a AS v FROM cmp c JOIN incd a ON a.role=c.later JOIN incd b ON b.role=c.earlier AND a.id=b.id) GROUP BY 1""",
-    incd="SELECT l_orderkey AS id, CASE l_linenumber WHEN 1 THEN 'PRE' WHEN 2 THEN 'EVENT' ELSE 'POST' END AS role, max(3e1+l_tax*1e2) AS a FROM lineitem WHERE l_linenumber<=3 GROUP BY 1,2", **SAR))
+    incd="SELECT l_orderkey AS id, CASE l_linenumber % 3 WHEN 1 THEN 'PRE' WHEN 2 THEN 'EVENT' ELSE 'POST' END AS role, max(3e1+l_tax*1e2) AS a FROM lineitem GROUP BY 1,2", **SAR))
 def incidence_angle_comparability(spark, sf):
     k = F.col("l_orderkey")
-    role = F.when(F.col("l_linenumber") == 1, "PRE").when(F.col("l_linenumber") == 2, "EVENT").otherwise("POST")
-    angle = fx.table(spark, sf, "lineitem").where("l_linenumber <= 3").groupBy(k.alias("id"), role.alias("role")).agg(F.max(30.0 + F.col("l_tax") * 100.0).alias("a"))
+    role = line_role()
+    angle = fx.table(spark, sf, "lineitem").groupBy(k.alias("id"), role.alias("role")).agg(F.max(30.0 + F.col("l_tax") * 100.0).alias("a"))
     return rounded(sar.distribution(sar.role_differences(angle, ["id"], "a"), ["comparison"]))
 
 
@@ -357,10 +362,10 @@ def nearest_neighbour_between_dates(spark, sf):
     return rounded(altimetry.nearest_summary(d, ["beam", "date"], STEPS))
 
 
-@query("""SELECT CAST(user_id AS INT) AS beam, CASE WHEN bool_or(event_type='click') AND bool_or(event_type='error') THEN 'common' WHEN bool_or(event_type='click') THEN 'pre_only' ELSE 'post_only' END AS presence
-    FROM events WHERE event_type IN ('click','error') AND value > 5e1 GROUP BY 1""")
+@query("""SELECT CAST(user_id AS INT) AS beam, CASE WHEN bool_or(event_type='click') AND bool_or(event_type<>'click') THEN 'common' WHEN bool_or(event_type='click') THEN 'pre_only' ELSE 'post_only' END AS presence
+    FROM events GROUP BY 1""")
 def beam_set_comparison(spark, sf):
-    e = fx.table(spark, sf, "events").where("event_type in ('click', 'error') and value > 50")
+    e = fx.table(spark, sf, "events")
     p = e.select(F.col("user_id").cast("int").alias("beam"), F.when(F.col("event_type") == "click", "PRE").otherwise("POST").alias("date"))
     return altimetry.beam_sets(p)
 
@@ -421,37 +426,49 @@ def utm_projection_round_trip(spark, sf):
 
 
 @query("""SELECT c_mktsegment AS track, 1 AS lat_index, 0 AS lon_index, 2 AS height_index, avg(CASE WHEN -c_acctbal/1e4 BETWEEN -2 AND 1 THEN 1e0 ELSE 0e0 END) AS lat_score, 1e0 AS lon_score, 1e0 AS height_score
-    FROM customer WHERE c_custkey < 500 GROUP BY 1""")
+    FROM customer GROUP BY 1""")
 def column_role_inference(spark, sf):
     rows = fx.table(spark, sf, "customer").select(
-        F.col("c_mktsegment").alias("track"), F.col("c_custkey").alias("pos"),
+        F.col("c_mktsegment").alias("track"),
         F.array(F.lit(99.5) + F.col("c_nationkey") / 100.0, -F.col("c_acctbal") / 1e4, F.lit(50.0) + F.col("c_acctbal") / 1e3).alias("vals"),
     )
-    return altimetry.column_roles(rows, ["track"], "vals", "pos")
+    return altimetry.column_roles(rows, ["track"], "vals")
 
 
 @query("""SELECT 'kind' AS section, 'dict' AS name, count(*)*1e0 AS value FROM events UNION ALL SELECT 'kind', 'int', count(*)*1e0 FROM events UNION ALL SELECT 'key', 'k', count(*)*1e0 FROM events UNION ALL SELECT 'depth','max',2e0
-    UNION ALL SELECT 'kind', 'list', count(*)*1e0 FROM events UNION ALL SELECT 'kind', 'float', count(*)*2e0 FROM events UNION ALL SELECT 'kind','dict_extra',0e0 WHERE FALSE UNION ALL SELECT 'key', 'p', count(*)*1e0 FROM events UNION ALL SELECT 'key', 'a', count(*)*1e0 FROM events
+    UNION ALL SELECT 'kind', 'list', count(*)*1e0 FROM events UNION ALL SELECT 'kind', 'float', count(*)*2e0 FROM events UNION ALL SELECT 'kind','dict_extra',0e0 WHERE FALSE UNION ALL SELECT 'key', 'p', count(*)*1e0 FROM events UNION ALL SELECT 'key', 'gt1L', count(*)*1e0 FROM events UNION ALL SELECT 'top_key', 'p', count(*)*1e0 FROM events UNION ALL SELECT 'top_key', 'gt1L', count(*)*1e0 FROM events UNION ALL SELECT 'beam_path', '$.gt1L', count(*)*1e0 FROM events
     UNION ALL SELECT 'list_length', 'count', count(*)*1e0 FROM events UNION ALL SELECT 'list_length', unnest(['min','median','max']), 2e0""".replace("SELECT 'kind' AS section, 'dict' AS name, count(*)*1e0 AS value", "SELECT 'kind' AS section, 'dict' AS name, count(*)*2e0 AS value"))
 def json_tree_summary(spark, sf):
-    text = F.concat(F.lit('{"p":'), "props", F.lit(',"a":[0.5,1.25]}'))
+    text = F.concat(F.lit('{"p":'), "props", F.lit(',"gt1L":[0.5,1.25]}'))
     docs = fx.table(spark, sf, "events").select("event_id", text.alias("text"))
     return altimetry.json_tree_summary(docs, "text", ["event_id"])
 
 
-@query("""SELECT event_id, '$.pts' AS path, 'dict_rows' AS kind, CAST(2 AS BIGINT) AS rows FROM events UNION ALL SELECT event_id, '$.nums', 'numeric_rows', 2 FROM events WHERE event_id % 2 = 0""")
+@query("""WITH d AS (SELECT s_suppkey, 30 + s_suppkey % 20 AS n FROM supplier)
+    SELECT 'kind' AS section, 'list' AS name, sum(n)*1e0 AS value FROM d WHERE s_suppkey % 7 <> 3 UNION ALL SELECT 'kind', 'int', count(*)*1e0 FROM d WHERE s_suppkey % 7 <> 3
+    UNION ALL SELECT 'kind', 'broken', count(*)*1e0 FROM d WHERE s_suppkey % 7 = 3 UNION ALL SELECT 'depth', 'max', max(n)*1e0 FROM d WHERE s_suppkey % 7 <> 3
+    UNION ALL SELECT 'list_length', 'count', sum(n)*1e0 FROM d WHERE s_suppkey % 7 <> 3 UNION ALL SELECT 'list_length', unnest(['min','median','max']), 1e0""")
+def json_deep_trees(spark, sf):
+    """Lists in lists, 30 to 49 deep; every seventh text is cut off."""
+    n = (30 + F.col("s_suppkey") % 20).cast("int")
+    text = F.concat(F.repeat(F.lit("["), n), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 7 == 3, "").otherwise(F.repeat(F.lit("]"), n)))
+    docs = fx.table(spark, sf, "supplier").select("s_suppkey", text.alias("text"))
+    return altimetry.json_tree_summary(docs, "text", ["s_suppkey"])
+
+
+@query("""SELECT event_id, '$.pts' AS path, 'UNKNOWN' AS beam, 'dict_rows' AS kind, CAST(2 AS BIGINT) AS rows, CAST(NULL AS INT) AS shortest, CAST(NULL AS INT) AS longest FROM events UNION ALL SELECT event_id, '$.GT2r', 'gt2r', 'numeric_rows', 2, 3, 4 FROM events WHERE event_id % 2 = 0""")
 def candidate_point_arrays(spark, sf):
     return altimetry.candidate_arrays(_point_documents(spark, sf), "text", ["event_id"])
 
 
-@query("""SELECT event_id, '$.pts' AS path, 'dict_rows' AS kind, 0 AS row_index, 1e0 AS lat, 2e0 AS lon, 3e0 AS height FROM events UNION ALL
-    SELECT event_id, '$.nums', 'numeric_rows', j, CASE j WHEN 0 THEN -9e-1 ELSE -8e-1 END, CASE j WHEN 0 THEN 1004e-1 ELSE 1005e-1 END, CASE j WHEN 0 THEN value ELSE 12e0 END FROM events, (SELECT CAST(unnest([0,1]) AS INT) AS j) WHERE event_id % 2 = 0""")
+@query("""SELECT event_id, '$.pts' AS path, 'UNKNOWN' AS beam, 'dict_rows' AS kind, 0 AS row_index, 1e0 AS lat, 2e0 AS lon, 3e0 AS height FROM events UNION ALL
+    SELECT event_id, '$.GT2r', 'gt2r', 'numeric_rows', j, CASE j WHEN 0 THEN -9e-1 ELSE -8e-1 END, CASE j WHEN 0 THEN 1004e-1 ELSE 1005e-1 END, CASE j WHEN 0 THEN value ELSE 12e0 END FROM events, (SELECT CAST(unnest([0,1]) AS INT) AS j) WHERE event_id % 2 = 0""")
 def candidate_point_extraction(spark, sf):
     return altimetry.extract_points(_point_documents(spark, sf), "text", ["event_id"])
 
 
 def _point_documents(spark, sf):
     v = F.col("value").cast("string")
-    nums = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("[[-0.9,100.4,"), v, F.lit("],[-0.8,100.5,12.0]]"))).otherwise("[[1.0],[2.0]]")
-    text = F.concat(F.lit('{"pts":[{"Lat":1,"lon":2,"h":3},{"lat":4}],"nums":'), nums, F.lit("}"))
+    nums = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("[[-0.9,100.4,"), v, F.lit("],[-0.8,100.5,12.0,1.5]]"))).otherwise("[[1.0],[2.0]]")
+    text = F.concat(F.lit('{"pts":[{"Lat_ph":1,"segment_lon":2,"h_te_interp":3},{"lat_ph":4}],"GT2r":'), nums, F.lit("}"))
     return fx.table(spark, sf, "events").select("event_id", text.alias("text"))

@@ -7,7 +7,7 @@ import re
 CELL_AREA = "69.381334e0"
 
 PARTS: dict[str, str] = {
-    "h": "SELECT count(*)/100e0 AS h, CAST(count(*)//100 AS INT) AS hi FROM orders",
+    "h": "SELECT (max(o_orderkey)//100+1)*1e0 AS h, CAST(max(o_orderkey)//100+1 AS INT) AS hi FROM orders",
     "g": """SELECT o_orderkey AS id, CAST(o_orderkey // 100 AS INT) AS row, CAST(o_orderkey % 100 AS INT) AS col,
         2e-1*CAST(o_orderkey // 100 AS DOUBLE) + 5e-2*CAST(abs(o_orderkey % 100 - 50) AS DOUBLE) + o_totalprice/5e6 AS z FROM orders""",
     "galt": """SELECT o_orderkey AS id, CAST(o_orderkey // 100 AS INT) AS row, CAST(o_orderkey % 100 AS INT) AS col,
@@ -62,8 +62,8 @@ PARTS: dict[str, str] = {
         CASE WHEN v.wd<=0 THEN 0e0 ELSE 1e0/(1e0+pow(v.wd/3e-1, -s.spread)) END AS hz
         FROM gfi v, scen s WHERE v.norm IS NOT NULL AND ((s.mask='manual' AND v.norm > -0.53e0) OR (s.mask='physical' AND v.gfi > 0))""",
     "hc": "SELECT *, CASE WHEN hz<=0.333e0 THEN 1 WHEN hz<=0.666e0 THEN 2 ELSE 3 END AS cls FROM haz",
-    "sar0": """SELECT l_orderkey AS id, CASE l_linenumber WHEN 1 THEN 'PRE' WHEN 2 THEN 'EVENT' ELSE 'POST' END AS role,
-        avg(l_extendedprice)/1e5 AS vv, avg(l_quantity)/1e2 AS vh FROM lineitem WHERE l_linenumber IN (1,2,3) GROUP BY 1,2""",
+    "sar0": """SELECT l_orderkey AS id, CASE l_linenumber % 3 WHEN 1 THEN 'PRE' WHEN 2 THEN 'EVENT' ELSE 'POST' END AS role,
+        max(l_extendedprice)/1e5 AS vv, max(l_quantity)/1e2 AS vh FROM lineitem GROUP BY 1,2""",
     "sar": """SELECT id, role, round(10e0*log10(vv),9) AS vv, round(10e0*log10(vh),9) AS vh FROM sar0 WHERE vv>0 AND vh>0""",
     "sarw": """SELECT id, max(vv) FILTER (role='PRE') AS pre_vv, max(vv) FILTER (role='EVENT') AS event_vv, max(vv) FILTER (role='POST') AS post_vv,
         max(vh) FILTER (role='PRE') AS pre_vh, max(vh) FILTER (role='EVENT') AS event_vh, max(vh) FILTER (role='POST') AS post_vh FROM sar GROUP BY id""",
