@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from floodgrid.operators.grid import Grid, from_rows
 
-_STRIP = 32
+# Cells of a strip: a task's arrays, whatever the width of the grid (a strip is one row at least).
+_STRIP_CELLS = 1 << 18
 _BLOCK = 4096
 
 
@@ -61,6 +62,7 @@ def distance_to(
     keys = [key] if key else []
     dx, dy = abs(grid.res_x), abs(grid.res_y)
     spark = mask.sparkSession
+    strip = max(1, min(32, _STRIP_CELLS // max(grid.width, 1)))
     base = from_rows(spark, grid)
     if key:
         kind = mask.schema[key].dataType
@@ -100,7 +102,7 @@ def distance_to(
             F.least(F.col("row") - F.col("_a"), F.col("_b") - F.col("row")).alias("gap"),
         )
         .where("gap is not null")
-        .withColumn("strip", F.floor(F.col("row") / _STRIP).cast("int"))
+        .withColumn("strip", F.floor(F.col("row") / strip).cast("int"))
     )
     width = grid.width
 
@@ -133,25 +135,60 @@ def distance_inside(mask: DataFrame, grid: Grid) -> DataFrame:
     return distance_to(outside, grid).join(m, ["row", "col"], "left_semi")
 
 
-def square_reach(queries: DataFrame, targets: DataFrame, reach: int, keys: list[str] | None = None) -> DataFrame:
-    """Query rows with ``steps``: the smallest square radius, up to ``reach``, that meets a target.
+def _row_gaps(queries: DataFrame, targets: DataFrame, rows: int, cols: int, keys: list[str]) -> DataFrame:
+    """(keys, row, col, d, gap): nearest target within ``cols`` columns, in each of the rows up to ``rows`` away.
 
-    Each query looks along the 2 * reach + 1 rows around it for the nearest target to the left
-    and right, which sorted windows give; targets are never copied. No row where none is near.
+    Each query looks along the rows around it, which sorted windows over blocks of a row answer. A
+    target is copied only to the next blocks that its reach touches.
     """
-    keys = keys or []
-    at = [*keys, "row", "col"]
-    off = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_d")
-    looks = queries.select(*at, off).select(
-        *keys, (F.col("row") + F.col("_d")).alias("_line"), "col", "_d", F.lit(None).cast("int").alias("_t")
+    block = lambda c: F.floor(c / _BLOCK).cast("int")
+    off = F.explode(F.sequence(F.lit(-rows), F.lit(rows))).alias("_d")
+    looks = queries.select(*keys, "row", "col", off).select(
+        *keys, (F.col("row") + F.col("_d")).alias("_line"), block(F.col("col")).alias("_blk"), "col", "_d", F.lit(None).cast("int").alias("_t")
     )
-    marks = targets.select(*keys, F.col("row").alias("_line"), "col", F.lit(None).cast("int").alias("_d"), F.col("col").alias("_t"))
-    line = Window.partitionBy(*keys, "_line")
-    near = line.orderBy("col").rangeBetween(-reach, 0)
-    far = line.orderBy("col").rangeBetween(0, reach)
+    spread = F.explode(F.sequence(block(F.col("col") - cols), block(F.col("col") + cols))).alias("_blk")
+    marks = targets.select(*keys, F.col("row").alias("_line"), spread, "col", F.lit(None).cast("int").alias("_d"), F.col("col").alias("_t"))
+    line = Window.partitionBy(*keys, "_line", "_blk")
+    near = line.orderBy("col").rangeBetween(-cols, 0)
+    far = line.orderBy("col").rangeBetween(0, cols)
     both = looks.unionByName(marks).withColumn("_a", F.max("_t").over(near)).withColumn("_b", F.min("_t").over(far))
     gap = F.least(F.col("col") - F.col("_a"), F.col("_b") - F.col("col"))
-    hit = both.where("_d is not null").withColumn("_g", gap).where("_g is not null")
-    return hit.groupBy(*keys, (F.col("_line") - F.col("_d")).alias("row"), "col").agg(
-        F.min(F.greatest(F.abs("_d"), F.col("_g"))).alias("steps")
-    )
+    hit = both.where("_d is not null").withColumn("gap", gap).where("gap is not null")
+    return hit.select(*keys, (F.col("_line") - F.col("_d")).alias("row"), "col", F.col("_d").alias("d"), "gap")
+
+
+def distance_within(queries: DataFrame, targets: DataFrame, grid: Grid, reach: float, keys: list[str] | None = None) -> DataFrame:
+    """(keys, row, col, dist): Euclidean distance from each query cell to the nearest target of its key.
+
+    Only distances up to ``reach`` map units; no row beyond it. The work follows the query cells, not
+    the grid.
+    """
+    keys = keys or []
+    dx, dy = abs(grid.res_x), abs(grid.res_y)
+    asked = queries.select(*keys, "row", "col").distinct()
+    hits = _row_gaps(asked, targets.select(*keys, "row", "col"), int(reach / dy), int(reach / dx), keys)
+    near = hits.groupBy(*keys, "row", "col").agg(F.min(F.hypot(F.col("d") * dy, F.col("gap") * dx)).alias("dist"))
+    return near.where(F.col("dist") <= reach)
+
+
+def inside_within(cells: DataFrame, mask: DataFrame, grid: Grid, reach: float) -> DataFrame:
+    """``distance_within`` from cells of ``mask`` to the nearest grid cell outside it (the grid border is not outside).
+
+    The nearest outside cell always touches the mask, so only the rim of the mask is a target.
+    """
+    m = mask.select("row", "col").distinct()
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    rim = m.select("row", "col", F.explode(steps).alias("s")).select((F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
+    rim = rim.where(F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1)).distinct()
+    asked = cells.select("row", "col").join(m, ["row", "col"], "left_semi")
+    return distance_within(asked, rim.join(m, ["row", "col"], "left_anti"), grid, reach)
+
+
+def square_reach(queries: DataFrame, targets: DataFrame, reach: int, keys: list[str] | None = None) -> DataFrame:
+    """Query rows with ``steps``: the smallest square radius, up to ``reach``, that meets a target.
+
+    No row where none is near.
+    """
+    keys = keys or []
+    hits = _row_gaps(queries, targets, reach, reach, keys)
+    return hits.groupBy(*keys, "row", "col").agg(F.min(F.greatest(F.abs("d"), F.col("gap"))).alias("steps"))

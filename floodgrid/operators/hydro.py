@@ -7,11 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from floodgrid.functions.graph import components
 from floodgrid.functions.quantiles import group_stats
 from floodgrid.functions.ranking import global_rank
+from floodgrid.operators import distance
 from floodgrid.operators.focal import nb, neighbourhood
 from floodgrid.operators.grid import Grid, cell_id, cell_xy
 from floodgrid.operators.tilegraph import TILE, accumulate, first_downstream, label_components
+from floodgrid.runtime import materialize
 
 # Pointer codes (power of two from north-east clockwise) as code: (row step, col step).
 D8 = {1: (-1, 1), 2: (0, 1), 4: (1, 1), 8: (1, 0), 16: (1, -1), 32: (0, -1), 64: (-1, -1), 128: (-1, 0)}
@@ -149,21 +152,14 @@ def partition_areas(labels: DataFrame, cell_area: float, label: str = "outlet")
 
 
 def outlet_candidates(
-    acc: DataFrame,
-    boundary_distance: DataFrame,
-    river_distance: DataFrame,
-    threshold: int,
-    boundary_tol: float,
-    river_tol: float,
+    acc: DataFrame, basin: DataFrame, rivers: DataFrame, grid: Grid, threshold: int, boundary_tol: float, river_tol: float
 ) -> DataFrame:
-    """Stream cells close to the basin boundary and to an official river."""
-    b = boundary_distance.select("row", "col", F.col("dist").alias("boundary_dist"))
-    r = river_distance.select("row", "col", F.col("dist").alias("river_dist"))
-    return (
-        streams(acc, threshold)
-        .join(b.where(F.col("boundary_dist") <= boundary_tol), ["row", "col"])
-        .join(r.where(F.col("river_dist") <= river_tol), ["row", "col"])
-    )
+    """Stream cells close to the basin boundary and to an official river, with both distances."""
+    found = materialize(streams(acc, threshold))
+    b = distance.inside_within(found, basin, grid, boundary_tol).withColumnRenamed("dist", "boundary_dist")
+    near = materialize(found.join(b, ["row", "col"]))
+    r = distance.distance_within(near, rivers, grid, river_tol).withColumnRenamed("dist", "river_dist")
+    return near.join(r, ["row", "col"])
 
 
 def top_by_accumulation(cells: DataFrame, n: int) -> DataFrame:
@@ -295,29 +291,36 @@ def network_metrics(
 
 
 def proximity_agreement(
-    model: DataFrame,
-    official: DataFrame,
-    to_official: DataFrame,
-    to_model: DataFrame,
-    tolerances: list[float],
-    keys: list[str] | None = None,
+    model: DataFrame, official: DataFrame, grid: Grid, tolerances: list[float], key: str | None = None, key_values: list | None = None
 ) -> DataFrame:
-    """Shares of model cells near the official lines and back, F1 and F2 per tolerance.
+    """Shares of model cells near the official lines and back, F1 and F2 per key and tolerance.
 
-    ``to_official`` has (row, col, dist); ``to_model`` has the keys too. An empty side gives 0.
+    Distances are searched up to the largest tolerance from the cells of both sides only. Every key
+    value and tolerance has a row; an empty side gives 0.
     """
-    keys = keys or []
+    spark = model.sparkSession
+    keys = [key] if key else []
+    reach = float(max(tolerances))
+    m = materialize(model.select(*keys, "row", "col").distinct())
+    o = official.select("row", "col").distinct()
+    asked = o
+    if key:
+        kind = model.schema[key].dataType
+        each = F.explode(F.array(*[F.lit(k).cast(kind) for k in key_values])).alias(key)
+        asked = o.select(each, "row", "col")
+    asked = materialize(asked)
+    to_official = m.join(distance.distance_within(m, o, grid, reach), ["row", "col"], "left")
+    to_model = asked.join(distance.distance_within(asked, m, grid, reach, keys), [*keys, "row", "col"], "left")
     tol = F.explode(F.array(*[F.lit(float(t)) for t in tolerances])).alias("tolerance")
     near = F.count_if(F.col("dist") <= F.col("tolerance"))
 
     def share(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, "dist", tol).groupBy(*keys, "tolerance").agg(
-            (near / F.count("*")).alias(name)
-        )
+        return df.select(*keys, "dist", tol).groupBy(*keys, "tolerance").agg((near / F.count("*")).alias(name))
 
-    m = model.select(*keys, "row", "col").join(to_official, ["row", "col"], "left")
-    o = official.select("row", "col").distinct().join(to_model, ["row", "col"])
-    both = share(m, "precision_like").join(share(o, "recall_like"), keys + ["tolerance"], "full_outer")
+    # Two lists of fixed length.
+    every = spark.range(1).select(each) if key else spark.range(1)
+    every = every.select(*keys, tol)
+    both = every.join(share(to_official, "precision_like"), [*keys, "tolerance"], "left").join(share(to_model, "recall_like"), [*keys, "tolerance"], "left")
     p, r = F.coalesce("precision_like", F.lit(0.0)), F.coalesce("recall_like", F.lit(0.0))
     both = both.select(*keys, "tolerance", p.alias("precision_like"), r.alias("recall_like"))
     p, r = F.col("precision_like"), F.col("recall_like")
@@ -343,8 +346,6 @@ def exit_clusters(exits: DataFrame, radius: float) -> DataFrame:
     to the smallest id of the bucket instead of to each other. Only buckets next to one another
     are compared point by point, with equal positions taken once.
     """
-    from floodgrid.functions.graph import components as graph_components
-
     side = radius / math.sqrt(2.0) * (1 - 1e-9)
     pts = exits.select(
         "point_id", "x", "y", F.floor(F.col("x") / side).alias("bx"), F.floor(F.col("y") / side).alias("by")
@@ -364,9 +365,7 @@ def exit_clusters(exits: DataFrame, radius: float) -> DataFrame:
     linked = left.join(spots, ["bx", "by"]).where(close).select("bx0", "by0", "bx", "by").distinct()
     a = heads.select(F.col("bx").alias("bx0"), F.col("by").alias("by0"), F.col("head").alias("a"))
     b = heads.withColumnRenamed("head", "b")
-    merged = graph_components(
-        linked.join(a, ["bx0", "by0"]).join(b, ["bx", "by"]).select("a", "b"), []
-    ).select(F.col("node").alias("head"), "label")
+    merged = components(linked.join(a, ["bx0", "by0"]).join(b, ["bx", "by"]).select("a", "b")).select(F.col("node").alias("head"), "label")
     home = pts.select("point_id", "bx", "by").join(heads, ["bx", "by"])
     return home.join(merged, "head", "left").select("point_id", F.coalesce("label", "head").alias("label"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from floodgrid.operators import hydro, masks
 from floodgrid.operators.conditioning import breach_then_fill, route_flats
-from floodgrid.operators.distance import distance_to
+from floodgrid.operators.distance import distance_within
 from floodgrid.operators.grid import Grid
 from floodgrid.runtime import materialize
 
@@ -16,7 +16,6 @@ def conditioning_scenarios(
     cells: DataFrame, grid: Grid, distances: list[int], basin: DataFrame, rivers: DataFrame, stream_cells: int, tolerance: float
 ) -> DataFrame:
     """One row per breach distance: terrain change, main outlet, stream agreement, basin overlap."""
-    to_rivers = materialize(distance_to(rivers, grid))
     rows = []
     for d in distances:
         cond = materialize(breach_then_fill(cells, grid, d))
@@ -28,7 +27,7 @@ def conditioning_scenarios(
         main = hydro.top_by_accumulation(inside, 1)
         shed = hydro.watersheds(flow, main, grid)
         overlap = masks.overlap_counts(basin, shed).select("iou", "dice")
-        near = inside.join(to_rivers, ["row", "col"], "left").agg(
+        near = inside.join(distance_within(inside, rivers, grid, tolerance), ["row", "col"], "left").agg(
             F.coalesce(F.try_divide(F.count_if(F.col("dist") <= tolerance), F.count("*")), F.lit(0.0)).alias("streams_near_rivers"),
             F.count("*").alias("stream_cells"),
             F.max_by("row", F.struct("acc", -F.col("row"), -F.col("col"))).alias("outlet_row"),

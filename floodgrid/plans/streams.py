@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from floodgrid.functions.quantiles import group_stats
 from floodgrid.operators import hydro, masks, vector
-from floodgrid.operators.distance import distance_to
+from floodgrid.operators.distance import distance_within
 from floodgrid.operators.grid import Grid
 from floodgrid.runtime import materialize
 
@@ -38,17 +38,14 @@ def stream_sweep(
 ) -> DataFrame:
     """Agreement with the official rivers and length for every threshold and tolerance.
 
-    The distance to the rivers does not depend on the threshold and is computed once; the
-    distances to the networks are one keyed job.
+    A threshold that no cell reaches has rows of zeros.
     """
     net = materialize(threshold_networks(flow, acc, thresholds, basin))
     rivers = river_cells.join(basin.select("row", "col"), ["row", "col"], "left_semi")
-    to_rivers = distance_to(rivers, grid)
-    to_net = distance_to(net.select("threshold", "row", "col"), grid, "threshold", thresholds)
-    agree = hydro.proximity_agreement(net, rivers, to_rivers, to_net, tolerances, ["threshold"])
+    agree = hydro.proximity_agreement(net, rivers, grid, tolerances, "threshold", thresholds)
     length = hydro.network_metrics(net, grid, ["threshold"], with_components=False).select("threshold", "length_km")
     official = vector.line_length(river_edges, []).select(F.col("length") / 1000.0).scalar()
-    out = agree.join(length, "threshold").withColumn("_o", official)
+    out = agree.join(length, "threshold", "left").fillna(0.0, ["length_km"]).withColumn("_o", official)
     return out.select(
         "threshold",
         "tolerance",
@@ -66,7 +63,7 @@ def network_overlap(a: DataFrame, b: DataFrame, grid: Grid, tolerance: float) ->
     """Cell overlap of two networks and the shares of each within ``tolerance`` of the other."""
 
     def near(x: DataFrame, y: DataFrame):
-        d = x.select("row", "col").join(distance_to(y, grid), ["row", "col"], "left")
+        d = x.select("row", "col").join(distance_within(x, y, grid, tolerance), ["row", "col"], "left")
         share = F.try_divide(F.count_if(F.col("dist") <= tolerance), F.count("*"))
         return d.agg(F.coalesce(share, F.lit(0.0))).scalar()
 
@@ -82,7 +79,8 @@ def zone_profile(
     dem: DataFrame,
     filled: DataFrame,
     acc: DataFrame,
-    river_distance: DataFrame,
+    rivers: DataFrame,
+    grid: Grid,
     rank: int,
     stream_cells: int,
     tolerance: float,
@@ -98,13 +96,14 @@ def zone_profile(
     zones = hydro.zone_summary(exits, "label").where(F.col("rank") == rank).select("label")
     mine = exits.join(zones, "label", "left_semi")
     main = mine.agg(F.max_by("outlet_id", F.struct("acc", -F.col("outlet_id")))).scalar()
+    mine_cells = materialize(labels.join(mine.select("outlet_id"), "outlet_id", "left_semi").select("row", "col"))
+    channels = hydro.streams(acc, stream_cells, mine_cells)
     z = (
-        labels.join(mine.select("outlet_id"), "outlet_id", "left_semi")
-        .select("row", "col")
+        mine_cells
         .join(dem.select("row", "col", F.col("value").alias("z")), ["row", "col"])
         .join(filled.select("row", "col", F.col("value").alias("f")), ["row", "col"])
         .join(acc.select("row", "col", "acc"), ["row", "col"])
-        .join(river_distance, ["row", "col"], "left")
+        .join(distance_within(channels, rivers, grid, tolerance), ["row", "col"], "left")
     )
     fill = F.col("f") - F.col("z")
     stream = F.col("acc") >= stream_cells

@@ -208,8 +208,9 @@ def _candidates(spark, sf, boundary_tol, river_tol):
     g = fx.grid(spark, sf)
     return hydro.outlet_candidates(
         fx.acc(spark, sf),
-        distance.distance_inside(fx.basin(spark, sf), g),
-        distance.distance_to(fx.river_cells(spark, sf), g),
+        fx.basin(spark, sf),
+        fx.river_cells(spark, sf),
+        g,
         20,
         boundary_tol,
         river_tol,
@@ -289,10 +290,9 @@ def exit_zone_summary(spark, sf):
     JOIN elab ON elab.label=zz.zlabel JOIN exr e ON e.outlet_id=elab.outlet_id JOIN bpaths p ON p.cur=e.id JOIN flow f ON f.id=p.src JOIN galt b ON b.id=f.id JOIN dr_ d ON d.id=f.id GROUP BY zz.zlabel""", **ZONESUM))
 def secondary_zone_profile(spark, sf):
     ex, labels = _zoned_exits(spark, sf)
-    near = distance.distance_to(fx.river_cells(spark, sf), fx.grid(spark, sf))
     return rounded(
         sweep.zone_profile(
-            ex.withColumn("area_km2", F.round("area_km2", 12)), labels, fx.dem(spark, sf), fx.dem_alt(spark, sf), fx.acc(spark, sf), near, 2, 20, 5.0, 0.01, fx.CELL_AREA
+            ex.withColumn("area_km2", F.round("area_km2", 12)), labels, fx.dem(spark, sf), fx.dem_alt(spark, sf), fx.acc(spark, sf), fx.river_cells(spark, sf), fx.grid(spark, sf), 2, 20, 5.0, 0.01, fx.CELL_AREA
         )
     )
 
@@ -329,6 +329,8 @@ SWEEP = {
         m.length_km, m.length_km/official_km AS length_ratio, abs(m.length_km-official_km) AS length_gap FROM agree a JOIN metrics m ON m.t=a.t, rlen""",
 }
 SWEEP_CELLS = [50, 100, 200, 400]
+# No cell gathers so many, so this threshold has no stream.
+NO_STREAM = 1_000_000_000
 
 
 @query(sql("""SELECT m.t AS threshold, m.stream_cells, m.edges, round(m.length_km,6) AS length_km, m.heads, m.outlets, m.junctions, c.components, c.largest_cells,
@@ -357,9 +359,10 @@ def proximity_agreement(spark, sf):
 
 
 @query(sql("""SELECT t AS threshold, tol AS tolerance, round(p,6) AS precision_like, round(r,6) AS recall_like, round(f1,6) AS f1, round(f2,6) AS f2, round(length_km,6) AS length_km,
-    round(length_ratio,6) AS length_ratio, round(length_gap,6) AS length_gap FROM sweeps""", **SWEEP))
+    round(length_ratio,6) AS length_ratio, round(length_gap,6) AS length_gap FROM sweeps
+    UNION ALL SELECT 1000000000, tol, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0, round(official_km,6) FROM tols, rlen""", **SWEEP))
 def stream_threshold_sweep(spark, sf):
-    return rounded(_agreement(spark, sf, SWEEP_CELLS))
+    return rounded(_agreement(spark, sf, [*SWEEP_CELLS, NO_STREAM]))
 
 
 @query(sql("""SELECT tol AS tolerance, arg_max(t, round(f1,9)*1e6-t) AS best_f1, arg_max(t, round(f2,9)*1e6-t) AS best_f2, arg_min(t, length_gap) AS closest_length FROM sweeps GROUP BY tol""", **SWEEP))

@@ -160,10 +160,11 @@ def clip_raster_to_polygon(spark, sf):
 @query(sql("""SELECT DISTINCT g.row, g.col FROM zn JOIN g m ON m.id=zn.id, (SELECT unnest(range(-3,4)) AS dr) a, (SELECT unnest(range(-3,4)) AS dc) b JOIN g ON g.row=m.row+a.dr AND g.col=m.col+b.dc
     WHERE zn.r_name='ASIA' AND a.dr*a.dr+b.dc*b.dc <= 9"""))
 def buffer_area_by_distance(spark, sf):
-    from floodgrid.operators.distance import distance_to
+    from floodgrid.operators.distance import distance_within
 
     mask = fx.named_zone_cells(spark, sf).where("r_name = 'ASIA'").select("row", "col")
-    return distance_to(mask, fx.grid(spark, sf)).where("dist <= 3.0").select("row", "col")
+    g = fx.grid(spark, sf)
+    return distance_within(focal.dilate(mask, 3, g), mask, g, 3.0).select("row", "col")
 
 
 SLOPE = """SELECT g.id, g.row, g.col, sum(w.wx*coalesce(b.z, m.med)) AS sx, sum(w.wy*coalesce(b.z, m.med)) AS sy
