@@ -45,6 +45,8 @@ def main() -> None:
         f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus,
+            # Little data per task: merging it into 1 MiB partitions would idle the cores.
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

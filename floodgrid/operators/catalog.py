@@ -152,6 +152,10 @@ def closest_triplets(scenes: DataFrame, keys: list[str], w: Windows, scene: str,
     )
 
 
+# Weights of a triplet's score.
+LEAST_COVERAGE, MEAN_COVERAGE, SAME_PLATFORM, SAME_FRAME = 1000, 10, 25, 10
+
+
 def ranked_triplets(scenes: DataFrame, keys: list[str], frame: str, w: Windows, scene: str, ts: str) -> DataFrame:
     """Scored triplets grouped with and without the frame, each scene triple once, ranked.
 
@@ -181,7 +185,8 @@ def ranked_triplets(scenes: DataFrame, keys: list[str], frame: str, w: Windows,
     same = F.size(F.array_distinct(F.filter(F.array(*[F.col(f"{r}.platform") for r in roles]), lambda p: p != ""))) <= 1
     away = sum((F.col(f"{r}.away") for r in roles[1:]), F.col("pre.away"))
     low, mean = F.least(*cov), (cov[0] + cov[1] + cov[2]) / 3.0
-    score = low * 1000 + mean * 10 - away + F.when(same, 25).otherwise(0) + F.when(F.col("with_frame"), 10).otherwise(0)
+    bonus = F.when(same, SAME_PLATFORM).otherwise(0) + F.when(F.col("with_frame"), SAME_FRAME).otherwise(0)
+    score = low * LEAST_COVERAGE + mean * MEAN_COVERAGE - away + bonus
     c = g.select(
         *keys,
         "with_frame",
@@ -213,11 +218,20 @@ def scene_manifest(triplet: DataFrame, keys: list[str]) -> DataFrame:
     return triplet.select(*keys, F.inline(rows))
 
 
-def source_verdict(scenes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Which kinds of evidence the catalogs can give, from counts only."""
-    has = lambda p: F.coalesce(F.bool_or(F.col("period") == p), F.lit(False))
-    any_pair = pairs.agg(F.count("*") > 0).scalar()
-    return scenes.agg(
-        (has("PRE") & has("POST")).alias("has_pre_and_post"),
-        F.coalesce(F.bool_or(F.col("coverage") > 0), F.lit(False)).alias("optical_change_candidate"),
-    ).withColumn("repeat_elevation_candidate", any_pair)
+def source_verdict(radar: DataFrame, optical: DataFrame, granules: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Which kinds of evidence the catalogs can give, product by product, from counts only.
+
+    ``radar``, ``optical`` (with coverage) and ``granules`` have a period each; ``pairs`` are repeat tracks.
+    """
+
+    def flags(df: DataFrame, name: str, *more: Column) -> DataFrame:
+        both = [F.coalesce(F.bool_or(F.col("period") == p), F.lit(False)) for p in ("PRE", "POST")]
+        return df.agg(*[b.alias(f"{name}_{p}") for b, p in zip(both, ("pre", "post"))], (both[0] & both[1]).alias(f"{name}_pre_and_post"), *more)
+
+    covered = F.coalesce(F.bool_or(F.col("coverage") > 0), F.lit(False)).alias("optical_meets_area")
+    parts = [flags(radar, "radar"), flags(optical, "optical", covered), flags(granules, "granule")]
+    out = parts[0]
+    for p in parts[1:]:
+        for c in p.columns:
+            out = out.withColumn(c, p.select(c).scalar())
+    return out.withColumn("repeat_elevation_candidate", pairs.agg(F.count("*") > 0).scalar())

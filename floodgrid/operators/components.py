@@ -11,10 +11,6 @@ from floodgrid.operators.tilegraph import label_components
 from floodgrid.runtime import materialize
 
 
-def component_sizes(labelled: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    return labelled.groupBy(*(keys or []), "label").agg(F.count("*").alias("cells"))
-
-
 def remove_small(
     mask: DataFrame, grid: Grid, min_pixels: int = 8, keys: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:

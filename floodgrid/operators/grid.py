@@ -44,13 +44,6 @@ def cell_xy(grid: Grid) -> tuple[Column, Column]:
     return x, y
 
 
-def xy_cell(grid: Grid, x: Column, y: Column) -> tuple[Column, Column]:
-    """Row and column of the cell holding a map coordinate."""
-    row = F.floor((y - grid.origin_y) / grid.res_y).cast("int")
-    col = F.floor((x - grid.origin_x) / grid.res_x).cast("int")
-    return row, col
-
-
 def valid_cells(cells: DataFrame, nodata: float = -9999.0, value: str = "value") -> DataFrame:
     """Drop nodata and non-finite cells (nodata within the usual relative/absolute closeness)."""
     v = F.col(value)

@@ -121,9 +121,14 @@ def channel_targets(flow: DataFrame, channels: DataFrame, tile: int = TILE) -> D
     return first_downstream(marked.fillna(False, ["stop"]), tile)
 
 
-def watersheds(flow: DataFrame, pours: DataFrame, grid: Grid, tile: int = TILE) -> DataFrame:
-    """(row, col, outlet): the pour point each cell meets first downstream; others are dropped."""
-    targets = channel_targets(flow, pours, tile).where("target is not null")
+def watersheds(flow: DataFrame, pours: DataFrame, grid: Grid, tile: int = TILE, keep_unassigned: bool = False) -> DataFrame:
+    """(row, col, outlet): the pour point each cell meets first downstream.
+
+    Cells that meet none are left out, or have a NULL outlet with ``keep_unassigned``.
+    """
+    targets = channel_targets(flow, pours, tile)
+    if not keep_unassigned:
+        targets = targets.where("target is not null")
     return _to_cells(targets.withColumnRenamed("target", "outlet"), grid)
 
 

@@ -34,10 +34,6 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return flags(a, b).where("in_a and not in_b").select(*CELL)
 
 
-def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return flags(a, b).where("in_a != in_b").select(*CELL)
-
-
 def overlap_counts(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Cells in both, either, only a, only b; IoU, Dice and equality, in one aggregate."""
     f = flags(a, b, keys)

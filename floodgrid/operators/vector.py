@@ -55,12 +55,6 @@ def ring_areas(edge_table: DataFrame, keys: list[str]) -> DataFrame:
     return edge_table.groupBy(*keys, "part", "ring").agg((F.sum(cross) / 2).alias("signed_area"))
 
 
-def polygon_areas(edge_table: DataFrame, keys: list[str]) -> DataFrame:
-    """Area with holes: the first ring of a part counts, the others are taken off."""
-    sign = F.when(F.col("ring") == 0, F.abs("signed_area")).otherwise(-F.abs("signed_area"))
-    return ring_areas(edge_table, keys).groupBy(*keys).agg(F.sum(sign).alias("area"))
-
-
 def _in_cells(edge_table: DataFrame, grid: Grid) -> DataFrame:
     u = lambda x: (F.col(x) - grid.origin_x) / grid.res_x
     v = lambda y: (F.col(y) - grid.origin_y) / grid.res_y

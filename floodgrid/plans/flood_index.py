@@ -235,11 +235,11 @@ def scenario_summary(hazard: DataFrame, cell_area: float) -> DataFrame:
 def method_comparison(
     flow: DataFrame, acc: DataFrame, channel_sets: dict[str, DataFrame], grid: Grid, cell_area: float
 ) -> DataFrame:
-    """Routing, prone area and depth signs for several channel definitions."""
+    """Channels, routing, prone area with its components, and depth signs for several channel definitions."""
     rows = []
     for name, channels in channel_sets.items():
         index = materialize(flood_index_table(flow, acc, channels, grid, cell_area))
-        kept, _ = prone_mask(index, grid)
+        kept, removal = prone_mask(index, grid)
         prone = kept.select("row", "col", F.lit(True).alias("prone"))
         wd, p = F.col("wd"), F.col("prone")
         rows.append(
@@ -247,6 +247,10 @@ def method_comparison(
                 F.lit(name).alias("method"),
                 F.count("*").alias("analysis_cells"),
                 F.count("target").alias("resolved_cells"),
+                F.count_if(F.col("target").isNull()).alias("unresolved_cells"),
+                F.count_if(F.col("target") == F.col("id")).alias("channel_cells"),
+                F.min("gfi").alias("min_index"),
+                F.max("gfi").alias("max_index"),
                 F.count_if(F.col("h") < 0).alias("negative_h_cells"),
                 F.count("gfi").alias("finite_index_cells"),
                 F.count_if(p).alias("prone_cells"),
@@ -254,7 +258,7 @@ def method_comparison(
                 F.count_if(p & (wd < 0)).alias("prone_negative_wd_cells"),
                 F.count_if(p & (wd > 0)).alias("prone_positive_wd_cells"),
                 F.count_if(wd > 0).alias("physical_cells"),
-            )
+            ).withColumns({c: removal.select(c).scalar() for c in ("components_before", "components_after")})
         )
     out = rows[0]
     for r in rows[1:]:

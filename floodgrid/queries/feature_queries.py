@@ -355,7 +355,19 @@ MAN = {"fl_": "SELECT regexp_replace(split_part(url,'?',1),'[#].*$','') AS stem,
 
 @query(sql("""SELECT stem, max(bytes) FILTER (ext='png') AS image_bytes, max(bytes) FILTER (ext='pdf') AS document_bytes, CASE WHEN count(*) FILTER (ext='png')=0 THEN 'IMAGE_MISSING' WHEN count(*) FILTER (ext='pdf')=0 THEN 'DOCUMENT_MISSING' ELSE 'OK' END AS status FROM fl_ GROUP BY 1""", **MAN))
 def artifact_manifest(spark, sf):
-    p = fx.table(spark, sf, "pages").select(
+    return cartodata.artifact_manifest(_artifacts(spark, sf), "png", "pdf")
+
+
+@query(sql("""SELECT count(i) AS images, count(d) AS documents, count(i)=count(*) AND count(d)=count(*) AS complete FROM
+    (SELECT stem, max(bytes) FILTER (ext='png') AS i, max(bytes) FILTER (ext='pdf') AS d FROM fl_ GROUP BY 1)""", **MAN))
+def artifact_manifest_totals(spark, sf):
+    """Every stem is expected to have both kinds."""
+    files = _artifacts(spark, sf)
+    expected = files.select("stem").distinct().count()
+    return cartodata.manifest_summary(cartodata.artifact_manifest(files, "png", "pdf"), expected)
+
+
+def _artifacts(spark, sf):
+    return fx.table(spark, sf, "pages").select(
         F.regexp_replace(F.substring_index("url", "?", 1), "[#].*$", "").alias("stem"), F.when(F.col("page_id") % 2 == 0, "png").otherwise("pdf").alias("ext"), F.octet_length("html").alias("bytes")
     )
-    return cartodata.artifact_manifest(p, "png", "pdf")

@@ -190,9 +190,20 @@ def _basin_labels(spark, sf):
     g, basin = fx.grid(spark, sf), fx.basin(spark, sf)
     ranked = hydro.rank_exits(_exits(spark, sf))
     inside = fx.flow(spark, sf).drop("id", "next").join(basin, ["row", "col"], "left_semi")
-    sheds = hydro.watersheds(hydro.with_next(inside, g, within=basin), ranked, g)
+    sheds = hydro.watersheds(hydro.with_next(inside, g, within=basin), ranked, g, keep_unassigned=True)
     ids = fx.with_id(ranked).select(F.col("id").alias("outlet"), "outlet_id")
-    return sheds.join(ids, "outlet"), ranked
+    return sheds.join(ids, "outlet", "left"), ranked
+
+
+@query(sql("""SELECT * FROM (SELECT count(*) AS basin_cells, count(*) FILTER (q.row % 2 = 1) AS assigned_cells, count(*) FILTER (q.row % 2 = 0) AS unassigned_cells FROM
+    (SELECT p.src, e.row FROM bpaths p JOIN exr e ON e.id=p.cur) q)""", **EXITS))
+def partition_completeness(spark, sf):
+    """Only exits in odd rows take cells; cells of the other exits stay as unassigned."""
+    g, basin = fx.grid(spark, sf), fx.basin(spark, sf)
+    ranked = hydro.rank_exits(_exits(spark, sf)).where("row % 2 = 1")
+    inside = fx.flow(spark, sf).drop("id", "next").join(basin, ["row", "col"], "left_semi")
+    sheds = hydro.watersheds(hydro.with_next(inside, g, within=basin), ranked, g, keep_unassigned=True)
+    return sheds.agg(F.count("*").alias("basin_cells"), F.count("outlet").alias("assigned_cells"), F.count_if(F.col("outlet").isNull()).alias("unassigned_cells"))
 
 
 @query(sql("SELECT outlet_id, cells, round(cells*69.381334e0/1e6,6) AS area_km2 FROM parts", **EXITS))

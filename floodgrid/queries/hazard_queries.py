@@ -127,8 +127,9 @@ METHOD = {
 }
 
 
-@query(sql(f"""SELECT a.method, a.analysis_cells, a.resolved_cells, a.negative_h_cells, a.finite_index_cells, p.n AS prone_cells, round(p.n*{KM2},6) AS prone_km2, p.neg AS prone_negative_wd_cells, p.pos AS prone_positive_wd_cells, a.physical_cells
-    FROM (SELECT method, count(*) AS analysis_cells, count(target) AS resolved_cells, count(*) FILTER (h<0) AS negative_h_cells, count(gfi) AS finite_index_cells, count(*) FILTER (wd>0) AS physical_cells FROM mn GROUP BY 1) a JOIN mpr p ON p.method=a.method""", **METHOD))
+@query(sql(f"""SELECT a.method, a.analysis_cells, a.resolved_cells, a.unresolved_cells, a.channel_cells, round(a.lo,6) AS min_index, round(a.hi,6) AS max_index, a.negative_h_cells, a.finite_index_cells, p.n AS prone_cells, round(p.n*{KM2},6) AS prone_km2, p.neg AS prone_negative_wd_cells, p.pos AS prone_positive_wd_cells, a.physical_cells,
+    (SELECT count(DISTINCT label) FROM tcell WHERE threshold=a.method) AS components_before, (SELECT count(DISTINCT label) FROM tcell WHERE threshold=a.method AND n>=8) AS components_after
+    FROM (SELECT method, count(*) AS analysis_cells, count(target) AS resolved_cells, count(*)-count(target) AS unresolved_cells, count(*) FILTER (target=id) AS channel_cells, min(gfi) AS lo, max(gfi) AS hi, count(*) FILTER (h<0) AS negative_h_cells, count(gfi) AS finite_index_cells, count(*) FILTER (wd>0) AS physical_cells FROM mn GROUP BY 1) a JOIN mpr p ON p.method=a.method""", **METHOD))
 def channel_method_comparison(spark, sf):
     """Two channel definitions through the whole chain."""
     g = fx.grid(spark, sf)

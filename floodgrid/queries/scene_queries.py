@@ -370,9 +370,19 @@ def beam_set_comparison(spark, sf):
     return altimetry.beam_sets(p)
 
 
-@query(sql("""SELECT bool_or(period='PRE') AND bool_or(period='POST') AS has_pre_and_post, bool_or(coverage>0) AS optical_change_candidate, TRUE AS repeat_elevation_candidate FROM scenes"""))
+def _period_flags(name, source):
+    pre, post = (f"coalesce((SELECT bool_or(period='{p}') FROM {source}), FALSE)" for p in ("PRE", "POST"))
+    return f"{pre} AS {name}_pre, {post} AS {name}_post, {pre} AND {post} AS {name}_pre_and_post"
+
+
+@query(sql(f"""SELECT {_period_flags("radar", "asc_")}, {_period_flags("optical", "desc_")}, {_period_flags("granule", "scenes")},
+    coalesce((SELECT bool_or(coverage>0) FROM desc_), FALSE) AS optical_meets_area,
+    EXISTS (SELECT 1 FROM gran a JOIN gran b ON a.track=b.track AND a.region=b.region JOIN scenes sa ON sa.event_id=a.event_id AND sa.period='PRE' JOIN scenes sb ON sb.event_id=b.event_id AND sb.period='POST' WHERE a.ok AND b.ok) AS repeat_elevation_candidate""",
+    asc_="SELECT * FROM scenes WHERE direction='ASC'", desc_="SELECT * FROM scenes WHERE direction='DESC'", **GRAN))
 def source_verdict(spark, sf):
-    return catalog.source_verdict(scenes(spark, sf), catalog.repeat_pairs(granules(spark, sf)))
+    s = scenes(spark, sf)
+    g = granules(spark, sf)
+    return catalog.source_verdict(s.where("direction = 'ASC'"), s.where("direction = 'DESC'"), g, catalog.repeat_pairs(g))
 
 
 # JSON documents written from the events: two rows each, one of them damaged now and then.

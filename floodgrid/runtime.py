@@ -15,10 +15,7 @@ def build_session(app: str = "floodgrid", master: str | None = None, **conf) ->
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    # A local run has little data per task; merging it into 1 MiB partitions would idle the cores.
-    local = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"} if (master or "").startswith("local") else {}
     settings = {
-        **local,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
