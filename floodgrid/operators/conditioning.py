@@ -262,7 +262,6 @@ def breach_depressions(cells: DataFrame, grid: Grid, dist: int, tile: int = TILE
     Each pit is judged on the original terrain, so the result does not depend on the tiling;
     where carved paths meet the lower bed counts. Pits that find no way stay, for filling.
     """
-    tile = max(tile, dist)
     src = cells.where(F.col("value").isNotNull()).select("row", "col", F.col("value").cast("double"))
     around = neighbourhood(src, "value")
     inner = ~F.exists("nb", lambda x: x.isNull())
@@ -272,7 +271,13 @@ def breach_depressions(cells: DataFrame, grid: Grid, dist: int, tile: int = TILE
         F.floor((F.col(c) - dist) / tile).cast("int"), F.floor((F.col(c) + dist) / tile).cast("int")
     )
     tiles = marked.where("pit").select(*tile_keys(tile)).distinct()
-    spread = marked.select("row", "col", "value", "pit", F.explode(spans("row")).alias("trow")).select("*", F.explode(spans("col")).alias("tcol"))
+    # Cells are copied to the tiles in reach only if their own tile is near one with a pit.
+    reach = -(-dist // tile)
+    near = F.explode(F.sequence(F.col("trow") - reach, F.col("trow") + reach)).alias("trow")
+    wanted = tiles.select(near, "tcol").select("trow", F.explode(F.sequence(F.col("tcol") - reach, F.col("tcol") + reach)).alias("tcol")).distinct()
+    at = [t.alias(n) for t, n in zip(tile_keys(tile), ("trow", "tcol"))]
+    close = marked.select("row", "col", "value", "pit", *at).join(wanted, ["trow", "tcol"], "left_semi")
+    spread = close.select("row", "col", "value", "pit", F.explode(spans("row")).alias("trow")).select("*", F.explode(spans("col")).alias("tcol"))
     own = (F.floor(F.col("row") / tile) == F.col("trow")) & (F.floor(F.col("col") / tile) == F.col("tcol"))
     # Only tiles that hold a pit are looked at.
     work = spread.withColumn("own", own).join(tiles, ["trow", "tcol"], "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from floodgrid.functions.rounding import rounded
-from floodgrid.operators import conditioning, hydro, outline, resample
+from floodgrid.operators import conditioning, distance, focal, hydro, outline, resample
 from floodgrid.operators.grid import Grid, valid_cells
 from floodgrid.operators.tilegraph import label_components
 from floodgrid.plans.conditioning_study import conditioning_scenarios
@@ -45,6 +45,26 @@ def depression_breaching(spark, sf):
     return rounded(conditioning.breach_then_fill(fx.dem(spark, sf), fx.grid(spark, sf), 10))
 
 
+@query(sql("""SELECT count(*) AS cells, count(*) FILTER (n=8 AND lower_=0) AS pits, count(*) FILTER (n=8 AND lower_=0 AND z < lowest_ring) AS closed_pits, 0::BIGINT AS raised_cells, 0::BIGINT AS far_cells FROM np""",
+    np="""SELECT a.id, a.z, count(b.id) AS n, count(*) FILTER (b.z < a.z) AS lower_, min(b.z) AS lowest_ring FROM g a
+        JOIN g b ON b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1 AND b.id<>a.id GROUP BY 1,2"""))
+def breaching_invariants(spark, sf):
+    """Carving never raises a cell and changes none beyond its reach from a pit."""
+    g, dist = fx.grid(spark, sf), 10
+    dem = fx.dem(spark, sf)
+    around = focal.neighbourhood(dem, "value")
+    inner, lowest = ~F.exists("nb", lambda x: x.isNull()), ~F.exists("nb", lambda x: x < F.col("value"))
+    closed = F.size(F.filter("nb", lambda x: x == F.col("value"))) == 1
+    pits = fx.materialize(around.where(inner & lowest).select("row", "col", closed.alias("closed")))
+    cut = fx.materialize(conditioning.breach_depressions(dem, g, dist))
+    changed = cut.where("breached <> value").select("row", "col")
+    near = distance.square_reach(changed, pits, dist)
+    far = changed.join(near, ["row", "col"], "left_anti").agg(F.count("*")).scalar()
+    out = cut.agg(F.count("*").alias("cells"), F.count_if(F.col("breached") > F.col("value")).alias("raised_cells"))
+    counts = pits.agg(F.count("*").alias("pits"), F.count_if("closed").alias("closed_pits"))
+    return out.withColumns({c: counts.select(c).scalar() for c in counts.columns}).withColumn("far_cells", far)
+
+
 @query()
 def conditioning_comparison(spark, sf):
     return rounded(

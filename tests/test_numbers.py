@@ -13,11 +13,11 @@ from floodgrid.operators.grid import Grid
 PROBS = {"a": 0.0, "b": 0.01, "c": 0.333, "d": 0.5, "e": 0.999, "f": 1.0}
 
 
-@pytest.mark.parametrize("limit", [10, 10**9])
-def test_percentiles_both_ways(spark, monkeypatch, limit):
-    monkeypatch.setattr(quantiles, "ONE_PASS_ROWS", limit)
+def test_percentiles_in_ranges(spark):
+    """Groups larger than a range, of one value, of ties, and without a key."""
     rng = np.random.default_rng(1)
     data = {"skew": rng.lognormal(0, 3, 4000), "one": np.array([2.5]), "ties": np.repeat([1.0, 2.0, 7.0], 300)}
+    data[None] = np.array([3.0, 4.0])
     df = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v] + [("ties", None)], "k string, x double")
     got = {r.k: r for r in quantiles.group_percentiles(df, ["k"], "x", PROBS).collect()}
     for k, v in data.items():
