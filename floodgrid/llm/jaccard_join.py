@@ -11,7 +11,7 @@ three levels:
   whole table, and only the first ``n - ceil(t n) + 1`` of a set are indexed. An index list is ordered
   by set size; a probe skips on to the next size block, and by position: where two sets first meet,
   the shorter rest bounds their overlap. Lists longer than ``LIST_BLOCK`` are cut into blocks that
-  meet pairwise in different tasks.
+  meet pairwise in different tasks (sets of one block meet in several of them; pairs are made distinct).
 
 Candidates are compared on whole sets, made again from the texts of just those documents. No pair of
 different texts is lost; the sketch, the bands and the bit set only steer which work is skipped.
@@ -31,10 +31,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floodgrid.llm.skew import join_hot
+from floodgrid.functions.graph import components
+from floodgrid.functions.skew import join_hot
 from floodgrid.runtime import materialize
 
 SHINGLE, THRESHOLD = 4, 85
@@ -42,7 +43,9 @@ SKETCH_BITS, SKETCH_SLICES = 22, 16
 BANDS, ROWS = 4, 2
 LIST_BLOCK = 2000
 FILTER_BITS = 23
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000
+# Bytes of sets that a task holds before it hands them on.
+CHUNK = 1 << 22
 _U = np.uint64
 
 
@@ -165,49 +168,72 @@ def _signatures(documents: DataFrame, doc_id: str, text: str, k: int, t: int, le
     return rows.mapInArrow(run, "doc_id bigint, n int, digest binary, bands array<bigint>, prefix array<bigint>")
 
 
-def _possible(documents: DataFrame, ids: DataFrame, doc_id: str, wanted: bool = True) -> DataFrame:
-    """Rows of ``documents`` whose id may be in ``ids`` (column ``doc_id``), and those without one; else all others.
+class _BitSet:
+    """A set of ids as 2^FILTER_BITS bits, whatever their number; others are let through by chance."""
 
-    A bit set of 2^FILTER_BITS bits is broadcast whatever the number of ids; it lets through rows by
-    chance, which a join takes out, and where it is full it saves nothing.
-    """
-    size = 1 << FILTER_BITS
+    def __init__(self, ids: DataFrame):
+        places = ids.where("doc_id IS NOT NULL").select(self.cell("doc_id").alias("c"))
+        bits = F.expr("bit_or(shiftleft(1L, CAST(c % 32 AS INT)))")
+        words = places.groupBy(F.shiftright("c", 5).alias("w")).agg(bits.alias("bits"))
+        table = np.zeros(1 << FILTER_BITS >> 5, np.uint32)
+        for row in words.toLocalIterator():
+            table[row.w] = row.bits
+        self.bits = ids.sparkSession.sparkContext.broadcast(table)
+
+    @staticmethod
+    def cell(c: str) -> Column:
+        """The place of an id; null without one."""
+        col = F.col(f"`{c}`").cast("long")
+        return F.when(col.isNotNull(), F.pmod(F.xxhash64(col), F.lit(1 << FILTER_BITS)))
+
+    def filter(self) -> Callable[[pa.Array], np.ndarray]:
+        """Which of an array of places may be in the set; rows without an id may."""
+        bits = self.bits
+
+        def may(cells: pa.Array) -> np.ndarray:
+            null = cells.is_null().to_numpy(zero_copy_only=False)
+            at = cells.fill_null(0).to_numpy(zero_copy_only=False)
+            return null | (bits.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
 
-    def cell(c: str):
-        return F.pmod(F.xxhash64(F.col(f"`{c}`").cast("long")), F.lit(size))
+        return may
 
-    places = ids.where("doc_id IS NOT NULL").select(cell("doc_id").alias("c"))
-    words = places.groupBy(F.shiftright("c", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(c % 32 AS INT)))").alias("bits"))
-    table = np.zeros(size >> 5, np.uint32)
-    for row in words.toLocalIterator():
-        table[row.w] = row.bits
-    bits = documents.sparkSession.sparkContext.broadcast(table)
+
+def _rows_by_bits(documents: DataFrame, bits: _BitSet, doc_id: str, wanted: bool) -> DataFrame:
+    """Rows whose id may be in the set, or those whose id is not."""
+    may = bits.filter()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            null = np.isnan(c.astype(np.float64))
-            at = np.where(null, 0, c).astype(np.int64)
-            keep = null | (bits.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+            keep = may(batch.column(batch.num_columns - 1))
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep == wanted))
 
-    celled = documents.withColumn("_cell", F.when(F.col(f"`{doc_id}`").isNotNull(), cell(doc_id)))
-    return celled.mapInArrow(run, documents.schema)
+    return documents.withColumn("_cell", bits.cell(doc_id)).mapInArrow(run, documents.schema)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, k: int, t: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = materialize(nodes.join(ends, "node", "left_semi").select("node", "digest", "doc_id"))
-    rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    bits = _BitSet(needed)
+    may = bits.filter()
+    rows = documents.select(bits.cell(doc_id).alias("cell"), F.col(f"`{text}`").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _texts(batches, 1):
-            made = [shingle_set(x, k).tobytes() for x in texts]
-            digests = [hashlib.blake2b(s, digest_size=16).digest() for s in made]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(made, pa.binary())], ["digest", "body"])
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(bodies, pa.binary())], ["digest", "body"])
 
-    made = _possible(rows, needed, "doc_id").mapInArrow(sets, "digest binary, body binary")
+        digests, bodies, size = [], [], 0
+        for batch in batches:
+            for i in np.flatnonzero(may(batch.column(0))):
+                bodies.append(shingle_set((batch.column(1)[int(i)].as_py() or "").encode(), k).tobytes())
+                digests.append(hashlib.blake2b(bodies[-1], digest_size=16).digest())
+                size += len(bodies[-1])
+                if size > CHUNK:
+                    yield out()
+                    digests, bodies, size = [], [], 0
+        yield out()
+
+    made = rows.mapInArrow(sets, "digest binary, body binary")
     # A node's own document is enough; rows with the same id or without one may bring it again.
     bodies = materialize(made.join(needed.select("digest", "node"), "digest").groupBy("node").agg(F.max("body").alias("body")))
     one = join_hot(pairs, bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a", 100)
@@ -226,26 +252,29 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id:
 
 
 def _list_pairs(t: int) -> Callable:
-    """Candidate pairs of index lists that arrive ordered by (token, block, size)."""
-
-    def pairs_of(token, x, y, size, at, node, label, side) -> np.ndarray:
-        """Rows of one or more whole lists, by growing distance in the list."""
+    """Candidate pairs of index lists that arrive ordered by (token, blocks, size and position)."""
+
+    def pairs_of(token, blocks, spot, node, label) -> np.ndarray:
+        """Pairs within whole lists, by growing distance in the list."""
+        starts = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (blocks[1:] != blocks[:-1]))))
+        # Lists of one class hold no pair to compare; most lists have one set and end here as well.
+        mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+        number = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(token)]))))
+        keep = mixed[number]
+        number, node, label = number[keep], node[keep], label[keep]
+        size, at = spot[keep] >> 32, spot[keep] & 0xFFFFFFFF
         found = []
-        active = np.arange(len(token))
+        active = np.arange(len(number))
         d = 1
         while True:
-            active = active[active + d < len(token)]
-            j = active + d
+            active = active[active + d < len(number)]
             # Lists are ordered by size, so beyond the first set that is too large all are.
-            near = (token[active] == token[j]) & (x[active] == x[j]) & (y[active] == y[j]) & (100 * size[active] >= t * size[j])
-            active = active[near]
+            active = active[(number[active] == number[active + d]) & (100 * size[active] >= t * size[active + d])]
             if not len(active):
                 break
             i, j = active, active + d
             rest = np.minimum(size[i] - at[i], size[j] - at[j])
             good = (label[i] != label[j]) & ((100 + t) * rest >= t * (size[i] + size[j]))
-            # Two different blocks meet only across; each block meets itself once.
-            good &= (x[i] == y[i]) | (side[i] != side[j])
             i, j = i[good], j[good]
             found.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), 1))
             d += 1
@@ -254,18 +283,17 @@ def _list_pairs(t: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
-            key = held[:3]
             # The last list may go on in the next batch.
-            changes = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1]))
+            changes = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
             if not len(changes):
                 continue
             cut = int(changes[-1]) + 1
             found = pairs_of(*[h[:cut] for h in held])
             held = [h[cut:] for h in held]
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-        if held is not None:
+        if held is not None and len(held[0]):
             found = pairs_of(*held)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
@@ -273,49 +301,27 @@ def _list_pairs(t: int) -> Callable:
 
 
 def _candidates(nodes: DataFrame, t: int, block: int = LIST_BLOCK) -> DataFrame:
-    """Pairs of nodes of different labels that share an indexed shingle and pass the size and position bounds."""
-    lists = nodes.select("node", "label", F.col("n").cast("long").alias("size"), F.posexplode("prefix").alias("at", "token"))
-    counts = lists.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    # Lists within one class hold no pair to compare. Most lists have one set and end here as well.
-    useful = counts.where("m > 1 AND l0 <> l1").select("token", "m")
-    rows = lists.join(useful, "token")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select(
-        "token", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "size", F.col("at").cast("long").alias("at"), "node", "label", "side"
-    )
-    ordered = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "size")
-    return materialize(ordered.mapInArrow(_list_pairs(t), "a bigint, b bigint").distinct())
-
+    """Pairs of nodes of different labels that share an indexed shingle and pass the size and position bounds.
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each class, for all nodes of the edges (a, b).
-
-    Every node points to its smallest neighbour or itself; pointers are followed by doubling; the
-    edges between what is left form the next, smaller graph.
+    A token's first bits are the sketch's level, so its list has fewer than 2^(level + 1) sets. Only
+    lists that may be longer than a block are counted and cut: block i of a list meets block j in a
+    list of its own, in which the sets of both stand.
     """
-    labels = None
-    while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")))
-        while True:
-            above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = materialize(join_hot(up, above, "up").select("node", "up", "top"))
-            moved = jumped.where("top <> up").limit(1).count()
-            up = jumped.select("node", F.col("top").alias("up"))
-            if not moved:
-                break
-        if labels is None:
-            labels = up.select("node", F.col("up").alias("label"))
-        else:
-            step = up.select(F.col("node").alias("label"), F.col("up").alias("next"))
-            labels = materialize(join_hot(labels, step, "label", how="left").select("node", F.coalesce("next", "label").alias("label")))
-        first = join_hot(edges, up.select(F.col("node").alias("a"), F.col("up").alias("ra")), "a")
-        second = join_hot(materialize(first), up.select(F.col("node").alias("b"), F.col("up").alias("rb")), "b")
-        edges = materialize(second.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        if not edges.limit(1).count():
-            return labels
+    spot = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at").cast("long")).alias("spot")
+    lists = nodes.select("node", "label", "n", F.posexplode("prefix").alias("at", "token")).select("token", spot, "node", "label")
+    level = F.shiftrightunsigned("token", 58)
+    long_from = block.bit_length() - 1
+    short = lists.where(level < long_from).withColumn("blocks", F.lit(0).cast("long"))
+    long = lists.where(level >= long_from)
+    counts = long.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    rows = long.join(counts.where("m > 1 AND l0 <> l1").select("token", "m"), "token")
+    parts = F.ceil(F.col("m") / block).cast("long")
+    own = F.pmod(F.xxhash64("node"), parts)
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    met = (F.shiftleft(F.least("own", "other"), 21) + F.greatest("own", "other")).alias("blocks")
+    cut = rows.select("token", "spot", "node", "label", met)
+    ordered = short.unionByName(cut).repartition("token", "blocks").sortWithinPartitions("token", "blocks", "spot")
+    return materialize(ordered.select("token", "blocks", "spot", "node", "label").mapInArrow(_list_pairs(t), "a bigint, b bigint").distinct())
 
 
 def link_classes(
@@ -346,9 +352,8 @@ def link_classes(
         links = _verified(star, nodes, documents, doc_id, text, k, t)
         if links.limit(1).count():
             first = components(links)
-    labelled = nodes.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = materialize(labelled.select("node", "label", "n", "digest", "doc_id", "prefix"))
-    pairs = _candidates(labelled, t)
+    labelled = materialize(nodes.select("node", "digest", "doc_id").join(first, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    pairs = _candidates(nodes.select("node", "n", "prefix").join(labelled.select("node", "label"), "node"), t)
     if pairs.limit(1).count():
         links = _verified(pairs, nodes, documents, doc_id, text, k, t)
         label = labelled.select("node", "label")
@@ -382,6 +387,7 @@ def one_of_each_class(documents: DataFrame, doc_id: str = "doc_id", text: str =
     keepers = linked_rows.groupBy("component_id").agg(first).select("first.place")
     dropped = materialize(classes.select(F.col("doc_id")).join(keepers.withColumnRenamed("place", "doc_id"), "doc_id", "left_anti"))
     # Only rows that may be dropped are shuffled.
-    sure = _possible(numbered, dropped, "place", wanted=False)
-    rest = _possible(numbered, dropped, "place").join(dropped.withColumnRenamed("doc_id", "place"), "place", "left_anti")
+    bits = _BitSet(dropped)
+    sure = _rows_by_bits(numbered, bits, "place", wanted=False)
+    rest = _rows_by_bits(numbered, bits, "place", wanted=True).join(dropped.withColumnRenamed("doc_id", "place"), "place", "left_anti")
     return sure.select("row.*").unionByName(rest.select("row.*"))
