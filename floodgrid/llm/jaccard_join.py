@@ -13,8 +13,10 @@ three levels:
   the shorter rest bounds their overlap. Lists longer than ``LIST_BLOCK`` are cut into blocks that
   meet pairwise in different tasks (sets of one block meet in several of them; pairs are made distinct).
 
-Candidates are compared on whole sets, made again from the texts of just those documents. No pair of
-different texts is lost; the sketch, the bands and the bit set only steer which work is skipped.
+Candidates are screened by parity bitmaps (bits that differ in two bitmaps are at most the shingles
+in which the sets differ) and then compared on whole sets, made again from the texts of just those
+documents. No pair of different texts is lost; the sketch, the bands, the bitmaps and the bit set
+only steer which work is skipped.
 
 Cases: null texts, empty texts and texts without words have an empty set and link with nothing; a
 text with fewer words than a shingle is one shingle; equal ids are separate documents of one class
@@ -93,6 +95,23 @@ def linked(a: np.ndarray, b: np.ndarray, t: int) -> bool:
     return 100 * common >= t * (len(a) + len(b) - common)
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bitmap of at least twice as many bits as shingles; each shingle flips one."""
+    size = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    flips = np.bincount((s >> _U(32) & _U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A number of shingles in which two sets differ at least, from their bitmaps."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Iterator[bytes]]]:
     for batch in batches:
         yield batch, (x.as_py() or b"" for x in batch.column(column).cast(pa.binary()))
@@ -135,14 +154,14 @@ def frequency_levels(documents: DataFrame, text: str, k: int, bits: int = SKETCH
 
 
 def _signatures(documents: DataFrame, doc_id: str, text: str, k: int, t: int, levels) -> DataFrame:
-    """doc_id, n, digest of the set, min-hash bands, and the rarest ``prefix`` shingles in order."""
+    """doc_id, n, digest of the set, min-hash bands, the rarest ``prefix`` shingles in order, parity bitmap."""
     odd = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | _U(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         mask = _U(len(level) - 1)
         for batch, texts in _texts(batches, 1):
-            n, digests, bands, prefixes = [], [], [], []
+            n, digests, bands, prefixes, bitmaps = [], [], [], [], []
             for raw in texts:
                 s = shingle_set(raw, k)
                 n.append(len(s))
@@ -150,7 +169,9 @@ def _signatures(documents: DataFrame, doc_id: str, text: str, k: int, t: int, le
                 if not len(s):
                     bands.append([])
                     prefixes.append([])
+                    bitmaps.append(b"")
                     continue
+                bitmaps.append(parity_bits(s))
                 low = np.array([(s * c).min() for c in odd]).reshape(BANDS, ROWS)
                 key = _mixed(low[:, 0] + _U(3) * low[:, 1] + np.arange(BANDS, dtype=np.uint64))
                 bands.append(key.view(np.int64))
@@ -160,12 +181,12 @@ def _signatures(documents: DataFrame, doc_id: str, text: str, k: int, t: int, le
                 prefixes.append(np.sort(np.partition(place, p - 1)[:p]).view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(prefixes, longs)],
-                ["doc_id", "n", "digest", "bands", "prefix"],
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(prefixes, longs), pa.array(bitmaps, pa.binary())],
+                ["doc_id", "n", "digest", "bands", "prefix", "bits"],
             )
 
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n int, digest binary, bands array<bigint>, prefix array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, n int, digest binary, bands array<bigint>, prefix array<bigint>, bits binary")
 
 
 class _BitSet:
@@ -210,6 +231,24 @@ def _rows_by_bits(documents: DataFrame, bits: _BitSet, doc_id: str, wanted: bool
     return documents.withColumn("_cell", bits.cell(doc_id)).mapInArrow(run, documents.schema)
 
 
+def _screened(pairs: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose bitmaps leave a link possible."""
+    slim = nodes.select("node", F.struct("n", "bits").alias("of"))
+    one = join_hot(pairs, slim.select(F.col("node").alias("a"), F.col("of").alias("x")), "a", 100)
+    both = join_hot(materialize(one), slim.select(F.col("node").alias("b"), F.col("of").alias("y")), "b", 100)
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 4))
+            x, y = batch.column(3), batch.column(5)
+            least = np.array([least_difference(x[i].as_py(), y[i].as_py()) for i in range(batch.num_rows)], np.int64)
+            # Linked sets differ in at most (1 - t) / (1 + t) of the sum of their sizes.
+            yield batch.select([0, 1]).filter(pa.array((100 + t) * least <= (100 - t) * (na + nb)))
+
+    flat = both.select("a", "b", F.col("x.n").alias("na"), F.col("x.bits").alias("xb"), F.col("y.n").alias("nb"), F.col("y.bits").alias("yb"))
+    return materialize(flat.mapInArrow(screen, "a bigint, b bigint"))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, k: int, t: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -334,7 +373,7 @@ def link_classes(
     full = made.where("n > 0")
     # One node per distinct set. Sets whose documents all lack an id get a number of their own below all ids.
     sets = full.groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix")
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")
     )
     own = F.least(F.bitwise_not(F.abs(F.xxhash64("digest"))), F.lit(-1))
     nodes = materialize(sets.withColumn("node", F.coalesce("doc_id", own)))
@@ -348,12 +387,13 @@ def link_classes(
     none = spark.createDataFrame([], "node bigint, label bigint")
 
     first = second = none
+    star = _screened(star, nodes, t)
     if star.limit(1).count():
         links = _verified(star, nodes, documents, doc_id, text, k, t)
         if links.limit(1).count():
             first = components(links)
     labelled = materialize(nodes.select("node", "digest", "doc_id").join(first, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    pairs = _candidates(nodes.select("node", "n", "prefix").join(labelled.select("node", "label"), "node"), t)
+    pairs = _screened(_candidates(nodes.select("node", "n", "prefix").join(labelled.select("node", "label"), "node"), t), nodes, t)
     if pairs.limit(1).count():
         links = _verified(pairs, nodes, documents, doc_id, text, k, t)
         label = labelled.select("node", "label")

@@ -141,6 +141,9 @@ def default_rules() -> list[Rule]:
     return rules
 
 
+_STEP = 256
+
+
 def detections(words: bytes, rules_by_keyword: dict[bytes, list[tuple[int, Rule]]]) -> list[tuple[int, int, int, Rule]]:
     """(start, end, rule number, rule) in bytes of ``words``, after suppression."""
     found = [
@@ -153,9 +156,15 @@ def detections(words: bytes, rules_by_keyword: dict[bytes, list[tuple[int, Rule]
     # Best first: what an earlier one contains is suppressed.
     found.sort(key=lambda d: (-d[3].priority, d[0] - d[1], d[2], d[0]))
     kept: list[tuple[int, int, int, Rule]] = []
+    # By the place of their start, so that a text with many detections compares only close ones.
+    near: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    longest = 0
     for d in found:
-        if not any(s <= d[0] and d[1] <= e for s, e, _, _ in kept):
+        around = range((d[0] - longest) // _STEP, d[0] // _STEP + 1)
+        if not any(s <= d[0] and d[1] <= e for k in around for s, e in near.get(k, ())):
             kept.append(d)
+            near[d[0] // _STEP].append(d[:2])
+            longest = max(longest, d[1] - d[0])
     return sorted(kept, key=lambda d: (d[0], d[1]))
 
 
