@@ -165,6 +165,15 @@ def test_long_lists_meet_in_blocks(spark, monkeypatch):
     assert classes_of(table) == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m, common in ((5, 5, 3), (300, 280, 270), (90, 100, 80), (1000, 1010, 0), (1, 1, 1), (64, 70, 64)):
+        both = rng.integers(0, 2**63, n + m - common).astype(np.uint64)
+        a, b = np.sort(both[:n]), np.sort(both[n - common :])
+        least = jaccard_join.least_difference(jaccard_join.parity_bits(a), jaccard_join.parity_bits(b))
+        assert least <= n + m - 2 * common and (least == 0) == (n + m == 2 * common)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(300, 200), (200, 250)]
     got = {r.node: r.label for r in jaccard_join.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -181,6 +190,15 @@ def test_classes_on_odd_and_empty_tables(spark, odd):
     assert jaccard_join.one_of_each_class(odd.limit(0)).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark, prose, prose_table):
+    want = plain_classes(plain_sets([(i, t) for i, t, _ in prose]))
+    kept = jaccard_join.one_of_each_class(prose_table).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
+    # Numbered rows: ids repeat, or are missing.
+    twice = prose_table.unionByName(prose_table.where("doc_id < 5"))
+    assert sorted(r.doc_id for r in jaccard_join.one_of_each_class(twice).collect()) == sorted(set(want.values()))
+
+
 def test_join_with_hot_keys(spark):
     rows = spark.range(1000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 7 WHEN id % 5 = 0 THEN NULL ELSE id END AS k")
     values = spark.range(500).selectExpr("id AS k", "id * 10 AS v")
