@@ -418,7 +418,21 @@ def _with_classes(made: DataFrame, nodes: DataFrame, wider: DataFrame) -> DataFr
 
 
 def one_of_each_class(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, t: int = THRESHOLD) -> DataFrame:
-    """The row with the smallest id of every class (rows without an id last), with all columns."""
+    """The row with the smallest id of every class (rows without an id last), with all columns.
+
+    Ids that are present and different name the rows. Else rows are numbered in a written copy, so
+    that of repeated ids and of rows without one, too, a single row stays.
+    """
+    ids = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"))
+    missing = ids.where("id IS NULL").limit(1).count()
+    if not missing and not ids.groupBy("id").count().where("count > 1").limit(1).count():
+        classes = materialize(link_classes(documents, doc_id, text, k, t))
+        dropped = classes.where("doc_id <> component_id").select("doc_id")
+        bits = _BitSet(dropped)
+        sure = _rows_by_bits(documents, bits, doc_id, wanted=False)
+        unsure = _rows_by_bits(documents, bits, doc_id, wanted=True)
+        rest = unsure.join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col(f"`{doc_id}`").cast("long") == F.col("_dropped"), "left_anti")
+        return sure.unionByName(rest)
     kept = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
     numbered = materialize(documents.select(kept, F.col(f"`{doc_id}`").alias("id"), F.monotonically_increasing_id().alias("place")))
     classes = materialize(link_classes(numbered.select("place", F.col(f"row.`{text}`").alias("text")), "place", "text", k, t))
