@@ -185,15 +185,11 @@ def estimate(counts: DataFrame, rules: dict[str, tuple[str, str]] = RULES, round
 def judge(documents: DataFrame, text: str = "text", keep: list[str] | None = None, rules: dict[str, tuple[str, str]] = RULES) -> DataFrame:
     """``row``, the counts, ``base_failed``, ``probability`` of good quality and ``kept``.
 
-    Counts without texts are written once. Where the texts are kept, counts are made again for the
-    result, so that no second copy of the texts is written.
+    The counts are written once with what is kept: a filter on the verdict would else be pushed below
+    them and have the costly ones computed once for every use.
     """
-    counts = with_counts(documents, text, keep)
-    if keep is None or text in keep:
-        theta = estimate(with_counts(documents, text, []), rules)
-    else:
-        counts = materialize(counts)
-        theta = estimate(counts, rules)
+    counts = materialize(with_counts(documents, text, keep))
+    theta = estimate(counts, rules)
     literal = F.array(*[F.lit(x) for x in theta or [0.5] * (1 + 2 * len(rules))])
     odds = _log_odds(literal, lambda r: F.get(F.col("v"), F.lit(r)), len(rules))
     judged = counts.withColumn("v", votes(rules)).withColumn("probability", _probability(odds))
