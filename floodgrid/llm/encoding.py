@@ -25,7 +25,7 @@ _SPACED_PARTS = re.compile(rb" ?[A-Za-z\x80-\xff]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-
 # Runs of white space, which belong to several parts.
 _RUNS = (b"  ", b"\n\n", b" \n", b"\n ")
 
-PARTS_KEPT = 600_000
+PARTS_KEPT = 300_000
 _LOADED: dict[tuple, object] = {}
 
 
