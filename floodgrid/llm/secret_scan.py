@@ -6,7 +6,8 @@ over the run and its Shannon entropy is kept by counts, where one character leav
 Windows at or above the class's limit that pass the allow list merge into one ``entropy`` span.
 
 Allow list: runs of one letter case without digits or of one repeated character (words), runs listed
-as known placeholders, and UUIDs. A span that meets a base span is left out, as it is reported there.
+as known placeholders, and UUIDs. Base spans are cut out of an entropy span, as they are reported
+there; a remainder stays if it holds a window that lies outside every base span.
 
 Cases: null and empty texts have no spans; ties in order (same start) keep the order of the kinds;
 texts of any length are scanned whole; repeated rows and extra columns are kept as they are.
@@ -14,6 +15,7 @@ texts of any length are scanned whole; repeated rows and extra columns are kept
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -109,6 +111,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def entropy_spans(text: str, base: list[tuple[str, int, int]], classes: tuple[CharacterClass, ...] = CLASSES) -> list[tuple[str, int, int]]:
     found = []
+    taken = _union([(s, e) for _, s, e in base])
+    # Windows outside every base span, in runs that a base span meets.
+    clear: list[tuple[int, int]] = []
     # Every class's run lies in a run of the widest class.
     for outer in _CANDIDATE.finditer(text):
         if allowed(outer[0]):
@@ -117,17 +122,51 @@ def entropy_spans(text: str, base: list[tuple[str, int, int]], classes: tuple[Ch
             for m in kind.run.finditer(outer[0]):
                 if not allowed(m[0]):
                     at = outer.start() + m.start()
-                    found += [(at + a, at + b) for a, b in entropy_windows(m[0], kind.width, kind.bits)]
+                    windows = [(at + a, at + b) for a, b in entropy_windows(m[0], kind.width, kind.bits)]
+                    found += windows
+                    free = _without(at, at + len(m[0]), taken)
+                    if free == [(at, at + len(m[0]))]:
+                        clear += windows
+                    elif windows:
+                        clear += [(s + a, s + b) for s, e in free for a, b in entropy_windows(text[s:e], kind.width, kind.bits)]
+    rest = [piece for a, b in _union(found) for piece in _without(a, b, taken)]
+    clear.sort()
+    out, k = [], 0
+    for a, b in rest:
+        while k < len(clear) and clear[k][0] < a:
+            k += 1
+        # A clear window lies in one remainder whole.
+        if k < len(clear) and clear[k][0] < b and text[a:b].strip(_JOINTS) not in PLACEHOLDERS:
+            out.append(("entropy", a, b))
+    return out
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that meet or touch as one, in order."""
     merged: list[tuple[int, int]] = []
-    for a, b in sorted(found):
+    for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
             merged.append((a, b))
-    return [("entropy", a, b) for a, b in merged if not any(a < e and s < b for _, s, e in base)]
+    return merged
+
+
+def _without(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a span without ``taken`` (disjoint, in order)."""
+    out = []
+    for k in range(bisect.bisect_right(taken, start, key=lambda s: s[1]), len(taken)):
+        s, e = taken[k]
+        if s >= end:
+            break
+        if start < s:
+            out.append((start, s))
+        start = e
+    return [*out, (start, end)] if start < end else out
 
 
 _CANDIDATE = re.compile(r"[0-9A-Za-z+/_=-]{24,}")
+_JOINTS = "+/_=-"
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:

@@ -67,6 +67,34 @@ def test_entropy_finds_keys_and_spares_words():
     assert not secret_scan.entropy_spans(key, [("assign", 0, 40)])
 
 
+@pytest.mark.parametrize("joined", ["{access}/{key}", "{key}_{hexes}", "{hexes}={key}", "{access}/{key}_{hexes}"])
+def test_entropy_keeps_a_key_joined_to_a_base_span(joined):
+    rng = random.Random(11)
+    for _ in range(100):
+        key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=40))
+        access = "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))
+        hexes = "".join(rng.choices("0123456789abcdef", k=32))
+        alone = secret_scan.entropy_spans(key, [])
+        text = f"see {joined.format(access=access, key=key, hexes=hexes)} there"
+        base = secret_scan.base_spans(text)
+        assert len(base) == joined.count("{") - 1
+        spans = secret_scan.entropy_spans(text, base)
+        at = text.index(key)
+        for _, a, b in alone:
+            assert any(s <= at + a and at + b <= e for _, s, e in spans)
+        assert not any(s < e2 and s2 < e for _, s, e in spans for _, s2, e2 in base)
+
+
+def test_entropy_drops_remainders_without_a_window_of_their_own():
+    rng = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    text = "".join(rng.sample(alphabet, 20)) + "_" + "0123456789abcdef" * 2
+    assert [k for k, *_ in secret_scan.base_spans(text)] == ["hex"]
+    assert not secret_scan.entropy_spans(text, secret_scan.base_spans(text))
+    example = "/".join(secret_scan.PLACEHOLDERS)
+    assert not secret_scan.entropy_spans(example, secret_scan.base_spans(example))
+
+
 def test_secrets_on_odd_and_empty_tables(spark, odd):
     out = secret_scan.scan_secrets(odd, keep=["doc_id", "row", "n_words"]).collect()
     assert len(out) == odd.count()
