@@ -2,7 +2,7 @@
 
 A rule is a pattern over the text's words (lower-cased A-Z, letters, digits and non-ASCII code
 points, one blank between), with a label, a priority, a confidence and a keyword. A rule runs only on
-texts that hold its keyword. Where detections overlap, one that lies within another of higher
+texts that hold its keyword, which every match must contain. Where detections overlap, one that lies within another of higher
 priority, or of the same priority and greater length, is suppressed. The rules are the product of
 license families, their names and the ways in which a text states a license.
 
@@ -61,7 +61,8 @@ FAMILIES: list[tuple[str, str, list[str]]] = [
     ("cpl", "common public", [r"common public licen[sc]e"]),
     ("artistic", "artistic", [r"(?:perl )?artistic licen[sc]e"]),
     ("zlib", "zlib", [r"zlib licen[sc]e", r"zlib libpng licen[sc]e"]),
-    ("boost", "boost", [r"boost software licen[sc]e", r"bsl 1 0"]),
+    ("boost", "boost", [r"boost software licen[sc]e"]),
+    ("boost", "bsl 1 0", [r"bsl 1 0"]),
     ("unlicense", "unlicense", [r"(?:the )?unlicense"]),
     ("wtfpl", "wtfpl", [r"wtfpl"]),
     ("eupl", "eupl", [r"eupl"]),
@@ -69,7 +70,8 @@ FAMILIES: list[tuple[str, str, list[str]]] = [
     ("ofl", "open font", [r"(?:sil )?open font licen[sc]e"]),
     ("odbl", "odbl", [r"odbl"]),
     ("odbl", "open database", [r"open database licen[sc]e"]),
-    ("python", "python", [r"python software foundation licen[sc]e", r"psf licen[sc]e"]),
+    ("python", "python", [r"python software foundation licen[sc]e"]),
+    ("python", "psf", [r"psf licen[sc]e"]),
     ("ruby", "ruby", [r"ruby licen[sc]e"]),
     ("php", "php", [r"php licen[sc]e"]),
     ("openssl", "openssl", [r"openssl licen[sc]e"]),

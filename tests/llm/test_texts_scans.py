@@ -1,6 +1,7 @@
 """Secret scans, license scans, decontamination, revisits."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -129,12 +130,48 @@ def test_license_base_places(spark):
         ("Released under MIT", "mit"),
         ("SPDX-License-Identifier: AGPL-3.0", "agpl"),
         ("two clause BSD license", "bsd-2-clause"),
+        ("Released under the PSF License", "python"),
+        ("SPDX-License-Identifier: BSL-1.0", "boost"),
     ],
 )
 def test_license_rules(text, labels):
     assert license_scan._scanner()(text.encode())[5] == labels
 
 
+def texts_of(tree):
+    """Every text of a parsed pattern; repeats with the fewest and one more, a set by its members, any digit as 7."""
+    out = [""]
+    for op, value in tree:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(value)]
+        elif name == "IN":
+            more = ["7" if str(k) == "CATEGORY" else chr(v) for k, v in value]
+        elif name == "MAX_REPEAT":
+            least, most, inner = value
+            once = texts_of(inner)
+            more = ["".join(p) for n in range(least, min(most, least + 1) + 1) for p in itertools.product(once, repeat=n)]
+        elif name == "SUBPATTERN":
+            more = texts_of(value[3])
+        elif name == "BRANCH":
+            more = [t for b in value[1] for t in texts_of(b)]
+        else:
+            raise ValueError(name)
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_license_text_holds_its_rules_keyword():
+    entries = [(k, n) for _, k, names in license_scan.FAMILIES + license_scan.FRAMED_ONLY for n in names]
+    entries += [(k, body) for _, k, body in license_scan.SENTENCES]
+    for keyword, name in entries:
+        for text in texts_of(re._parser.parse(name)):
+            assert re.fullmatch(name, text) and keyword in text, (keyword, text)
+    # Every rule's pattern holds a name or a sentence whole.
+    for rule in license_scan.default_rules():
+        assert any(k.encode() == rule.keyword and f"(?:{n})".encode() in rule.pattern.pattern for k, n in entries)
+
+
 def test_license_suppression_and_count():
     rules = license_scan.default_rules()
     assert len(rules) >= 300
