@@ -371,12 +371,11 @@ def link_classes(
     levels = spark.sparkContext.broadcast(frequency_levels(documents, text, k))
     made = materialize(_signatures(documents, doc_id, text, k, t, levels))
     full = made.where("n > 0")
-    # One node per distinct set. Sets whose documents all lack an id get a number of their own below all ids.
+    # One node per distinct set, numbered as it is written: ids may repeat on different texts or be missing.
     sets = full.groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")
     )
-    own = F.least(F.bitwise_not(F.abs(F.xxhash64("digest"))), F.lit(-1))
-    nodes = materialize(sets.withColumn("node", F.coalesce("doc_id", own)))
+    nodes = materialize(sets.withColumn("node", F.monotonically_increasing_id()))
 
     # Highly similar sets: each node with the smallest node of the band most in common.
     banded = materialize(nodes.select("node", F.explode("bands").alias("band")))

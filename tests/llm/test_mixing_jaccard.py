@@ -190,6 +190,19 @@ def test_classes_on_odd_and_empty_tables(spark, odd):
     assert jaccard_join.one_of_each_class(odd.limit(0)).count() == 0
 
 
+def test_classes_of_one_id_on_different_texts(spark):
+    """Ids 5 and 7 name two texts each; one text of 5 links with 6, the other with 4, and no text of 7 with the other."""
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(5, texts[0]), (5, texts[1]), (6, texts[0] + " end"), (4, texts[1] + " end"), (7, texts[2]), (7, texts[3]), (9, texts[3] + " end"), (8, texts[2] + " end")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link_classes(table).collect())
+    assert got == [(4, 58, 4), (5, 57, 4), (5, 57, 5), (6, 58, 5), (7, 57, 7), (7, 57, 7), (8, 58, 7), (9, 58, 7)]
+    # An id of two texts, only one of which links: the other stays a class of its own.
+    rows = [(3, texts[0] + " end"), (5, texts[0]), (5, texts[1])]
+    got = sorted(tuple(r) for r in jaccard_join.link_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(3, 58, 3), (5, 57, 3), (5, 57, 5)]
+
+
 def test_one_row_of_each_class_stays(spark, prose, prose_table):
     want = plain_classes(plain_sets([(i, t) for i, t, _ in prose]))
     kept = jaccard_join.one_of_each_class(prose_table).collect()
