@@ -1,7 +1,7 @@
 """Corpus preparation as stages over the documents table.
 
 Quality rules drop what they reject, one document of each class of near copies stays, documents that
-hold too much of a benchmark go, sources are mixed to their target weights (a document taken k times
+hold too much of a benchmark go and long passages of it are cut out of the others, sources are mixed to their target weights (a document taken k times
 is k rows), and the token ids are written as wavelet-matrix shards and read back.
 """
 
@@ -30,7 +30,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.benchmark_hits(docs, benchmark, keep_text=True).where(~decontaminate.contaminated()).select("row.*")
+    kept = decontaminate.benchmark_hits(docs, benchmark, keep_text=True).where(~decontaminate.contaminated())
+    cut = decontaminate.remove_spans(kept)
+    old = F.col("row.text").eqNullSafe(F.col("t"))
+    new = {"text": F.col("t")}
+    if "n_chars" in docs.columns:
+        length = F.length("t").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(old, F.col("row.n_chars")).otherwise(length)
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -251,6 +251,21 @@ def test_pipeline_matches_its_stages(spark):
     assert digest(whole) == digest(tokens.collect())
 
 
+def test_long_benchmark_passages_are_cut_from_kept_documents(spark, tmp_path):
+    item = " ".join(f"q{i}" for i in range(100))
+    filler = " ".join(f"w{i}" for i in range(2500))
+    spark.createDataFrame([("x", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    short = " ".join(item.split()[:20])
+    texts = [f"{filler} {item} {filler}", f"{item} end", f"{filler} {short} {filler}", filler, None]
+    rows = [(i, t, "en", "s", len(t) if t else None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    out = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = {r.doc_id: tuple(r) for r in out.collect()}
+    cut = f"{filler}  {filler}"
+    assert got == {0: (0, cut, "en", "s", len(cut)), **{i: rows[i] for i in (2, 3, 4)}}
+
+
 def test_pipeline_of_an_empty_table(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
