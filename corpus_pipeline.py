@@ -18,6 +18,8 @@ from floodgrid.llm import decontaminate, jaccard_join, mixing, quality_rules, wa
 from floodgrid.runtime import materialize, shared_dir
 
 TOKENIZER, END_OF_DOCUMENT = "word_bpe_49k.json", 2
+# Near copies as op8 has them: words in a shingle, per cent of shingles in common.
+NEAR_WORDS, NEAR_PERCENT = 4, 85
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each_class(docs)
+    return jaccard_join.one_of_each_class(docs, k=NEAR_WORDS, t=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

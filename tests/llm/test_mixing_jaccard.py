@@ -251,6 +251,13 @@ def test_pipeline_matches_its_stages(spark):
     assert digest(whole) == digest(tokens.collect())
 
 
+def test_near_copy_rule_is_passed_by_the_stage(monkeypatch):
+    seen = []
+    monkeypatch.setattr(jaccard_join, "one_of_each_class", lambda docs, **rule: seen.append(rule))
+    corpus_pipeline.drop_near_copies(None, None, "")
+    assert seen == [{"k": 4, "t": 85}]
+
+
 def test_long_benchmark_passages_are_cut_from_kept_documents(spark, tmp_path):
     item = " ".join(f"q{i}" for i in range(100))
     filler = " ".join(f"w{i}" for i in range(2500))
