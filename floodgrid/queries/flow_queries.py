@@ -199,8 +199,18 @@ def _basin_labels(spark, sf):
     (SELECT p.src, e.row FROM bpaths p JOIN exr e ON e.id=p.cur) q)""", **EXITS))
 def partition_completeness(spark, sf):
     """Only exits in odd rows take cells; cells of the other exits stay as unassigned."""
+    return _completeness(spark, sf, hydro.rank_exits(_exits(spark, sf)).where("row % 2 = 1"))
+
+
+@query(sql("""SELECT b.n AS basin_cells, a.n AS assigned_cells, b.n - a.n AS unassigned_cells FROM (SELECT count(*) AS n FROM bd) b,
+    (SELECT count(*) AS n FROM bpaths p JOIN exr e ON e.id=p.cur) a""", **EXITS))
+def partition_completeness_all_exits(spark, sf):
+    """The report on the whole partition: every exit takes its cells."""
+    return _completeness(spark, sf, hydro.rank_exits(_exits(spark, sf)))
+
+
+def _completeness(spark, sf, ranked):
     g, basin = fx.grid(spark, sf), fx.basin(spark, sf)
-    ranked = hydro.rank_exits(_exits(spark, sf)).where("row % 2 = 1")
     inside = fx.flow(spark, sf).drop("id", "next").join(basin, ["row", "col"], "left_semi")
     sheds = hydro.watersheds(hydro.with_next(inside, g, within=basin), ranked, g, keep_unassigned=True)
     return sheds.agg(F.count("*").alias("basin_cells"), F.count("outlet").alias("assigned_cells"), F.count_if(F.col("outlet").isNull()).alias("unassigned_cells"))
