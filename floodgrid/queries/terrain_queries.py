@@ -65,6 +65,34 @@ def breaching_invariants(spark, sf):
     return out.withColumns({c: counts.select(c).scalar() for c in counts.columns}).withColumn("far_cells", far)
 
 
+@query(sql("""SELECT count(*) AS pits_in_reach, 0::BIGINT AS stuck_pits, 0::BIGINT AS carved_pits FROM np p WHERE n=8 AND lower_=0
+    AND EXISTS (SELECT 1 FROM g b WHERE b.row BETWEEN p.row-10 AND p.row+10 AND b.col BETWEEN p.col-10 AND p.col+10 AND b.z < p.z)""",
+    np="""SELECT a.id, a.row, a.col, a.z, count(b.id) AS n, count(*) FILTER (b.z < a.z) AS lower_ FROM g a
+        JOIN g b ON b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1 AND b.id<>a.id GROUP BY 1,2,3,4"""))
+def breaching_ways_out(spark, sf):
+    """Every pit with lower ground in reach has a way down on the breached surface, and so has every carved cell.
+
+    Both together give each such pit a descending way through carved cells to ground that was lower
+    at the start. The table has no gaps, so all ground of a pit's square is in its reach.
+    """
+    g, dist = fx.grid(spark, sf), 10
+    dem = fx.dem(spark, sf)
+    cut = fx.materialize(conditioning.breach_depressions(dem, g, dist))
+    around = focal.neighbourhood(dem, "value")
+    inner, lowest = ~F.exists("nb", lambda x: x.isNull()), ~F.exists("nb", lambda x: x < F.col("value"))
+    pits = fx.materialize(around.where(inner & lowest).select("row", "col", "value"))
+    span = lambda c: F.explode(F.sequence(F.col(c) - dist, F.col(c) + dist))
+    square = pits.select(F.col("row").alias("prow"), F.col("col").alias("pcol"), F.col("value").alias("top"), span("row").alias("row"))
+    square = square.select("*", span("pcol").alias("col"))
+    lower = square.join(dem.select("row", "col", "value"), ["row", "col"]).where("value < top")
+    reach = fx.materialize(lower.select(F.col("prow").alias("row"), F.col("pcol").alias("col")).distinct())
+    after = focal.neighbourhood(cut.select("row", "col", F.col("breached").alias("value")), "value")
+    down = fx.materialize(after.where(F.exists("nb", lambda x: F.coalesce(x < F.col("value"), F.lit(False)))).select("row", "col"))
+    stuck = reach.join(down, ["row", "col"], "left_anti").agg(F.count("*")).scalar()
+    carved = cut.where("breached < value").join(down, ["row", "col"], "left_anti").agg(F.count("*")).scalar()
+    return reach.agg(F.count("*").alias("pits_in_reach")).withColumns({"stuck_pits": stuck, "carved_pits": carved})
+
+
 @query()
 def conditioning_comparison(spark, sf):
     return rounded(

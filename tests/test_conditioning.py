@@ -90,3 +90,16 @@ def test_breached_surface_has_fewer_pits(spark, raster):
     ).count()
     b = conditioning.breach_depressions(raster(a), G, 6).select("row", "col", F.col("breached").alias("value"))
     assert count(b) < count(raster(a))
+
+
+def test_ways_out_miss_a_breach_that_changes_nothing(spark, raster, monkeypatch):
+    from floodgrid.queries import terrain_queries
+
+    dem = raster(surface(3))
+    monkeypatch.setattr(terrain_queries.fx, "dem", lambda spark, sf: dem)
+    monkeypatch.setattr(terrain_queries.fx, "grid", lambda spark, sf: G)
+    good = terrain_queries.breaching_ways_out(spark, "").first()
+    assert good.pits_in_reach > 10 and (good.stuck_pits, good.carved_pits) == (0, 0)
+    monkeypatch.setattr(conditioning, "breach_depressions", lambda cells, grid, dist: cells.withColumn("breached", F.col("value")))
+    idle = terrain_queries.breaching_ways_out(spark, "").first()
+    assert idle.stuck_pits == idle.pits_in_reach == good.pits_in_reach
