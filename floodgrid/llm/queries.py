@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodgrid.llm import decontaminate, jaccard_join, license_scan, mixing, quality_gam, quality_rules, secret_scan, token_cache, warc_revisit, wavelet
+from floodgrid.llm import decontaminate, jaccard_join, lexical_rank, license_scan, mixing, quality_gam, quality_rules, secret_scan, token_cache, warc_revisit, wavelet
 from floodgrid.runtime import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,3 +255,26 @@ def op3_warc_revisits(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op8_jaccard_classes(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.link_classes(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, {_SQL_ALNUM} AS w FROM documents),
+    st AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+    i AS (SELECT DISTINCT item_id, unnest({_SQL_ALNUM}) AS term FROM benchmark),
+    tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+    wt AS (
+        SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+        FROM tf, st WHERE term IN (SELECT term FROM i) GROUP BY term, docs
+    ),
+    s AS (
+        SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+        FROM i JOIN wt USING (term) JOIN tf USING (term), st GROUP BY ALL
+    ),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """
+)
+def op11_lexical_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lexical_rank.rank_documents(docs, table(spark, sf, "benchmark"))
