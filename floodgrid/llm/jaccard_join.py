@@ -13,10 +13,12 @@ three levels:
   the shorter rest bounds their overlap. Lists longer than ``LIST_BLOCK`` are cut into blocks that
   meet pairwise in different tasks (sets of one block meet in several of them; pairs are made distinct).
 
-Candidates are screened by parity bitmaps (bits that differ in two bitmaps are at most the shingles
-in which the sets differ) and then compared on whole sets, made again from the texts of just those
-documents. No pair of different texts is lost; the sketch, the bands, the bitmaps and the bit set
-only steer which work is skipped.
+Only lists that hold different classes go on. Their rows take the sets' parity bitmaps along (bits that
+differ in two bitmaps are at most the shingles in which the sets differ), so that the task that holds a
+list hands on no pair but those whose bitmaps leave a link possible: what is shuffled grows with the
+lists' rows, not with their pairs. Those pairs are compared on whole sets, made again from the texts of
+just those documents. No pair of different texts is lost; the sketch, the bands, the bitmaps and the
+bit set only steer which work is skipped.
 
 Cases: null texts, empty texts and texts without words have an empty set and link with nothing; a
 text with fewer words than a shingle is one shingle; equal ids are separate documents of one class
@@ -33,7 +35,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodgrid.functions.graph import components
@@ -46,8 +48,13 @@ BANDS, ROWS = 4, 2
 LIST_BLOCK = 2000
 FILTER_BITS = 23
 WORDS_KEPT = 100_000
-# Bytes of sets that a task holds before it hands them on.
+# Bytes of sets that a task holds before it hands them on, and rows whose arrays it holds at once.
 CHUNK = 1 << 22
+PIECE = 256
+# Largest bitmap of a set, in bytes.
+BITMAP = 512
+# Pairs that share one copy of a set.
+PAIRS_A_COPY = 1000
 _U = np.uint64
 
 
@@ -112,6 +119,35 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def fold_bits(bits: bytes, most: int) -> bytes:
+    """The bitmap of the same set with at most ``most`` bytes."""
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) * 8 > most:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
+def least_differences(bits: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``least_difference`` of the bitmaps i and j of a list, for arrays of pairs."""
+    size = np.fromiter(map(len, bits), np.int64, len(bits))
+    out = np.zeros(len(i), np.int64)
+    kinds = size[i] << 32 | size[j]
+    for kind in np.unique(kinds):
+        a, b = int(kind) >> 32, int(kind) & 0xFFFFFFFF
+        least = min(a, b)
+        if not least:
+            continue
+        pairs = np.flatnonzero(kinds == kind)
+        for at in np.array_split(pairs, len(pairs) * least // CHUNK + 1):
+            x, y = (np.frombuffer(b"".join([bits[r] for r in rows[at]]), np.uint64).reshape(len(at), -1) for rows in (i, j))
+            while x.shape[1] != y.shape[1]:
+                wide = x if x.shape[1] > y.shape[1] else y
+                folded = wide[:, : wide.shape[1] // 2] ^ wide[:, wide.shape[1] // 2 :]
+                x, y = (folded, y) if wide is x else (x, folded)
+            out[at] = np.bitwise_count(x ^ y).sum(1)
+    return out
+
+
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Iterator[bytes]]]:
     for batch in batches:
         yield batch, (x.as_py() or b"" for x in batch.column(column).cast(pa.binary()))
@@ -160,7 +196,8 @@ def _signatures(documents: DataFrame, doc_id: str, text: str, k: int, t: int, le
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         mask = _U(len(level) - 1)
-        for batch, texts in _texts(batches, 1):
+        pieces = (batch.slice(lo, PIECE) for batch in batches for lo in range(0, batch.num_rows, PIECE))
+        for batch, texts in _texts(pieces, 1):
             n, digests, bands, prefixes, bitmaps = [], [], [], [], []
             for raw in texts:
                 s = shingle_set(raw, k)
@@ -171,7 +208,7 @@ def _signatures(documents: DataFrame, doc_id: str, text: str, k: int, t: int, le
                     prefixes.append([])
                     bitmaps.append(b"")
                     continue
-                bitmaps.append(parity_bits(s))
+                bitmaps.append(fold_bits(parity_bits(s), BITMAP))
                 low = np.array([(s * c).min() for c in odd]).reshape(BANDS, ROWS)
                 key = _mixed(low[:, 0] + _U(3) * low[:, 1] + np.arange(BANDS, dtype=np.uint64))
                 bands.append(key.view(np.int64))
@@ -219,8 +256,8 @@ class _BitSet:
         return may
 
 
-def _rows_by_bits(documents: DataFrame, bits: _BitSet, doc_id: str, wanted: bool) -> DataFrame:
-    """Rows whose id may be in the set, or those whose id is not."""
+def _rows_by_bits(packed: DataFrame, bits: _BitSet, wanted: bool) -> DataFrame:
+    """Rows (row, id, ...) whose id may be in the set, or those whose id is not."""
     may = bits.filter()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +265,7 @@ def _rows_by_bits(documents: DataFrame, bits: _BitSet, doc_id: str, wanted: bool
             keep = may(batch.column(batch.num_columns - 1))
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep == wanted))
 
-    return documents.withColumn("_cell", bits.cell(doc_id)).mapInArrow(run, documents.schema)
+    return packed.withColumn("cell", bits.cell("id")).mapInArrow(run, packed.schema)
 
 
 def _screened(pairs: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
@@ -249,7 +286,21 @@ def _screened(pairs: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
     return materialize(flat.mapInArrow(screen, "a bigint, b bigint"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, k: int, t: int) -> DataFrame:
+def _with_body(pairs: DataFrame, bodies: DataFrame, end: str) -> DataFrame:
+    """Pairs (a, b, ...) with the body of the node in column ``end``.
+
+    A node of many pairs is sent in copies, one for every ``PAIRS_A_COPY`` of them, so its pairs are
+    spread over tasks and no body is broadcast.
+    """
+    copies = materialize(pairs.groupBy(end).agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies")).where("copies > 1"))
+    copy = F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1))).cast("int")
+    dealt = join_hot(pairs, copies, end, how="left").withColumn("copy", copy).drop("copies")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy")
+    sent = bodies.join(copies.withColumnRenamed(end, "node"), "node", "left").select(F.col("node").alias(end), each, F.col("body").alias(f"body_{end}"))
+    return dealt.join(sent, [end, "copy"]).drop("copy")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, k: int, t: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = materialize(nodes.join(ends, "node", "left_semi").select("node", "digest", "doc_id"))
@@ -275,8 +326,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id:
     made = rows.mapInArrow(sets, "digest binary, body binary")
     # A node's own document is enough; rows with the same id or without one may bring it again.
     bodies = materialize(made.join(needed.select("digest", "node"), "digest").groupBy("node").agg(F.max("body").alias("body")))
-    one = join_hot(pairs, bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a", 100)
-    both = join_hot(materialize(one), bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b", 100)
+    both = _with_body(materialize(_with_body(pairs, bodies, "a")), bodies, "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,15 +343,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id:
 def _list_pairs(t: int) -> Callable:
     """Candidate pairs of index lists that arrive ordered by (token, blocks, size and position)."""
 
-    def pairs_of(token, blocks, spot, node, label) -> np.ndarray:
+    def pairs_of(rows: pa.Table) -> pa.RecordBatch:
         """Pairs within whole lists, by growing distance in the list."""
-        starts = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (blocks[1:] != blocks[:-1]))))
-        # Lists of one class hold no pair to compare; most lists have one set and end here as well.
-        mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-        number = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(token)]))))
-        keep = mixed[number]
-        number, node, label = number[keep], node[keep], label[keep]
-        size, at = spot[keep] >> 32, spot[keep] & 0xFFFFFFFF
+        token, blocks, spot, node, label = (rows.column(c).to_numpy() for c in range(5))
+        bits = rows.column(5).to_pylist()
+        size, rest = spot >> 32, (spot >> 32) - (spot & 0xFFFFFFFF)
+        number = np.concatenate(([0], np.cumsum((token[1:] != token[:-1]) | (blocks[1:] != blocks[:-1]))))
         found = []
         active = np.arange(len(number))
         d = 1
@@ -312,55 +359,74 @@ def _list_pairs(t: int) -> Callable:
             if not len(active):
                 break
             i, j = active, active + d
-            rest = np.minimum(size[i] - at[i], size[j] - at[j])
-            good = (label[i] != label[j]) & ((100 + t) * rest >= t * (size[i] + size[j]))
-            i, j = i[good], j[good]
+            both = size[i] + size[j]
+            # By position: where two sets first meet, the shorter rest bounds what they have in common.
+            good = (label[i] != label[j]) & ((100 + t) * np.minimum(rest[i], rest[j]) >= t * both)
+            i, j, both = i[good], j[good], both[good]
+            # Linked sets differ in at most (1 - t) / (1 + t) of the sum of their sizes.
+            left = (100 + t) * least_differences(bits, i, j) <= (100 - t) * both
+            i, j = i[left], j[left]
             found.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), 1))
             d += 1
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
-            # The last list may go on in the next batch.
-            changes = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
-            if not len(changes):
+            if not batch.num_rows:
                 continue
-            cut = int(changes[-1]) + 1
-            found = pairs_of(*[h[:cut] for h in held])
-            held = [h[cut:] for h in held]
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-        if held is not None and len(held[0]):
-            found = pairs_of(*held)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            token, blocks = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            # The last list may go on in the next batch.
+            changes = np.flatnonzero((token[1:] != token[:-1]) | (blocks[1:] != blocks[:-1]))
+            if len(changes):
+                cut = int(changes[-1]) + 1
+                yield pairs_of(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+        if held:
+            yield pairs_of(pa.Table.from_batches(held))
 
     return run
 
 
-def _candidates(nodes: DataFrame, t: int, block: int = LIST_BLOCK) -> DataFrame:
-    """Pairs of nodes of different labels that share an indexed shingle and pass the size and position bounds.
+def _mixed_lists(nodes: DataFrame, block: int) -> DataFrame:
+    """token, length m, spot (size and position), node and label of the index lists that hold several labels.
 
-    A token's first bits are the sketch's level, so its list has fewer than 2^(level + 1) sets. Only
-    lists that may be longer than a block are counted and cut: block i of a list meets block j in a
-    list of its own, in which the sets of both stand.
+    A token's first bits are the sketch's level, so its list has fewer than 2^(level + 1) sets. Lists
+    that may be longer than a block are counted first and their hot tokens joined apart.
     """
     spot = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at").cast("long")).alias("spot")
     lists = nodes.select("node", "label", "n", F.posexplode("prefix").alias("at", "token")).select("token", spot, "node", "label")
     level = F.shiftrightunsigned("token", 58)
     long_from = block.bit_length() - 1
-    short = lists.where(level < long_from).withColumn("blocks", F.lit(0).cast("long"))
-    long = lists.where(level >= long_from)
-    counts = long.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    rows = long.join(counts.where("m > 1 AND l0 <> l1").select("token", "m"), "token")
+    of = [F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")]
+    w = Window.partitionBy("token")
+    short = lists.where(level < long_from).select("*", *[F.count("*").over(w).alias("m"), F.min("label").over(w).alias("l0"), F.max("label").over(w).alias("l1")])
+    long = materialize(lists.where(level >= long_from))
+    counts = materialize(long.groupBy("token").agg(*of).where("l0 <> l1").select("token", "m"))
+    columns = ["token", "m", "spot", "node", "label"]
+    return materialize(short.where("l0 <> l1").select(columns).unionByName(join_hot(long, counts, "token").select(columns)))
+
+
+def _candidates(nodes: DataFrame, t: int, block: int = LIST_BLOCK) -> DataFrame:
+    """Pairs of nodes of different labels that share an indexed shingle and pass the bounds of size, position and bitmap.
+
+    A list longer than a block is cut: block i meets block j in a list of its own, in which the sets of
+    both stand. Nodes without a column ``bits`` are held to the other bounds only.
+    """
+    rows = _mixed_lists(nodes, block)
     parts = F.ceil(F.col("m") / block).cast("long")
     own = F.pmod(F.xxhash64("node"), parts)
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    cut = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     met = (F.shiftleft(F.least("own", "other"), 21) + F.greatest("own", "other")).alias("blocks")
-    cut = rows.select("token", "spot", "node", "label", met)
-    ordered = short.unionByName(cut).repartition("token", "blocks").sortWithinPartitions("token", "blocks", "spot")
-    return materialize(ordered.select("token", "blocks", "spot", "node", "label").mapInArrow(_list_pairs(t), "a bigint, b bigint").distinct())
+    bits = F.col("bits") if "bits" in nodes.columns else F.lit(b"")
+    full = cut.select("token", met, "spot", "node", "label").join(nodes.select("node", bits.alias("bits")), "node")
+    ordered = full.repartition("token", "blocks").sortWithinPartitions("token", "blocks", "spot")
+    pairs = ordered.select("token", "blocks", "spot", "node", "label", "bits").mapInArrow(_list_pairs(t), "a bigint, b bigint")
+    # Two sets meet once in every list that they share.
+    return materialize(pairs.distinct())
 
 
 def link_classes(
@@ -388,23 +454,24 @@ def link_classes(
     first = second = none
     star = _screened(star, nodes, t)
     if star.limit(1).count():
-        links = _verified(star, nodes, documents, doc_id, text, k, t)
+        links = verified(star, nodes, documents, doc_id, text, k, t)
         if links.limit(1).count():
             first = components(links)
     labelled = materialize(nodes.select("node", "digest", "doc_id").join(first, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    pairs = _screened(_candidates(nodes.select("node", "n", "prefix").join(labelled.select("node", "label"), "node"), t), nodes, t)
+    pairs = _candidates(materialize(nodes.select("node", "n", "prefix", "bits").join(labelled.select("node", "label"), "node")), t)
     if pairs.limit(1).count():
-        links = _verified(pairs, nodes, documents, doc_id, text, k, t)
+        links = verified(pairs, nodes, documents, doc_id, text, k, t)
         label = labelled.select("node", "label")
         across = join_hot(links, label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
         across = join_hot(materialize(across), label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
         across = materialize(across.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
         if across.limit(1).count():
             second = components(across)
-    return _with_classes(made, labelled.select("label", "digest", "doc_id"), second)
+    return with_classes(made, labelled.select("label", "digest", "doc_id"), second)
 
 
-def _with_classes(made: DataFrame, nodes: DataFrame, wider: DataFrame) -> DataFrame:
+def with_classes(made: DataFrame, nodes: DataFrame, wider: DataFrame) -> DataFrame:
+    """Documents (doc_id, n, digest) with their class: nodes have a label, ``wider`` joins some labels to one."""
     step = wider.select(F.col("node").alias("label"), F.col("label").alias("wide"))
     named = materialize(join_hot(nodes, step, "label", how="left").select("digest", "doc_id", F.coalesce("wide", "label").alias("class")))
     # The class's smallest id: nodes without an id have none to give.
@@ -422,25 +489,23 @@ def one_of_each_class(documents: DataFrame, doc_id: str = "doc_id", text: str =
     Ids that are present and different name the rows. Else rows are numbered in a written copy, so
     that of repeated ids and of rows without one, too, a single row stays.
     """
-    ids = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"))
-    missing = ids.where("id IS NULL").limit(1).count()
-    if not missing and not ids.groupBy("id").count().where("count > 1").limit(1).count():
+    # Packed, so that no column's name can clash with the operator's.
+    kept = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    packed = documents.select(kept, F.col(f"`{doc_id}`").cast("long").alias("id"))
+    missing = packed.where("id IS NULL").limit(1).count()
+    if not missing and packed.groupBy("id").count().where("count > 1").isEmpty():
         classes = materialize(link_classes(documents, doc_id, text, k, t))
         dropped = classes.where("doc_id <> component_id").select("doc_id")
-        bits = _BitSet(dropped)
-        sure = _rows_by_bits(documents, bits, doc_id, wanted=False)
-        unsure = _rows_by_bits(documents, bits, doc_id, wanted=True)
-        rest = unsure.join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col(f"`{doc_id}`").cast("long") == F.col("_dropped"), "left_anti")
-        return sure.unionByName(rest)
-    kept = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
-    numbered = materialize(documents.select(kept, F.col(f"`{doc_id}`").alias("id"), F.monotonically_increasing_id().alias("place")))
-    classes = materialize(link_classes(numbered.select("place", F.col(f"row.`{text}`").alias("text")), "place", "text", k, t))
-    linked_rows = classes.withColumnRenamed("doc_id", "place").join(numbered.select("place", "id"), "place")
-    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("place"))).alias("first")
-    keepers = linked_rows.groupBy("component_id").agg(first).select("first.place")
-    dropped = materialize(classes.select(F.col("doc_id")).join(keepers.withColumnRenamed("place", "doc_id"), "doc_id", "left_anti"))
+    else:
+        packed = materialize(documents.select(kept, F.col(f"`{doc_id}`").alias("given"), F.monotonically_increasing_id().alias("id")))
+        classes = materialize(link_classes(packed.select("id", F.col(f"row.`{text}`").alias("text")), "id", "text", k, t))
+        linked_rows = classes.withColumnRenamed("doc_id", "id").join(packed.select("id", "given"), "id")
+        first = F.min(F.struct(F.col("given").isNull(), F.col("given"), F.col("id"))).alias("first")
+        keepers = linked_rows.groupBy("component_id").agg(first).select(F.col("first.id").alias("doc_id"))
+        dropped = materialize(classes.select("doc_id").join(keepers, "doc_id", "left_anti"))
+        packed = packed.drop("given")
     # Only rows that may be dropped are shuffled.
     bits = _BitSet(dropped)
-    sure = _rows_by_bits(numbered, bits, "place", wanted=False)
-    rest = _rows_by_bits(numbered, bits, "place", wanted=True).join(dropped.withColumnRenamed("doc_id", "place"), "place", "left_anti")
+    sure = _rows_by_bits(packed, bits, wanted=False)
+    rest = _rows_by_bits(packed, bits, wanted=True).join(dropped.withColumnRenamed("doc_id", "id"), "id", "left_anti")
     return sure.select("row.*").unionByName(rest.select("row.*"))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodgrid.llm import decontaminate, jaccard_join, lexical_rank, license_scan, mixing, quality_gam, quality_rules, secret_scan, token_cache, warc_revisit, wavelet
+from floodgrid.llm import conversation_repair, decontaminate, hyperminhash, jaccard_join, lexical_rank, license_scan, mixing, quality_gam, quality_rules, secret_scan, token_cache, warc_revisit, wavelet
 from floodgrid.runtime import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,3 +278,94 @@ def op8_jaccard_classes(spark: SparkSession, sf: str) -> DataFrame:
 def op11_lexical_ranking(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lexical_rank.rank_documents(docs, table(spark, sf, "benchmark"))
+
+
+@query()
+def op13_hyperminhash_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return hyperminhash.near_classes(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+# CRC-32 of a text of ASCII characters: every byte is mixed in and shifted out bit by bit.
+_SQL_CRC = """xor(list_reduce(
+    flatten(list_transform(range(1, length(k) + 1), lambda i: list_concat([ascii(k[i])::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+    4294967295::BIGINT), 4294967295::BIGINT)"""
+
+
+# Per state of the pattern the least (cost, audit), with the repaired lines riding along.
+def _sql_repair() -> str:
+    never = "{'c': 1000000000::BIGINT, 'a': '', 't': []::VARCHAR[]}"
+
+    def move(state: str, cost: str, edit: str, line: str | None, when: str = "true") -> str:
+        lines = f"{state}.t" if line is None else f"list_append({state}.t, {line})"
+        return f"CASE WHEN {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {lines}}} ELSE {never} END"
+
+    def read(targets: dict[str, list[str]]) -> str:
+        return ", ".join(f"list_min([{', '.join(ways)}]) AS {target}" for target, ways in targets.items())
+
+    stays = "NOT blank AND NOT dup"
+    more = "3 * truncated::INT"
+    kept, user, assistant = "role || ':' || text", "'user:' || text", "'assistant:' || text"
+    gone = {x: [move(x, "4", "D", None)] for x in ("st", "sy", "pr", "op")}
+    row = {
+        "st": gone["st"],
+        "sy": [*gone["sy"], move("st", more, "K", kept, f"{stays} AND role[1] = 's'")],
+        "pr": [*gone["pr"], move("op", more, "K", kept, f"{stays} AND role[1] = 'a'"), move("op", f"3 + {more}", "R", assistant, stays)],
+        "op": [*gone["op"]]
+        + [move(x, more, "K", kept, f"{stays} AND role[1] = 'u'") for x in ("st", "sy", "pr")]
+        + [move(x, f"3 + {more}", "R", user, stays) for x in ("st", "sy", "pr")],
+    }
+    new_user, new_assistant = "'user:'", "'assistant:'"
+    opened = ["op", *[move(x, "3", "I", new_user) for x in ("st", "sy", "pr")]]
+    # Two rounds hold every useful row of insertions: none is worth more than a pair.
+    insert = {"st": ["st"], "sy": ["sy"], "pr": ["pr", move("op", "3", "I", new_assistant)], "op": opened}
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    return f"""
+    WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {key} AS k FROM conversations),
+    f AS (SELECT *, {_SQL_CRC} % 20 AS fault FROM k),
+    d AS (
+        SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+            CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+        FROM f WHERE fault <> 0
+    ),
+    o AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+            NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+            NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut
+        FROM d
+    ),
+    g AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup FROM o),
+    r AS (SELECT *, cut AND NOT blank AND NOT dup AS truncated, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM g),
+    s AS (
+        SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END::BIGINT AS gaps, count(*) AS n,
+            count(*) FILTER (blank)::BIGINT AS blank, count(*) FILTER (dup)::BIGINT AS duplicate, count(*) FILTER (truncated)::BIGINT AS truncated,
+            count(*) FILTER (pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+        FROM r GROUP BY 1
+    ),
+    p AS (
+        SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS st, {never} AS sy, {never} AS pr, {never} AS op FROM s
+        UNION ALL
+        SELECT conv_id, i, st, sy, pr, op FROM (
+            SELECT conv_id, i, {read(insert)} FROM (
+                SELECT conv_id, i, {read(insert)} FROM (
+                    SELECT conv_id, r_i AS i, {read(row)} FROM (
+                        SELECT conv_id, r.i AS r_i, role, text, blank, dup, truncated, {read(insert)}
+                        FROM (SELECT conv_id, i, {read(insert)} FROM p) q JOIN r USING (conv_id) WHERE r.i = q.i + 1
+                    )
+                )
+            )
+        )
+    ),
+    e AS (SELECT p.conv_id, list_min([st, pr]) AS best FROM p JOIN s ON p.conv_id = s.conv_id AND p.i = s.n)
+    SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+        coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+        coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s USING (conv_id) LEFT JOIN e USING (conv_id)
+    """
+
+
+@query(_sql_repair())
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    conversations = table(spark, sf, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(conversations), ids=conversations)
