@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodgrid.operators.polygon_overlay import bbox_pairs, in_bands, in_squares
+from floodgrid.operators.polygon_overlay import judge_seeds, judged_chains, meeting_boxes
+from floodgrid.operators.polygon_overlay import ring_edges as edges_in_order
 from floodgrid.operators.vector import edges as make_edges
 from floodgrid.runtime import materialize
 
@@ -104,47 +105,48 @@ def self_crossings(edge_rows: DataFrame, key: str, cell: float) -> DataFrame:
     return e.join(other, [key, "ring_id", "_bx", "_by"]).where((F.col("seq") < F.col("seq2")) & a & b).select(key, "ring_id").distinct()
 
 
+def _lines(line_edges: DataFrame, line_key: str) -> DataFrame:
+    """Edges of lines in order; lines are open and have one part."""
+    one = line_edges.select(line_key, F.lit(0).alias("part"), F.lit(0).alias("ring"), "seq", "x1", "y1", "x2", "y2")
+    return edges_in_order(one, line_key, oriented=False)
+
+
 def clip_lines(line_boxes: DataFrame, line_edges: DataFrame, region_boxes: DataFrame, region_edges: DataFrame, line_key: str, region_key: str, cell: float) -> DataFrame:
     """(line, region, seq, piece, x1, y1, x2, y2): the parts of lines inside polygons.
 
-    Lines are cut at every crossing with the polygon's edges; a piece is kept when its mid-point
-    is inside. ``region_edges`` carry the polygon key; boxes find the candidate pairs.
+    Lines are cut at every crossing with the polygon's edges; a chain between two cuts is kept when its
+    seed point is inside. Only kept chains are written edge by edge. Boxes find the candidate pairs.
     """
-    pairs = materialize(bbox_pairs(line_boxes, region_boxes, line_key, region_key, cell))
-    o = region_edges.select(region_key, F.col("x1").alias("u1"), F.col("y1").alias("v1"), F.col("x2").alias("u2"), F.col("y2").alias("v2"))
-    mine = pairs.join(line_edges.select(line_key, "seq", "x1", "y1", "x2", "y2"), line_key)
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    ex, ey = F.col("u2") - F.col("u1"), F.col("v2") - F.col("v1")
-    den = dx * ey - dy * ex
-    t = ((F.col("u1") - F.col("x1")) * ey - (F.col("v1") - F.col("y1")) * ex) / F.when(den != 0, den)
-    s = ((F.col("u1") - F.col("x1")) * dy - (F.col("v1") - F.col("y1")) * dx) / F.when(den != 0, den)
-    eid = [line_key, region_key, "seq", "x1", "y1", "x2", "y2"]
-    near = in_squares(mine, ("x1", "x2"), ("y1", "y2"), cell).join(
-        in_squares(o, ("u1", "u2"), ("v1", "v2"), cell), [region_key, "_bx", "_by"]
-    )
-    cuts = near.withColumn("t", t).where((s >= 0) & (s <= 1) & (F.col("t") > 0) & (F.col("t") < 1)).select(*eid, "t")
-    ends = mine.select(*eid, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
-    along = Window.partitionBy(*eid).orderBy("t")
-    parts = cuts.unionByName(ends).distinct().withColumn("t2", F.lead("t").over(along)).where("t2 is not null")
-    at = lambda a, b, w: F.col(a) + (F.col(b) - F.col(a)) * F.col(w)
-    parts = parts.select(
-        line_key, region_key, "seq", F.col("t").alias("piece"),
-        at("x1", "x2", "t").alias("px"), at("y1", "y2", "t").alias("py"), at("x1", "x2", "t2").alias("qx"), at("y1", "y2", "t2").alias("qy"),
-    )
-    mx, my = (F.col("px") + F.col("qx")) / 2, (F.col("py") + F.col("qy")) / 2
-    spans = (my >= F.least("v1", "v2")) & (my < F.greatest("v1", "v2"))
-    x_at = F.col("u1") + (my - F.col("v1")) * ex / F.when(ey != 0, ey)
-    pid = [line_key, region_key, "seq", "piece", "px", "py", "qx", "qy"]
-    banded = parts.withColumn("_by", F.floor(my / cell).cast("long"))
-    judged = banded.join(in_bands(o, ("v1", "v2"), cell), [region_key, "_by"]).groupBy(*pid).agg(F.count_if(spans & (x_at > mx)).alias("_n"))
-    return judged.where("_n % 2 = 1").select(
-        line_key, region_key, "seq", "piece", F.col("px").alias("x1"), F.col("py").alias("y1"), F.col("qx").alias("x2"), F.col("qy").alias("y2")
+    own = _lines(line_edges, line_key)
+    pairs = materialize(meeting_boxes(line_boxes, region_boxes, [line_key], [region_key]))
+    kept = judged_chains(own, region_edges, line_key, region_key, cell, pairs, closed=False).where("odd")
+    # A chain that ends at the start of an edge has no part of that edge.
+    last = F.when(F.col("t2") > 0, F.col("seq2")).otherwise(F.col("seq2") - 1)
+    span = kept.select(line_key, region_key, F.col("seq").alias("s1"), "t", "seq2", "t2", F.explode(F.sequence(F.col("seq"), last)).alias("seq"))
+    whole = span.join(own.select(line_key, "seq", "x1", "y1", "x2", "y2"), [line_key, "seq"])
+    t = F.when(F.col("seq") == F.col("s1"), F.col("t")).otherwise(0.0)
+    t2 = F.when(F.col("seq") == F.col("seq2"), F.col("t2")).otherwise(1.0)
+    at = lambda a, b, w: F.col(a) + (F.col(b) - F.col(a)) * w
+    return whole.select(
+        line_key, region_key, "seq", t.alias("piece"),
+        at("x1", "x2", t).alias("x1"), at("y1", "y2", t).alias("y1"), at("x1", "x2", t2).alias("x2"), at("y1", "y2", t2).alias("y2"),
     )
 
 
 def features_in_region(line_boxes: DataFrame, line_edges: DataFrame, region_boxes: DataFrame, region_edges: DataFrame, line_key: str, region_key: str, cell: float) -> DataFrame:
-    """(line, region) pairs that really meet: boxes first, then a piece inside."""
-    return clip_lines(line_boxes, line_edges, region_boxes, region_edges, line_key, region_key, cell).select(line_key, region_key).distinct()
+    """(line, region) pairs of which a part of the line lies inside.
+
+    A pair is taken at its first meeting: the lines whose first point is inside are found by one seed point each,
+    and only the pairs that are left are searched for a chain inside. No line is clipped.
+    """
+    own = _lines(line_edges, line_key)
+    pairs = materialize(meeting_boxes(line_boxes, region_boxes, [line_key], [region_key]))
+    start = own.where("seq = 0").select(line_key, F.col("x1").alias("sx"), F.col("y1").alias("sy"), (F.col("x2") - F.col("x1")).alias("dx"), (F.col("y2") - F.col("y1")).alias("dy"))
+    first = judge_seeds(pairs.join(start, line_key), region_edges, [line_key, region_key], region_key, cell)
+    met = materialize(first.where("odd AND NOT on").select(line_key, region_key))
+    left = materialize(pairs.join(met, [line_key, region_key], "left_anti"))
+    others = judged_chains(own, region_edges, line_key, region_key, cell, left, closed=False).where("odd AND NOT on")
+    return met.unionByName(others.select(line_key, region_key).distinct())
 
 
 def tag_layer(features: DataFrame, layer: int | Column) -> DataFrame:
