@@ -223,6 +223,52 @@ def polygon_intersection_areas(spark, sf):
     return rounded(out.where("area > 1e-3"), 4)
 
 
+# The ground below a line through the orders' totals is one outline of as many edges as there are orders;
+# squares of the customers lie along it.
+PLOT = """SELECT c_custkey AS b, (c_custkey*7919) % (n-7) + 3e-1 AS x0, abs(c_acctbal)/2.5e2 AS y0, 1.3e0+c_nationkey/5e0 AS w FROM customer, (SELECT max(o_orderkey) AS n FROM orders)"""
+
+
+def _outline_edges(spark, sf):
+    o = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("i"), (F.col("o_totalprice") / 1e4).alias("h"))
+    n = o.agg(F.max("i")).scalar()
+    i = F.col("i").cast("double")
+    up = o.join(o.select((F.col("i") - 1).alias("i"), F.col("h").alias("h2")), "i").select("i", i.alias("x1"), F.col("h").alias("y1"), (i + 1).alias("x2"), F.col("h2").alias("y2"))
+    ends = o.where((F.col("i") == 0) | (F.col("i") == n)).agg(F.max_by("h", "i").alias("hn"), F.min_by("h", "i").alias("h0"), n.alias("n"))
+    x, zero = F.col("n").cast("double"), F.lit(0.0)
+    corners = [(0, x, F.col("hn"), x, zero), (1, x, zero, zero, zero), (2, zero, zero, zero, F.col("h0"))]
+    rest = F.array(*[F.struct((F.col("n") + k).alias("i"), a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2")) for k, a, b, c, d in corners])
+    both = up.unionByName(ends.select(F.inline(rest)))
+    return both.select(F.lit(0).alias("a"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.col("i").alias("seq"), "x1", "y1", "x2", "y2")
+
+
+def _plots(spark, sf):
+    n = fx.table(spark, sf, "orders").agg(F.max("o_orderkey").alias("n"))
+    c = fx.table(spark, sf, "customer").join(F.broadcast(n)).select(
+        F.col("c_custkey").alias("b"), ((F.col("c_custkey") * 7919) % (F.col("n") - 7) + 0.3).alias("x0"),
+        (F.abs("c_acctbal") / 250.0).alias("y0"), (1.3 + F.col("c_nationkey") / 5.0).alias("w"),
+    )
+    ring = F.array(*[F.array(F.col("x0") + dx * F.col("w"), F.col("y0") + dy * F.col("w")) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    return c.select("b", F.array(F.array(ring)).alias("coords"))
+
+
+# Over one unit of the line the height above a level is a linear function cut off at zero.
+@query(
+    "WITH pl AS (" + PLOT + """),
+    ln AS (SELECT o.o_orderkey AS i, o.o_totalprice/1e4 AS h, p.o_totalprice/1e4 AS h2 FROM orders o JOIN orders p ON p.o_orderkey=o.o_orderkey+1),
+    st AS (SELECT b, y0, y0+w AS y1, x0, x0+w AS x1, unnest(range(CAST(floor(x0) AS BIGINT), CAST(floor(x0+w) AS BIGINT)+1)) AS i FROM pl),
+    se AS (SELECT b, y0, y1, greatest(x0,i)-i AS u, least(x1,i+1)-i AS v, h, h2 FROM st JOIN ln USING (i)),
+    en AS (SELECT b, y0, y1, v-u AS w, h+(h2-h)*u AS p, h+(h2-h)*v AS q FROM se WHERE v>u),
+    lv AS (SELECT b, w, p-y0 AS p, q-y0 AS q, 1 AS sign FROM en UNION ALL SELECT b, w, p-y1, q-y1, -1 FROM en)
+    SELECT b, round(sum(sign*w*CASE WHEN p>=0 AND q>=0 THEN (p+q)/2 WHEN p<=0 AND q<=0 THEN 0 ELSE greatest(p,q)*greatest(p,q)/(2*abs(q-p)) END),4) AS area
+    FROM lv GROUP BY b HAVING sum(sign*w*CASE WHEN p>=0 AND q>=0 THEN (p+q)/2 WHEN p<=0 AND q<=0 THEN 0 ELSE greatest(p,q)*greatest(p,q)/(2*abs(q-p)) END) > 1e-3""")
+def outline_plot_areas(spark, sf):
+    line, plots = _outline_edges(spark, sf), _plots(spark, sf)
+    whole = line.groupBy("a").agg(F.min("x1").alias("xmin"), F.min("y1").alias("ymin"), F.max("x1").alias("xmax"), F.max("y1").alias("ymax"))
+    pairs = polygon_overlay.meeting_boxes(whole, vector.bounding_box(plots, ["b"]), ["a"], ["b"])
+    out = polygon_overlay.intersection_areas(pairs, line, vector.edges(plots, ["b"]), "a", "b", 8.0)
+    return rounded(out.where("area > 1e-3").select("b", "area"), 4)
+
+
 @query(sql("SELECT DISTINCT rk, row, col FROM zn JOIN g ON g.id=zn.id"))
 def dissolve_to_parent(spark, sf):
     return zonal.dissolve(fx.named_zone_cells(spark, sf), ["rk"])
