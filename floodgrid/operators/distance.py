@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from floodgrid.operators.focal import dilate
 from floodgrid.operators.grid import Grid, from_rows
 
 # Cells of a strip: a task's arrays, whatever the width of the grid (a strip is one row at least).
@@ -171,6 +174,21 @@ def distance_within(queries: DataFrame, targets: DataFrame, grid: Grid, reach: f
     return near.where(F.col("dist") <= reach)
 
 
+def buffer_cells(mask: DataFrame, grid: Grid, distance: float) -> DataFrame:
+    """(row, col) of the grid's cells whose centre is within ``distance`` map units of a cell of ``mask``.
+
+    Only the rim of the mask looks outward; all cells inside are taken as they are.
+    """
+    m = mask.select("row", "col").distinct()
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (0, -1), (1, 0), (-1, 0))])
+    sides = m.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.explode(steps).alias("s"))
+    outer = sides.select("_r", "_c", (F.col("_r") + F.col("s.i")).alias("row"), (F.col("_c") + F.col("s.j")).alias("col")).join(m, ["row", "col"], "left_anti")
+    rim = outer.select(F.col("_r").alias("row"), F.col("_c").alias("col")).distinct()
+    pixels = max(int(distance / abs(grid.res_y)), int(distance / abs(grid.res_x)))
+    around = dilate(rim, pixels, grid).join(m, ["row", "col"], "left_anti")
+    return distance_within(around, rim, grid, distance).select("row", "col").unionByName(m)
+
+
 def inside_within(cells: DataFrame, mask: DataFrame, grid: Grid, reach: float) -> DataFrame:
     """``distance_within`` from cells of ``mask`` to the nearest grid cell outside it (the grid border is not outside).
 

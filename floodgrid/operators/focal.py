@@ -107,6 +107,13 @@ def median_value(cells: DataFrame, value: str = "value") -> Column:
     return group_percentiles(cells, [], value, {"m": 0.5}).scalar()
 
 
+def gap_value(valid: DataFrame, grid: Grid, value: str) -> Column:
+    """What stands for missing cells: the raster median, which is only made if a cell of the grid is missing."""
+    if valid.count() == grid.width * grid.height:
+        return F.lit(None).cast("double")
+    return median_value(valid, value)
+
+
 def horn_slope(cells: DataFrame, grid: Grid, value: str = "value") -> DataFrame:
     """Slope in degrees; gaps take the raster median, the border is replicated."""
     z = _padded(grid, F.col("_fill"))
@@ -116,7 +123,7 @@ def horn_slope(cells: DataFrame, grid: Grid, value: str = "value") -> DataFrame:
     south = z(1, -1) + 2 * z(1, 0) + z(1, 1)
     north = z(-1, -1) + 2 * z(-1, 0) + z(-1, 1)
     valid = cells.where(F.col(value).isNotNull())
-    around = neighbourhood(valid, value).withColumn("_fill", median_value(valid, value))
+    around = neighbourhood(valid, value).withColumn("_fill", gap_value(valid, grid, value))
     rise = F.hypot((east - west) / (8.0 * dx), (south - north) / (8.0 * dy))
     return around.withColumn("slope_deg", F.degrees(F.atan(rise))).drop("nb", "_fill")
 
@@ -145,7 +152,7 @@ def hillshade(
     valid = cells.where(F.col(value).isNotNull())
     g = (
         neighbourhood(valid, value)
-        .withColumn("_fill", median_value(valid, value))
+        .withColumn("_fill", gap_value(valid, grid, value))
         .withColumn("_dzdy", gradient("row", grid.height, abs(grid.res_y)))
         .withColumn("_dzdx", gradient("col", grid.width, abs(grid.res_x)))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -264,3 +266,42 @@ def method_comparison(
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+def method_statistics(flow: DataFrame, acc: DataFrame, channel_sets: dict[str, DataFrame], grid: Grid, cell_area: float) -> tuple[DataFrame, DataFrame]:
+    """What the comparison reports beside its counts, for several channel definitions.
+
+    Per method: share of resolved cells, cells of height zero, the normalised value at a raw index of
+    zero, and shares of prone cells with negative and positive depth. Per method and variable: the
+    distribution of height (not negative), river depth, index, and depth of all prone and of positive prone cells.
+    """
+    parts = []
+    for name, channels in channel_sets.items():
+        index = materialize(flood_index_table(flow, acc, channels, grid, cell_area))
+        kept, _ = prone_mask(index, grid)
+        prone = kept.select("row", "col", F.lit(True).alias("prone"))
+        parts.append(index.join(prone, ["row", "col"], "left").withColumn("method", F.lit(name)))
+    cells = materialize(reduce(lambda x, y: x.unionByName(y), parts))
+    wd, p = F.col("wd"), F.coalesce("prone", F.lit(False))
+    percent = lambda c, of: F.when(of > 0, 100.0 * c / of).otherwise(0.0)
+    lo, hi = F.min("gfi"), F.max("gfi")
+    shares = cells.groupBy("method").agg(
+        percent(F.count("target"), F.count("*")).alias("resolved_percent"),
+        F.count_if(F.col("h") == 0).alias("zero_h_cells"),
+        (2.0 * ((0.0 - lo) / (hi - lo) - 0.5)).alias("zero_index_threshold"),
+        percent(F.count_if(p & (wd < 0)), F.count_if(p)).alias("prone_negative_percent"),
+        percent(F.count_if(p & (wd > 0)), F.count_if(p)).alias("prone_positive_percent"),
+        (F.count_if(F.col("gfi") > 0) * cell_area / 1e6).alias("physical_km2"),
+    )
+    named = {
+        "height": F.when(F.col("h") >= 0, F.col("h_adj")),
+        "river_depth": F.col("hr"),
+        "index": F.col("gfi"),
+        "depth_prone": F.when(p, wd),
+        "depth_positive": F.when(p & (wd > 0), wd),
+    }
+    rows = F.array(*[F.struct(F.lit(n).alias("variable"), c.alias("x")) for n, c in named.items()])
+    long = cells.select("method", F.inline(rows)).where("x is not null")
+    x = F.col("x")
+    plain = {"cells": F.count(x), "min_value": F.min(x), "mean_value": F.avg(x), "max_value": F.max(x)}
+    return shares, group_stats(long, ["method", "variable"], x, PROBS, plain)

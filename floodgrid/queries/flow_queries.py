@@ -379,9 +379,9 @@ def proximity_agreement(spark, sf):
     return rounded(out.select("tolerance", "precision_like", "recall_like", "f1", "f2"))
 
 
-@query(sql("""SELECT t AS threshold, tol AS tolerance, round(p,6) AS precision_like, round(r,6) AS recall_like, round(f1,6) AS f1, round(f2,6) AS f2, round(length_km,6) AS length_km,
-    round(length_ratio,6) AS length_ratio, round(length_gap,6) AS length_gap FROM sweeps
-    UNION ALL SELECT 1000000000, tol, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0, round(official_km,6) FROM tols, rlen""", **SWEEP))
+@query(sql("""SELECT w.t AS threshold, tols.tol AS tolerance, round(coalesce(p,0e0),6) AS precision_like, round(coalesce(r,0e0),6) AS recall_like, round(coalesce(f1,0e0),6) AS f1, round(coalesce(f2,0e0),6) AS f2,
+    round(coalesce(length_km,0e0),6) AS length_km, round(coalesce(length_ratio,0e0),6) AS length_ratio, round(coalesce(length_gap,official_km),6) AS length_gap
+    FROM (SELECT unnest([50,100,200,400,1000000000]) AS t) w, tols, rlen LEFT JOIN sweeps ON sweeps.t=w.t AND sweeps.tol=tols.tol""", **SWEEP))
 def stream_threshold_sweep(spark, sf):
     return rounded(_agreement(spark, sf, [*SWEEP_CELLS, NO_STREAM]))
 

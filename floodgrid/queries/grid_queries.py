@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from floodgrid.functions.rounding import rounded
 from floodgrid.operators import focal, grid as gr, masks, vector
+from floodgrid.operators.distance import buffer_cells
 from floodgrid.queries import fixtures as fx
 from floodgrid.queries.registry import query
 from floodgrid.queries.sqlparts import sql
@@ -157,14 +158,10 @@ def clip_raster_to_polygon(spark, sf):
     return rounded(gr.clip_to_mask(fx.dem(spark, sf), mask))
 
 
-@query(sql("""SELECT DISTINCT g.row, g.col FROM zn JOIN g m ON m.id=zn.id, (SELECT unnest(range(-3,4)) AS dr) a, (SELECT unnest(range(-3,4)) AS dc) b JOIN g ON g.row=m.row+a.dr AND g.col=m.col+b.dc
-    WHERE zn.r_name='ASIA' AND a.dr*a.dr+b.dc*b.dc <= 9"""))
+@query(sql("""SELECT DISTINCT g.row, g.col FROM (SELECT DISTINCT id FROM zn) zn JOIN g m ON m.id=zn.id, (SELECT unnest(range(-3,4)) AS dr) a, (SELECT unnest(range(-3,4)) AS dc) b JOIN g ON g.row=m.row+a.dr AND g.col=m.col+b.dc
+    WHERE a.dr*a.dr+b.dc*b.dc <= 9"""))
 def buffer_area_by_distance(spark, sf):
-    from floodgrid.operators.distance import distance_within
-
-    mask = fx.named_zone_cells(spark, sf).where("r_name = 'ASIA'").select("row", "col")
-    g = fx.grid(spark, sf)
-    return distance_within(focal.dilate(mask, 3, g), mask, g, 3.0).select("row", "col")
+    return buffer_cells(fx.named_zone_cells(spark, sf), fx.grid(spark, sf), 3.0)
 
 
 SLOPE = """SELECT g.id, g.row, g.col, sum(w.wx*coalesce(b.z, m.med)) AS sx, sum(w.wy*coalesce(b.z, m.med)) AS sy

@@ -110,6 +110,12 @@ def hazard_scenario_summary(spark, sf):
     return rounded(fi.scenario_summary(fx.hazard(spark, sf), fx.CELL_AREA))
 
 
+def _channel_sets(spark, sf):
+    """Channels below slope-area seeds, and channels by catchment size."""
+    seeds = hydro.propagate_downstream(fx.flow(spark, sf), _seeds(spark, sf), fx.grid(spark, sf))
+    return {"slope_area": seeds.join(fx.acc(spark, sf), ["row", "col"]), "area_threshold": fx.channels(spark, sf)}
+
+
 METHOD = {
     **SEED,
     "ch2": "SELECT 'slope_area' AS method, cur AS id FROM spaths UNION ALL SELECT 'area_threshold', id FROM chan",
@@ -133,12 +139,34 @@ METHOD = {
 def channel_method_comparison(spark, sf):
     """Two channel definitions through the whole chain."""
     g = fx.grid(spark, sf)
-    seeds = hydro.propagate_downstream(fx.flow(spark, sf), _seeds(spark, sf), g)
-    sets = {
-        "slope_area": seeds.join(fx.acc(spark, sf), ["row", "col"]),
-        "area_threshold": fx.channels(spark, sf),
-    }
-    return rounded(fi.method_comparison(fx.flow(spark, sf), fx.acc(spark, sf), sets, g, fx.CELL_AREA))
+    return rounded(fi.method_comparison(fx.flow(spark, sf), fx.acc(spark, sf), _channel_sets(spark, sf), g, fx.CELL_AREA))
+
+
+METHOD2 = {
+    **METHOD,
+    "mk": "SELECT mn.*, t.threshold IS NOT NULL AS prone FROM mn LEFT JOIN (SELECT DISTINCT threshold, id FROM tcell WHERE n>=8) t ON t.threshold=mn.method AND t.id=mn.id",
+}
+
+
+def _method_statistics(spark, sf):
+    return fi.method_statistics(fx.flow(spark, sf), fx.acc(spark, sf), _channel_sets(spark, sf), fx.grid(spark, sf), fx.CELL_AREA)
+
+
+@query(sql(f"""SELECT method, round(1e2*count(target)/count(*),6) AS resolved_percent, count(*) FILTER (target IS NOT NULL AND h=1e-5) AS zero_h_cells,
+    round(2e0*((0e0-min(gfi))/(max(gfi)-min(gfi))-5e-1),6) AS zero_index_threshold,
+    round(1e2*count(*) FILTER (prone AND wd<0)/count(*) FILTER (prone),6) AS prone_negative_percent, round(1e2*count(*) FILTER (prone AND wd>0)/count(*) FILTER (prone),6) AS prone_positive_percent,
+    round(count(*) FILTER (gfi>0)*{KM2},6) AS physical_km2 FROM mk GROUP BY method""", **METHOD2))
+def channel_method_shares(spark, sf):
+    return rounded(_method_statistics(spark, sf)[0])
+
+
+@query(sql("""SELECT method, variable, count(x) AS cells, round(min(x),6) AS min_value, round(avg(x),6) AS mean_value, round(max(x),6) AS max_value,
+    round(quantile_cont(x,0.01),6) AS p01, round(quantile_cont(x,0.05),6) AS p05, round(quantile_cont(x,0.25),6) AS p25, round(quantile_cont(x,0.5),6) AS median,
+    round(quantile_cont(x,0.75),6) AS p75, round(quantile_cont(x,0.95),6) AS p95, round(quantile_cont(x,0.99),6) AS p99 FROM
+    (SELECT method, 'height' AS variable, h AS x FROM mk WHERE h>=0 UNION ALL SELECT method, 'river_depth', hr FROM mk WHERE hr IS NOT NULL UNION ALL SELECT method, 'index', gfi FROM mk WHERE gfi IS NOT NULL
+     UNION ALL SELECT method, 'depth_prone', wd FROM mk WHERE prone UNION ALL SELECT method, 'depth_positive', wd FROM mk WHERE prone AND wd>0) GROUP BY method, variable""", **METHOD2))
+def channel_method_statistics(spark, sf):
+    return rounded(_method_statistics(spark, sf)[1])
 
 
 # --- administrative statistics ---

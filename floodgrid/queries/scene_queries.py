@@ -118,9 +118,9 @@ def footprint_coverage(spark, sf):
     return rounded(catalog.footprint_coverage(fx.zone_cells(spark, sf), fx.basin(spark, sf), "k", fx.CELL_AREA))
 
 
-@query(sql(f"""SELECT round(u*{KM2},6) AS union_km2, round(1e2*u/(SELECT count(*) FROM basin),6) AS union_pct FROM (SELECT count(DISTINCT zn.id) AS u FROM zn JOIN basin ON basin.id=zn.id WHERE r_name IN ('ASIA','AFRICA'))"""))
+@query(sql(f"""SELECT round(u*{KM2},6) AS union_km2, round(1e2*u/(SELECT count(*) FROM basin),6) AS union_pct FROM (SELECT count(DISTINCT zn.id) AS u FROM zn JOIN basin ON basin.id=zn.id)"""))
 def footprint_union_coverage(spark, sf):
-    z = fx.named_zone_cells(spark, sf).where("r_name in ('ASIA', 'AFRICA')")
+    z = fx.named_zone_cells(spark, sf)
     return rounded(catalog.union_coverage(z, fx.basin(spark, sf), fx.CELL_AREA))
 
 
@@ -182,6 +182,24 @@ def radar_layer_classification(spark, sf):
     return sar.layer_check(files, "l_orderkey", "name")
 
 
+# Names whose parts run together, end early, or fit several kinds.
+LAYER_NAMES = [
+    "S1A_{}_VV.tif", "vv-{}.tif", "a{}.vv.tif", "S1A_{}_localincangle.tif", "S1_inc_mapped_{}.tif", "my{}_incidence-angle2.tif", "S1_{}_ls_map.tif",
+    "lsmap_{}.tif", "{}_LayoverMask.tif", "rgb_{}.tif", "S1_vvh_{}.tif", "{}-VH_inc_map.tif", "since_{}.tif", "shadow_{}_vh",
+]
+NAMED = "(SELECT l_orderkey, replace(list_extract([" + ", ".join(f"'{n}'" for n in LAYER_NAMES) + f"], CAST((l_orderkey + l_linenumber) % {len(LAYER_NAMES)} + 1 AS INT)), '{{}}', CAST(l_partkey AS VARCHAR)) AS name FROM lineitem)"
+
+
+@query(f"""SELECT name, CASE WHEN regexp_matches(lower(name), '(^|_|-)vv(_|[.]|-|$)') THEN 'VV' WHEN regexp_matches(lower(name), '(^|_|-)vh(_|[.]|-|$)') THEN 'VH'
+    WHEN lower(name) LIKE '%inc%' AND (lower(name) LIKE '%map%' OR lower(name) LIKE '%angle%') THEN 'INC'
+    WHEN contains(lower(name), 'ls_map') OR lower(name) LIKE '%layover%' OR lower(name) LIKE '%shadow%' THEN 'LS' ELSE 'OTHER' END AS kind, count(*) AS files FROM {NAMED} GROUP BY 1, 2""")
+def radar_layer_names(spark, sf):
+    lines = fx.table(spark, sf, "lineitem")
+    pick = F.element_at(F.array(*[F.lit(n) for n in LAYER_NAMES]), ((F.col("l_orderkey") + F.col("l_linenumber")) % len(LAYER_NAMES) + 1).cast("int"))
+    names = lines.select(F.replace(pick, F.lit("{}"), F.col("l_partkey").cast("string")).alias("name"))
+    return names.groupBy("name", sar.layer_kind(F.col("name")).alias("kind")).agg(F.count("*").alias("files"))
+
+
 def line_role():
     """The acquisition that an order line stands for."""
     n = F.col("l_linenumber") % 3
