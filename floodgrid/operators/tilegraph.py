@@ -9,6 +9,7 @@ the cells replace one shuffle of all cells per doubling round.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from floodgrid.operators.grid import Grid
 from floodgrid.functions.graph import components
+from floodgrid.functions.skew import join_hot
 from floodgrid.runtime import materialize
 
 TILE = 256
@@ -60,14 +62,30 @@ def upstream_sum(step: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return acc
 
 
-def forest_roots(nodes: DataFrame) -> DataFrame:
+def _follow_rest(nodes: DataFrame) -> DataFrame:
+    """``forest_roots`` of a graph no larger than a tile, in one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, step = _local_steps(pdf)
+        own = np.arange(len(pdf))
+        target = pdf["target"].astype("Int64")
+        root = chase(np.where(target.notna().to_numpy() | (step < 0), own, step))
+        found = target.array[np.where(root >= 0, root, 0)]
+        return pd.DataFrame({"id": pdf["id"], "target": pd.Series(found, dtype="Int64").where(root >= 0)})
+
+    return nodes.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "id long, target long")
+
+
+def forest_roots(nodes: DataFrame, small: int = TILE * TILE) -> DataFrame:
     """(id, next, target) -> (id, target): the first target met downstream, else NULL.
 
     Rows that know their target, or whose path ends, leave the working set at once, so a target
-    shared by many rows is never a join key.
+    shared by many rows is never a join key. A graph no larger than a tile is followed in one task.
     """
     state = materialize(nodes.select("id", "next", "target"))
     total = state.count()
+    if total <= small:
+        return _follow_rest(state)
     done = state.where("target is not null or next is null").select("id", "target")
     live = state.where("target is null and next is not null")
     look = state
@@ -89,28 +107,76 @@ def forest_roots(nodes: DataFrame) -> DataFrame:
     return done.unionByName(live.select("id", F.lit(None).cast("long").alias("target")))
 
 
-def forest_sums(nodes: DataFrame) -> DataFrame:
-    """(id, next, w) -> (id, total): weights of all nodes draining through each node."""
-    state = materialize(nodes.select("id", "next", F.col("w").alias("total")))
-    rounds = max(state.count(), 2).bit_length() + 1
-    for _ in range(rounds):
-        moving = state.where("next is not null")
-        if moving.isEmpty():
+def _sum_rest(nodes: DataFrame) -> DataFrame:
+    """``forest_sums`` of a graph no larger than a tile, in one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, step = _local_steps(pdf)
+        return pd.DataFrame({"id": pdf["id"], "total": upstream_sum(step, pdf["w"].to_numpy())})
+
+    return nodes.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "id long, total double")
+
+
+def _climb(chain: DataFrame) -> DataFrame:
+    """(id, child, s) to (id, head, s): the first node up the chain that is none of it, and the weights on the way.
+
+    Pointers up a chain are all different, so no join has a hot key. Nodes on loops never end and are left out.
+    """
+    inner = chain.select(F.col("id").alias("up"), F.lit(True).alias("_in"))
+    first = chain.select("id", F.col("child").alias("up"), F.col("w").alias("s")).join(inner, "up", "left")
+    state = materialize(first.select("id", "up", "s", F.col("_in").isNull().alias("ended")))
+    for _ in range(max(state.count(), 2).bit_length() + 1):
+        live = state.where("not ended")
+        if live.isEmpty():
             break
-        sent = moving.groupBy(F.col("next").alias("id")).agg(F.sum("total").alias("_add"))
-        hop = state.select(F.col("id").alias("next"), F.col("next").alias("_n2"))
-        jumped = moving.select("id", "next").join(hop, "next").select("id", "_n2")
-        state = materialize(
-            state.select("id", "total")
-            .join(sent, "id", "left")
-            .join(jumped, "id", "left")
-            .select(
-                "id",
-                F.col("_n2").alias("next"),
-                (F.col("total") + F.coalesce("_add", F.lit(0.0))).alias("total"),
-            )
-        )
-    return state.select("id", "total")
+        hop = state.select(F.col("id").alias("up"), F.col("up").alias("_u"), F.col("s").alias("_s"), F.col("ended").alias("_e"))
+        moved = live.join(hop, "up").select("id", F.col("_u").alias("up"), (F.col("s") + F.col("_s")).alias("s"), F.col("_e").alias("ended"))
+        state = materialize(state.where("ended").unionByName(moved))
+    return state.where("ended").select("id", F.col("up").alias("head"), "s")
+
+
+def forest_sums(nodes: DataFrame, small: int = TILE * TILE) -> DataFrame:
+    """(id, next, w) -> (id, total): weights of all nodes draining through each node.
+
+    The forest is contracted by rake and compress. Runs of nodes with a single node above are summed
+    along the run and folded into one link; then all leaves are folded into the node below, which is a sum by
+    key and combines before the shuffle. Only nodes with several above remain, less than half, so the
+    rounds are logarithmic whatever the shape, and no join meets a main stem on one cell. As soon as
+    the rest is no larger than a tile, one task ends it; folded runs then get their totals back from
+    the last round to the first. Nodes on a loop get what drains into them directly.
+    """
+    state = materialize(nodes.select("id", "next", F.col("w").cast("double").alias("w")))
+    known: list[DataFrame] = []
+    folded: list[DataFrame] = []
+    while True:
+        size = state.count()
+        if size <= small:
+            if size:
+                known.append(materialize(_sum_rest(state)))
+            break
+        above = state.where("next is not null").groupBy(F.col("next").alias("id")).agg(F.count("*").alias("n"), F.min("id").alias("child"))
+        now = materialize(state.join(above, "id", "left"))
+        chain = now.where("n = 1")
+        runs = materialize(_climb(chain).join(chain.select("id", "next"), "id"))
+        # The lowest node of a run: no other node of a run stands below it.
+        lowest = runs.join(chain.select(F.col("child").alias("id")), "id", "left_anti")
+        link = materialize(lowest.select(F.col("head").alias("id"), F.col("next").alias("_below"), F.col("s").alias("_s"), F.lit(True).alias("_run")))
+        looped = chain.join(runs.select("id"), "id", "left_anti").select("id", F.col("w").alias("total"))
+        folded.append(runs.select("id", "head", "s"))
+        rest = now.where("n is null or n > 1").join(link, "id", "left")
+        rest = materialize(rest.select("id", F.when(F.col("_run"), F.col("_below")).otherwise(F.col("next")).alias("next"), "w", F.coalesce("_s", F.lit(0.0)).alias("s"), F.col("n").isNull().alias("leaf")))
+        known.append(rest.where("leaf").select("id", F.col("w").alias("total")))
+        known.append(looped)
+        # What a node sends down: the run below it, and if it is a leaf its own weight.
+        sent = rest.where("next is not null").groupBy(F.col("next").alias("id")).agg(F.sum(F.col("s") + F.when(F.col("leaf"), F.col("w")).otherwise(0.0)).alias("_add"))
+        state = materialize(rest.where("not leaf").join(sent, "id", "left").select("id", "next", (F.col("w") + F.coalesce("_add", F.lit(0.0))).alias("w")))
+    totals = reduce(lambda x, y: x.unionByName(y), known) if known else nodes.select("id", F.col("w").cast("double").alias("total"))
+    for runs in reversed(folded):
+        totals = materialize(totals)
+        # Many nodes of a long run share its head.
+        back = join_hot(runs, totals.withColumnRenamed("id", "head"), "head").select("id", (F.col("s") + F.col("total")).alias("total"))
+        totals = totals.unionByName(back)
+    return totals
 
 
 def _local_steps(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
