@@ -16,7 +16,9 @@ from the sets' sizes.
   in the first band they have in common, the collision-corrected estimate must reach a bound that a
   link misses with the probability ``TAIL``, and parity bitmaps must leave a link possible. Lists
   longer than a block are cut into blocks that meet pairwise in different tasks.
-* What is left is verified on whole sets, made again from the texts of just those documents.
+* What is left is verified on whole sets, made again from the texts of just those documents: in rounds,
+  the pairs with the highest estimates of every set first, so that a dense group is joined by
+  few of its pairs; the last round has left no pair out.
 
 Cases: null texts, empty texts and texts without words have an empty set and link with nothing; a
 text with fewer words than a shingle is one shingle; equal ids are separate documents of one class if
@@ -38,13 +40,13 @@ from pyspark.sql import functions as F
 
 from floodgrid.functions.graph import components
 from floodgrid.functions.skew import join_hot
-from floodgrid.llm.jaccard_join import fold_bits, least_differences, parity_bits, shingle_set, verified, with_classes
+from floodgrid.llm.jaccard_join import PairRows, classes_by_rounds, fold_bits, least_differences, parity_bits, shingle_set, verified, with_classes
 from floodgrid.runtime import materialize
 
 SHINGLE, THRESHOLD = 4, 80
 REGISTERS, BAND_ROWS, MANTISSA = 160, 4, 10
 BANDS = REGISTERS // BAND_ROWS
-LIST_BLOCK = 2000
+LIST_BLOCK = 1000
 TAIL = 1e-12
 # Rows of a batch whose sketches are held as arrays at once.
 PIECE = 256
@@ -149,15 +151,17 @@ def _banded(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "regs").mapInArrow(run, "node bigint, band int, key bigint")
 
 
-def may_link(regs: np.ndarray, n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray, t: int, cut: float) -> np.ndarray:
-    """Which pairs (i, j) of rows are left by estimate and bitmaps."""
+def may_link(regs: np.ndarray, n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray, t: int, cut: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs (i, j) of rows are left by estimate and bitmaps, and their numbers of agreeing registers."""
     good = 100 * np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j])
     at = np.flatnonzero(good)
     agreeing = np.concatenate([np.count_nonzero(regs[i[p]] == regs[j[p]], axis=1) for p in np.array_split(at, len(at) // 4096 + 1)])
-    at = at[corrected(agreeing, n[i[at]], n[j[at]]) >= cut]
+    high = corrected(agreeing, n[i[at]], n[j[at]]) >= cut
+    at, agreeing = at[high], agreeing[high]
     least = least_differences(bits, i[at], j[at])
     # Linked sets differ in at most (1 - t) / (1 + t) of the sum of their sizes.
-    return at[(100 + t) * least <= (100 - t) * (n[i[at]] + n[j[at]])]
+    left = (100 + t) * least <= (100 - t) * (n[i[at]] + n[j[at]])
+    return at[left], agreeing[left]
 
 
 def _star_left(star: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
@@ -174,13 +178,14 @@ def _star_left(star: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
                 n = np.concatenate([batch.column(c).to_numpy() for c in (2, 5)]).astype(np.int64)
                 bits = batch.column(4).to_pylist() + batch.column(7).to_pylist()
                 i = np.arange(batch.num_rows)
-                yield batch.select([0, 1]).take(pa.array(may_link(regs, n, bits, i, i + batch.num_rows, t, cut)))
+                yield batch.select([0, 1]).take(pa.array(may_link(regs, n, bits, i, i + batch.num_rows, t, cut)[0]))
 
     return both.select("a", "b", "x.n", "x.regs", "x.bits", F.col("y.n").alias("m"), F.col("y.regs").alias("regs2"), F.col("y.bits").alias("bits2")).mapInArrow(screen, "a bigint, b bigint")
 
 
-def _list_pairs(t: int):
-    """Pairs of different labels left in band lists that arrive ordered by (band, key, blocks, n)."""
+def _list_pairs(t: int, most: int):
+    """Pairs of different labels left in band lists that arrive ordered by (band, key, blocks, n): for every
+    row those with the ``most`` agreeing registers, and whether there are others."""
     cut = least_estimate(t)
 
     def pairs_of(rows: pa.Table) -> pa.RecordBatch:
@@ -190,7 +195,7 @@ def _list_pairs(t: int):
         bands = band_keys(regs)
         change = (key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (blocks[1:] != blocks[:-1])
         number = np.concatenate(([0], np.cumsum(change)))
-        found = []
+        found = PairRows(most)
         active, d = np.arange(len(number)), 1
         while True:
             active = active[active + d < len(number)]
@@ -202,11 +207,10 @@ def _list_pairs(t: int):
             # The first band in common decides: the pair's other lists pass it over.
             i = i[(bands[i] == bands[i + d]).argmax(1) == band[i]] if len(i) else i
             if len(i):
-                i = i[may_link(regs, n, bits, i, i + d, t, cut)]
-                found.append(np.stack((np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d])), 1))
+                left, agreeing = may_link(regs, n, bits, i, i + d, t, cut)
+                found.add(i[left], i[left] + d, agreeing)
             d += 1
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        return found.batch(node)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -228,8 +232,8 @@ def _list_pairs(t: int):
     return run
 
 
-def _candidates(members: DataFrame, labelled: DataFrame, nodes: DataFrame, t: int, block: int = LIST_BLOCK) -> DataFrame:
-    """Pairs of nodes of different labels in one band list, as far as estimate and bitmaps leave them."""
+def _candidates(members: DataFrame, labelled: DataFrame, nodes: DataFrame, t: int, most: int, block: int = LIST_BLOCK) -> DataFrame:
+    """Pairs (a, b, more) of nodes of different labels in one band list, as far as estimate and bitmaps leave them."""
     rows = materialize(members.join(labelled.select("node", "label"), "node"))
     lists = rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1"))
     mixed = materialize(join_hot(rows, lists.where("l0 <> l1").select("band", "key", "m"), ["band", "key"]))
@@ -240,9 +244,9 @@ def _candidates(members: DataFrame, labelled: DataFrame, nodes: DataFrame, t: in
     met = (F.shiftleft(F.least("own", "other").cast("long"), 31) + F.greatest("own", "other")).alias("blocks")
     full = cut.select("band", "key", met, "node", "label").join(nodes.select("node", "n", "regs", "bits"), "node")
     ordered = full.repartition("band", "key", "blocks").sortWithinPartitions("band", "key", "blocks", "n", "node")
-    pairs = ordered.select("band", "key", "blocks", "n", "node", "label", "regs", "bits").mapInArrow(_list_pairs(t), "a bigint, b bigint")
+    pairs = ordered.select("band", "key", "blocks", "n", "node", "label", "regs", "bits").mapInArrow(_list_pairs(t, most), "a bigint, b bigint, more boolean")
     # Two sets in one block meet once per partner block.
-    return materialize(pairs.distinct())
+    return materialize(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
 
 
 def near_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, t: int = THRESHOLD) -> DataFrame:
@@ -262,21 +266,15 @@ def near_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     star = near.groupBy("node").agg(F.max_by("leader", F.struct("m", -F.col("leader"))).alias("leader"))
     star = materialize(star.select(F.col("leader").alias("a"), F.col("node").alias("b")))
     none = spark.createDataFrame([], "node bigint, label bigint")
-    first = second = none
+    first = none
     star = materialize(_star_left(star, nodes, t))
     if not star.isEmpty():
         links = verified(star, nodes, documents, doc_id, text, k, t)
         if not links.isEmpty():
             first = components(links)
     labelled = materialize(nodes.select("node", "digest", "doc_id").join(first, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    pairs = _candidates(members.select("band", "key", "node"), labelled, nodes, t)
-    if not pairs.isEmpty():
-        links = verified(pairs, nodes, documents, doc_id, text, k, t)
-        label = labelled.select("node", "label")
-        across = materialize(join_hot(links, label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a"))
-        across = join_hot(across, label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        across = materialize(across.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-        if not across.isEmpty():
-            second = components(across)
-    classes = with_classes(made.select("doc_id", "n", "digest"), labelled.select("label", "digest", "doc_id"), second)
+    members = members.select("band", "key", "node")
+    check = lambda pairs: verified(pairs, nodes, documents, doc_id, text, k, t)
+    labelled = classes_by_rounds(labelled, lambda now, most: _candidates(members, now, nodes, t, most), check)
+    classes = with_classes(made.select("doc_id", "n", "digest"), labelled.select("label", "digest", "doc_id"), none)
     return classes.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

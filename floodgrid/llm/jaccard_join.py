@@ -55,6 +55,8 @@ PIECE = 256
 BITMAP = 512
 # Pairs that share one copy of a set.
 PAIRS_A_COPY = 1000
+# Pairs of a row of a list that are checked in the first round, and by how many times more in each that follows.
+FIRST_PAIRS, MORE_PAIRS = 1, 16
 _U = np.uint64
 
 
@@ -286,8 +288,8 @@ def _screened(pairs: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
     return materialize(flat.mapInArrow(screen, "a bigint, b bigint"))
 
 
-def _with_body(pairs: DataFrame, bodies: DataFrame, end: str) -> DataFrame:
-    """Pairs (a, b, ...) with the body of the node in column ``end``.
+def _dealt(pairs: DataFrame, bodies: DataFrame, end: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, ...) with a number ``copy``, and the body of the node in column ``end`` for every (end, copy).
 
     A node of many pairs is sent in copies, one for every ``PAIRS_A_COPY`` of them, so its pairs are
     spread over tasks and no body is broadcast.
@@ -296,8 +298,9 @@ def _with_body(pairs: DataFrame, bodies: DataFrame, end: str) -> DataFrame:
     copy = F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1))).cast("int")
     dealt = join_hot(pairs, copies, end, how="left").withColumn("copy", copy).drop("copies")
     each = F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy")
-    sent = bodies.join(copies.withColumnRenamed(end, "node"), "node", "left").select(F.col("node").alias(end), each, F.col("body").alias(f"body_{end}"))
-    return dealt.join(sent, [end, "copy"]).drop("copy")
+    asked = bodies.join(pairs.select(F.col(end).alias("node")).distinct(), "node", "left_semi")
+    sent = asked.join(copies.withColumnRenamed(end, "node"), "node", "left").select(F.col("node").alias(end), each, "body")
+    return dealt, sent
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, k: int, t: int) -> DataFrame:
@@ -326,22 +329,105 @@ def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: s
     made = rows.mapInArrow(sets, "digest binary, body binary")
     # A node's own document is enough; rows with the same id or without one may bring it again.
     bodies = materialize(made.join(needed.select("digest", "node"), "digest").groupBy("node").agg(F.max("body").alias("body")))
-    both = _with_body(materialize(_with_body(pairs, bodies, "a")), bodies, "b")
+    dealt, sent = _dealt(pairs, bodies, "b")
+    with_b = materialize(dealt.join(sent, ["b", "copy"]).select("a", "b", "body"))
+    dealt, sent = _dealt(with_b, bodies, "a")
+    # A node's body stands before its partners', so every row carries one body.
+    heads = sent.select("a", F.lit(None).cast("long").alias("b"), "copy", "body")
+    both = heads.unionByName(dealt).repartition("a", "copy").sortWithinPartitions("a", "copy", F.asc_nulls_first("b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            good = [
-                linked(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), t)
-                for i in range(batch.num_rows)
-            ]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    return materialize(both.select("a", "b", "body_a", "body_b").mapInArrow(check, "a bigint, b bigint"))
-
-
-def _list_pairs(t: int) -> Callable:
-    """Candidate pairs of index lists that arrive ordered by (token, blocks, size and position)."""
+            good = []
+            first, last = batch.column(0), batch.column(1).is_null().to_pylist()
+            for i, is_head in enumerate(last):
+                body = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+                if is_head:
+                    head = body.copy()
+                elif linked(head, body, t):
+                    good.append(i)
+            at = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([first.take(at), batch.column(1).take(at)], ["a", "b"])
+
+    return materialize(both.select("a", "b", "body").mapInArrow(check, "a bigint, b bigint"))
+
+
+def best_of_rows(i: np.ndarray, j: np.ndarray, worth: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs (i, j) are among the ``most`` worthiest of one of their rows."""
+    good = np.zeros(len(i), bool)
+    for row, other in ((i, j), (j, i)):
+        order = np.lexsort((other, -worth, row))
+        starts = np.flatnonzero(np.concatenate(([True], row[order][1:] != row[order][:-1]))) if len(order) else order
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(order)]))))
+        good[order[place < most]] = True
+    return good
+
+
+class PairRows:
+    """The pairs found in lists, of which the ``most`` worthiest of every row are handed on."""
+
+    HELD = 1 << 20
+
+    def __init__(self, most: int):
+        self.most, self.left = most, False
+        self.found: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, worth: np.ndarray) -> None:
+        self.found.append(np.stack((i, j, worth)).astype(np.int64))
+        self.size += len(i)
+        if self.size > self.HELD:
+            self._prune()
+
+    def _prune(self) -> None:
+        rows = np.concatenate(self.found, axis=1) if self.found else np.zeros((3, 0), np.int64)
+        good = best_of_rows(*rows, self.most)
+        self.left |= not good.all()
+        self.found, self.size = [rows[:, good]], int(good.sum())
+
+    def batch(self, node: np.ndarray) -> pa.RecordBatch:
+        """(a, b, more): pairs of nodes, and whether pairs were left out."""
+        self._prune()
+        i, j, _ = self.found[0]
+        pairs = np.unique(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), self.left))], ["a", "b", "more"])
+
+
+def classes_by_rounds(labelled: DataFrame, candidates: Callable[[DataFrame, int], DataFrame], check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``labelled`` (node, label, ...) with labels joined until no candidate pair of different labels is unchecked.
+
+    A round takes only the best pairs of every row of a list, ``FIRST_PAIRS`` at first. In a dense group those
+    join most sets, and the rest of its pairs, which grow with the square of the group, is never made. Where
+    pairs were left out another round takes ``MORE_PAIRS`` times as many, without those already
+    checked; the last round has left none out.
+    """
+    tried, most = None, FIRST_PAIRS
+    while True:
+        pairs = candidates(labelled, most)
+        more = not pairs.where("more").isEmpty()
+        fresh = pairs.select("a", "b")
+        if tried is not None:
+            fresh = materialize(fresh.join(tried, ["a", "b"], "left_anti"))
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        if not fresh.isEmpty():
+            links = check(fresh)
+            label = labelled.select("node", "label")
+            across = materialize(join_hot(links, label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a"))
+            across = join_hot(across, label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+            across = materialize(across.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+            if not across.isEmpty():
+                wider = components(across).select(F.col("node").alias("label"), F.col("label").alias("wide"))
+                joined = join_hot(labelled, wider, "label", how="left").withColumn("label", F.coalesce("wide", "label")).drop("wide")
+                labelled = materialize(joined)
+        if not more:
+            return labelled
+        most *= MORE_PAIRS
+
+
+def _list_pairs(t: int, most: int) -> Callable:
+    """Candidate pairs of index lists that arrive ordered by (token, blocks, size and position): for every
+    row those with the ``most`` likest bitmaps, and whether there are others."""
 
     def pairs_of(rows: pa.Table) -> pa.RecordBatch:
         """Pairs within whole lists, by growing distance in the list."""
@@ -349,7 +435,7 @@ def _list_pairs(t: int) -> Callable:
         bits = rows.column(5).to_pylist()
         size, rest = spot >> 32, (spot >> 32) - (spot & 0xFFFFFFFF)
         number = np.concatenate(([0], np.cumsum((token[1:] != token[:-1]) | (blocks[1:] != blocks[:-1]))))
-        found = []
+        found = PairRows(most)
         active = np.arange(len(number))
         d = 1
         while True:
@@ -364,12 +450,11 @@ def _list_pairs(t: int) -> Callable:
             good = (label[i] != label[j]) & ((100 + t) * np.minimum(rest[i], rest[j]) >= t * both)
             i, j, both = i[good], j[good], both[good]
             # Linked sets differ in at most (1 - t) / (1 + t) of the sum of their sizes.
-            left = (100 + t) * least_differences(bits, i, j) <= (100 - t) * both
-            i, j = i[left], j[left]
-            found.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), 1))
+            least = least_differences(bits, i, j)
+            left = (100 + t) * least <= (100 - t) * both
+            found.add(i[left], j[left], -least[left])
             d += 1
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        return found.batch(node)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -410,7 +495,7 @@ def _mixed_lists(nodes: DataFrame, block: int) -> DataFrame:
     return materialize(short.where("l0 <> l1").select(columns).unionByName(join_hot(long, counts, "token").select(columns)))
 
 
-def _candidates(nodes: DataFrame, t: int, block: int = LIST_BLOCK) -> DataFrame:
+def _candidates(nodes: DataFrame, t: int, block: int = LIST_BLOCK, most: int = 1 << 60) -> DataFrame:
     """Pairs of nodes of different labels that share an indexed shingle and pass the bounds of size, position and bitmap.
 
     A list longer than a block is cut: block i meets block j in a list of its own, in which the sets of
@@ -424,9 +509,10 @@ def _candidates(nodes: DataFrame, t: int, block: int = LIST_BLOCK) -> DataFrame:
     bits = F.col("bits") if "bits" in nodes.columns else F.lit(b"")
     full = cut.select("token", met, "spot", "node", "label").join(nodes.select("node", bits.alias("bits")), "node")
     ordered = full.repartition("token", "blocks").sortWithinPartitions("token", "blocks", "spot")
-    pairs = ordered.select("token", "blocks", "spot", "node", "label", "bits").mapInArrow(_list_pairs(t), "a bigint, b bigint")
+    pairs = ordered.select("token", "blocks", "spot", "node", "label", "bits").mapInArrow(_list_pairs(t, most), "a bigint, b bigint, more boolean")
     # Two sets meet once in every list that they share.
-    return materialize(pairs.distinct())
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
+    return pairs if most < 1 << 60 else pairs.drop("more")
 
 
 def link_classes(
@@ -451,23 +537,20 @@ def link_classes(
     star = materialize(star.select(F.col("node").alias("b"), F.col("leader").alias("a")).select("a", "b"))
     none = spark.createDataFrame([], "node bigint, label bigint")
 
-    first = second = none
+    first = none
     star = _screened(star, nodes, t)
     if star.limit(1).count():
         links = verified(star, nodes, documents, doc_id, text, k, t)
         if links.limit(1).count():
             first = components(links)
     labelled = materialize(nodes.select("node", "digest", "doc_id").join(first, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    pairs = _candidates(materialize(nodes.select("node", "n", "prefix", "bits").join(labelled.select("node", "label"), "node")), t)
-    if pairs.limit(1).count():
-        links = verified(pairs, nodes, documents, doc_id, text, k, t)
-        label = labelled.select("node", "label")
-        across = join_hot(links, label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-        across = join_hot(materialize(across), label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        across = materialize(across.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-        if across.limit(1).count():
-            second = components(across)
-    return with_classes(made, labelled.select("label", "digest", "doc_id"), second)
+
+    def candidates(labelled: DataFrame, most: int) -> DataFrame:
+        indexed = nodes.select("node", "n", "prefix", "bits").join(labelled.select("node", "label"), "node")
+        return _candidates(materialize(indexed), t, most=most)
+
+    labelled = classes_by_rounds(labelled, candidates, lambda pairs: verified(pairs, nodes, documents, doc_id, text, k, t))
+    return with_classes(made, labelled.select("label", "digest", "doc_id"), none)
 
 
 def with_classes(made: DataFrame, nodes: DataFrame, wider: DataFrame) -> DataFrame:
