@@ -13,6 +13,7 @@ from floodgrid.functions.skew import join_hot
 from floodgrid.operators import hydro
 from floodgrid.operators.components import remove_small
 from floodgrid.operators.grid import Grid
+from floodgrid.operators.nested import nested_components
 from floodgrid.runtime import materialize
 
 # Scenario name, mask kind and fuzzy spread.
@@ -147,29 +148,28 @@ def zero_crossing(index: DataFrame) -> DataFrame:
 def threshold_sensitivity(
     index: DataFrame, grid: Grid, thresholds: list[float], cell_area: float, min_pixels: int = hz.MIN_COMPONENT_CELLS
 ) -> DataFrame:
-    """Area, depth signs, components and agreement with wd > 0 for every threshold, in one pass."""
+    """Area, depth signs, components and agreement with wd > 0 for every threshold, from one merge tree."""
     v = index.where("norm is not null").select("row", "col", "norm", "wd")
-    levels = F.array(*[F.lit(float(t)) for t in thresholds])
-    each = v.withColumn("threshold", F.explode(F.filter(levels, lambda t: F.col("norm") > t)))
-    kept, before = remove_small(each.select("threshold", "row", "col"), grid, min_pixels, ["threshold"])
-    kept = kept.join(v, ["row", "col"])
     wd = F.col("wd")
-    sums = kept.groupBy("threshold").agg(
-        F.count("*").alias("cells"),
-        F.count_if(wd > 0).alias("positive_wd_cells"),
-        F.count_if(wd < 0).alias("negative_wd_cells"),
-        F.count_if(F.abs(wd) <= 1e-12).alias("zero_wd_cells"),
-    )
-    largest = (
-        kept.groupBy("threshold", "label").agg(F.count("*").alias("n")).groupBy("threshold").agg(F.max("n").alias("largest"))
+    rising = sorted({float(t) for t in thresholds})
+    passed = reduce(lambda x, y: x + y, [(F.col("norm") > t).cast("int") for t in rising])
+    signs = {"positive_wd_cells": wd > 0, "negative_wd_cells": wd < 0, "zero_wd_cells": F.abs(wd) <= 1e-12}
+    counted = v.select("row", "col", passed.alias("level"), *[F.coalesce(c, F.lit(False)).cast("long").alias(n) for n, c in signs.items()])
+    parts = nested_components(counted, grid, len(rising), list(signs))
+    large = F.col("n") >= min_pixels
+    kept = lambda c: F.sum(F.when(large, F.col(c)).otherwise(0))
+    found = parts.groupBy("level").agg(
+        F.count("*").alias("components_before"),
+        F.count_if(large).alias("components_after"),
+        kept("n").alias("cells"),
+        *[kept(n).alias(n) for n in signs],
+        F.max(F.when(large, F.col("n"))).alias("largest"),
     )
     totals = v.agg(F.count("*").alias("valid"), F.count_if(wd > 0).alias("physical"))
     spark = index.sparkSession
-    every = F.broadcast(spark.createDataFrame([(float(t),) for t in thresholds], "threshold double"))
+    every = F.broadcast(spark.createDataFrame([(float(t), rising.index(float(t)) + 1) for t in thresholds], "threshold double, level int"))
     out = (
-        every.join(before, "threshold", "left")
-        .join(sums, "threshold", "left")
-        .join(largest, "threshold", "left")
+        every.join(found, "level", "left")
         .withColumn("valid", totals.select("valid").scalar())
         .withColumn("physical", totals.select("physical").scalar())
         .fillna(0)
