@@ -344,30 +344,83 @@ def sweep_leaders(sweep: DataFrame, by: str = "area_km2") -> DataFrame:
     )
 
 
-def exit_clusters(exits: DataFrame, radius: float) -> DataFrame:
+# Boxes with at most so many pairs of points between them are compared point by point.
+FEW_PAIRS = 64
+
+
+def _squares_in_reach(spots: DataFrame, side: float, radius: float, few: int) -> DataFrame:
+    """(bx0, by0, bx, by): neighbouring squares that hold a pair of points within the radius.
+
+    The points of a square have a box. Two boxes are in reach if their farthest corners or their first points
+    are, and out of reach if their nearest corners are not. What is undecided is cut in four on both
+    sides and looked at again, until few points are left; a pair of squares ends at its first meeting.
+    Only boxes about a radius apart go on, so the work is near linear in the points.
+    """
+    around = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around]))
+    held = spots.select("bx", "by").distinct()
+    pairs = held.select(F.col("bx").alias("bx0"), F.col("by").alias("by0"), shift.alias("s"))
+    pairs = pairs.select("bx0", "by0", (F.col("bx0") + F.col("s.i")).alias("bx"), (F.col("by0") + F.col("s.j")).alias("by"))
+    top = ["bx0", "by0", "bx", "by"]
+    open_pairs = materialize(pairs.join(held, ["bx", "by"]).select(*top, *[F.lit(0).cast("long").alias(c) for c in ("ux", "uy", "vx", "vy")]))
+    found, level = None, 0
+    while not open_pairs.isEmpty():
+        part = lambda c, b: F.floor((F.col(c) / side - F.col(b)) * float(2**level)).cast("long")
+        busy = open_pairs.select("bx", "by").union(open_pairs.select("bx0", "by0")).distinct()
+        cut = spots.join(busy, ["bx", "by"], "left_semi").select("bx", "by", part("x", "bx").alias("sx"), part("y", "by").alias("sy"), "x", "y")
+        boxes = materialize(
+            cut.groupBy("bx", "by", "sx", "sy").agg(
+                F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min(F.struct("x", "y")).alias("p"), F.count("*").alias("n")
+            )
+        )
+        box = F.struct("x0", "x1", "y0", "y1", "p", "n")
+        left = boxes.select(F.col("bx").alias("bx0"), F.col("by").alias("by0"), F.col("sx").alias("ux"), F.col("sy").alias("uy"), box.alias("l"))
+        right = boxes.select("bx", "by", F.col("sx").alias("vx"), F.col("sy").alias("vy"), box.alias("r"))
+        met = open_pairs.join(left, ["bx0", "by0", "ux", "uy"]).join(right, ["bx", "by", "vx", "vy"])
+
+        def gap(lo: str, hi: str) -> Column:
+            return F.greatest(F.lit(0.0), F.col(f"r.{lo}") - F.col(f"l.{hi}"), F.col(f"l.{lo}") - F.col(f"r.{hi}"))
+
+        def span(lo: str, hi: str) -> Column:
+            return F.greatest(F.abs(F.col(f"r.{hi}") - F.col(f"l.{lo}")), F.abs(F.col(f"l.{hi}") - F.col(f"r.{lo}")))
+
+        first = F.hypot(F.col("r.p.x") - F.col("l.p.x"), F.col("r.p.y") - F.col("l.p.y")) <= radius
+        judged = met.where(F.hypot(gap("x0", "x1"), gap("y0", "y1")) <= radius).select(
+            *top, "ux", "uy", "vx", "vy", (first | (F.hypot(span("x0", "x1"), span("y0", "y1")) <= radius)).alias("near"), (F.col("l.n") * F.col("r.n") <= few).alias("few")
+        )
+        judged = materialize(judged)
+        near = judged.where("near").select(*top)
+        a = cut.select(F.col("bx").alias("bx0"), F.col("by").alias("by0"), F.col("sx").alias("ux"), F.col("sy").alias("uy"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+        b = cut.select("bx", "by", F.col("sx").alias("vx"), F.col("sy").alias("vy"), "x", "y")
+        by_points = judged.where("few AND NOT near").join(a, ["bx0", "by0", "ux", "uy"]).join(b, ["bx", "by", "vx", "vy"])
+        by_points = by_points.where(F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")) <= radius).select(*top)
+        now = materialize(near.unionByName(by_points).distinct())
+        found = now if found is None else found.unionByName(now)
+        halves = [F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias(c) for c in ("_a", "_b", "_c", "_d")]
+        left_over = judged.where("NOT near AND NOT few").join(now, top, "left_anti")
+        for h in halves:
+            left_over = left_over.select("*", h)
+        open_pairs = materialize(
+            left_over.select(*top, *[(2 * F.col(c) + F.col(h)).alias(c) for c, h in (("ux", "_a"), ("uy", "_b"), ("vx", "_c"), ("vy", "_d"))])
+        )
+        level += 1
+    return found.distinct() if found is not None else pairs.limit(0)
+
+
+def exit_clusters(exits: DataFrame, radius: float, few: int = FEW_PAIRS) -> DataFrame:
     """(point_id, label): points chained by steps of at most ``radius``.
 
     Buckets of side radius / sqrt(2): all points of a bucket belong together, so they are tied
-    to the smallest id of the bucket instead of to each other. Only buckets next to one another
-    are compared point by point, with equal positions taken once.
+    to the smallest id of the bucket instead of to each other. Whether buckets next to one another hold a pair in
+    reach is decided by boxes, so dense buckets are not compared point by point.
     """
     side = radius / math.sqrt(2.0) * (1 - 1e-9)
     pts = exits.select(
         "point_id", "x", "y", F.floor(F.col("x") / side).alias("bx"), F.floor(F.col("y") / side).alias("by")
     )
     heads = pts.groupBy("bx", "by").agg(F.min("point_id").alias("head"))
-    spots = pts.select("bx", "by", "x", "y").distinct()
-    around = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
-    shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around]))
-    left = spots.select(
-        F.col("x").alias("x0"),
-        F.col("y").alias("y0"),
-        F.col("bx").alias("bx0"),
-        F.col("by").alias("by0"),
-        shift.alias("s"),
-    ).select("x0", "y0", "bx0", "by0", (F.col("bx0") + F.col("s.i")).alias("bx"), (F.col("by0") + F.col("s.j")).alias("by"))
-    close = F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")) <= radius
-    linked = left.join(spots, ["bx", "by"]).where(close).select("bx0", "by0", "bx", "by").distinct()
+    spots = materialize(pts.select("bx", "by", "x", "y").distinct())
+    linked = _squares_in_reach(spots, side, radius, few)
     a = heads.select(F.col("bx").alias("bx0"), F.col("by").alias("by0"), F.col("head").alias("a"))
     b = heads.withColumnRenamed("head", "b")
     merged = components(linked.join(a, ["bx0", "by0"]).join(b, ["bx", "by"]).select("a", "b")).select(F.col("node").alias("head"), "label")
