@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from floodgrid.functions.graph import SMALL, components
 from floodgrid.functions.skew import join_hot

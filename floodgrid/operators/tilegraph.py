@@ -112,7 +112,15 @@ def _sum_rest(nodes: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, step = _local_steps(pdf)
-        return pd.DataFrame({"id": pdf["id"], "total": upstream_sum(step, pdf["w"].to_numpy())})
+        far = np.where(step < 0, np.arange(len(step)), step)
+        for _ in range(len(step).bit_length() + 1):
+            far = far[far]
+        # Ways that do not end have come to the nodes of loops; those pass nothing on and have no sum.
+        loop = np.unique(far[step[far] >= 0])
+        step[loop] = -1
+        total = upstream_sum(step, pdf["w"].to_numpy())
+        total[loop] = np.nan
+        return pd.DataFrame({"id": pdf["id"], "total": total})
 
     return nodes.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "id long, total double")
 
@@ -143,7 +151,7 @@ def forest_sums(nodes: DataFrame, small: int = TILE * TILE) -> DataFrame:
     key and combines before the shuffle. Only nodes with several above remain, less than half, so the
     rounds are logarithmic whatever the shape, and no join meets a main stem on one cell. As soon as
     the rest is no larger than a tile, one task ends it; folded runs then get their totals back from
-    the last round to the first. Nodes on a loop get what drains into them directly.
+    the last round to the first. Nodes on a loop have no sum.
     """
     state = materialize(nodes.select("id", "next", F.col("w").cast("double").alias("w")))
     known: list[DataFrame] = []
@@ -161,7 +169,7 @@ def forest_sums(nodes: DataFrame, small: int = TILE * TILE) -> DataFrame:
         # The lowest node of a run: no other node of a run stands below it.
         lowest = runs.join(chain.select(F.col("child").alias("id")), "id", "left_anti")
         link = materialize(lowest.select(F.col("head").alias("id"), F.col("next").alias("_below"), F.col("s").alias("_s"), F.lit(True).alias("_run")))
-        looped = chain.join(runs.select("id"), "id", "left_anti").select("id", F.col("w").alias("total"))
+        looped = chain.join(runs.select("id"), "id", "left_anti").select("id", F.lit(None).cast("double").alias("total"))
         folded.append(runs.select("id", "head", "s"))
         rest = now.where("n is null or n > 1").join(link, "id", "left")
         rest = materialize(rest.select("id", F.when(F.col("_run"), F.col("_below")).otherwise(F.col("next")).alias("next"), "w", F.coalesce("_s", F.lit(0.0)).alias("s"), F.col("n").isNull().alias("leaf")))
