@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from floodgrid.llm.texts import kept_by_worker
+
 # What plain texts consist of: printable ASCII, blanks and line feeds, and the letters of the Latin-1
 # block, whose UTF-8 is 0xC3 and a byte of 0x80 to 0xBF other than those of the two signs.
 _PLAIN = bytes([10, *range(32, 127), *range(0x80, 0xC0), 0xC3])
@@ -26,7 +28,7 @@ _SPACED_PARTS = re.compile(rb" ?[A-Za-z\x80-\xff]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-
 _RUNS = (b"  ", b"\n\n", b" \n", b"\n ")
 
 PARTS_KEPT = 300_000
-_LOADED: dict[tuple, object] = {}
+_LOADED: dict[tuple, object] = kept_by_worker({})
 
 
 def cuts_of(path: str) -> str:

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from floodgrid.functions.graph import components
 from floodgrid.functions.skew import join_hot
+from floodgrid.llm.texts import clear_others, kept_by_worker
 from floodgrid.runtime import materialize
 
 SHINGLE, THRESHOLD = 4, 85
@@ -68,7 +69,12 @@ class _WordHashes(dict):
         return h
 
 
-_HASHES = _WordHashes()
+_HASHES = kept_by_worker(_WordHashes())
+
+
+def _start_task() -> None:
+    """Frees what earlier stages keep in this worker."""
+    clear_others(_HASHES)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -165,6 +171,7 @@ def frequency_levels(documents: DataFrame, text: str, k: int, bits: int = SKETCH
     part = cells // SKETCH_SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _start_task()
         counts = np.zeros(cells, np.uint32)
         for _, texts in _texts(batches, 0):
             for t in texts:
@@ -200,7 +207,7 @@ def _signatures(documents: DataFrame, doc_id: str, text: str, k: int, t: int, le
         mask = _U(len(level) - 1)
         pieces = (batch.slice(lo, PIECE) for batch in batches for lo in range(0, batch.num_rows, PIECE))
         for batch, texts in _texts(pieces, 1):
-            n, digests, bands, prefixes, bitmaps = [], [], [], [], []
+            n, digests, bands, prefixes, bitmaps, small = [], [], [], [], [], []
             for raw in texts:
                 s = shingle_set(raw, k)
                 n.append(len(s))
@@ -209,8 +216,11 @@ def _signatures(documents: DataFrame, doc_id: str, text: str, k: int, t: int, le
                     bands.append([])
                     prefixes.append([])
                     bitmaps.append(b"")
+                    small.append(b"")
                     continue
                 bitmaps.append(fold_bits(parity_bits(s), BITMAP))
+                # Half of it rides with the rows of lists: enough to tell unlike sets apart.
+                small.append(fold_bits(bitmaps[-1], max(8, len(bitmaps[-1]) // 2)))
                 low = np.array([(s * c).min() for c in odd]).reshape(BANDS, ROWS)
                 key = _mixed(low[:, 0] + _U(3) * low[:, 1] + np.arange(BANDS, dtype=np.uint64))
                 bands.append(key.view(np.int64))
@@ -220,12 +230,12 @@ def _signatures(documents: DataFrame, doc_id: str, text: str, k: int, t: int, le
                 prefixes.append(np.sort(np.partition(place, p - 1)[:p]).view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(prefixes, longs), pa.array(bitmaps, pa.binary())],
-                ["doc_id", "n", "digest", "bands", "prefix", "bits"],
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(prefixes, longs), pa.array(bitmaps, pa.binary()), pa.array(small, pa.binary())],
+                ["doc_id", "n", "digest", "bands", "prefix", "bits", "small"],
             )
 
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n int, digest binary, bands array<bigint>, prefix array<bigint>, bits binary")
+    return rows.mapInArrow(run, "doc_id bigint, n int, digest binary, bands array<bigint>, prefix array<bigint>, bits binary, small binary")
 
 
 class _BitSet:
@@ -354,7 +364,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: s
 
 
 def best_of_rows(i: np.ndarray, j: np.ndarray, worth: np.ndarray, most: int) -> np.ndarray:
-    """Which pairs (i, j) are among the ``most`` worthiest of one of their rows."""
+    """Which pairs (i, j) are among the ``most`` worthiest that i is the first of, or j the second."""
     good = np.zeros(len(i), bool)
     for row, other in ((i, j), (j, i)):
         order = np.lexsort((other, -worth, row))
@@ -476,7 +486,7 @@ def _list_pairs(t: int, most: int) -> Callable:
     return run
 
 
-def _mixed_lists(nodes: DataFrame, block: int) -> DataFrame:
+def _mixed_lists(nodes: DataFrame, t: int, block: int) -> DataFrame:
     """token, length m, spot (size and position), node and label of the index lists that hold several labels.
 
     A token's first bits are the sketch's level, so its list has fewer than 2^(level + 1) sets. Lists
@@ -487,32 +497,47 @@ def _mixed_lists(nodes: DataFrame, block: int) -> DataFrame:
     level = F.shiftrightunsigned("token", 58)
     long_from = block.bit_length() - 1
     of = [F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")]
-    w = Window.partitionBy("token")
-    short = lists.where(level < long_from).select("*", *[F.count("*").over(w).alias("m"), F.min("label").over(w).alias("l0"), F.max("label").over(w).alias("l1")])
+    w, by_size = Window.partitionBy("token"), Window.partitionBy("token").orderBy("spot")
+    size = F.col("spot") / (1 << 32)
+    # By size: a row whose neighbours in the list are too small and too large has no partner in it.
+    below, above = F.floor(F.lag("spot").over(by_size) / (1 << 32)), F.floor(F.lead("spot").over(by_size) / (1 << 32))
+    near = F.coalesce(100 * below >= t * F.floor(size), F.lit(False)) | F.coalesce(100 * F.floor(size) >= t * above, F.lit(False))
+    labels = [F.count("*").over(w).alias("m"), F.min("label").over(w).alias("l0"), F.max("label").over(w).alias("l1")]
+    short = lists.where(level < long_from).select("*", *labels, near.alias("near")).where("near")
     long = materialize(lists.where(level >= long_from))
     counts = materialize(long.groupBy("token").agg(*of).where("l0 <> l1").select("token", "m"))
     columns = ["token", "m", "spot", "node", "label"]
     return materialize(short.where("l0 <> l1").select(columns).unionByName(join_hot(long, counts, "token").select(columns)))
 
 
-def _candidates(nodes: DataFrame, t: int, block: int = LIST_BLOCK, most: int = 1 << 60) -> DataFrame:
-    """Pairs of nodes of different labels that share an indexed shingle and pass the bounds of size, position and bitmap.
+def _still_mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of index lists that hold several labels after some have been joined."""
+    now = materialize(rows.select("token", "spot", "node").join(labels, "node"))
+    counts = now.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+    return materialize(join_hot(now, materialize(counts.select("token", "m")), "token").select("token", "m", "spot", "node", "label"))
+
+
+def _list_candidates(rows: DataFrame, bits: DataFrame, t: int, block: int, most: int) -> DataFrame:
+    """Pairs (a, b, more) of the lists' rows; ``bits`` has a bitmap for every node.
 
     A list longer than a block is cut: block i meets block j in a list of its own, in which the sets of
-    both stand. Nodes without a column ``bits`` are held to the other bounds only.
+    both stand.
     """
-    rows = _mixed_lists(nodes, block)
     parts = F.ceil(F.col("m") / block).cast("long")
     own = F.pmod(F.xxhash64("node"), parts)
     cut = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     met = (F.shiftleft(F.least("own", "other"), 21) + F.greatest("own", "other")).alias("blocks")
-    bits = F.col("bits") if "bits" in nodes.columns else F.lit(b"")
-    full = cut.select("token", met, "spot", "node", "label").join(nodes.select("node", bits.alias("bits")), "node")
+    full = cut.select("token", met, "spot", "node", "label").join(bits, "node")
     ordered = full.repartition("token", "blocks").sortWithinPartitions("token", "blocks", "spot")
     pairs = ordered.select("token", "blocks", "spot", "node", "label", "bits").mapInArrow(_list_pairs(t, most), "a bigint, b bigint, more boolean")
     # Two sets meet once in every list that they share.
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
-    return pairs if most < 1 << 60 else pairs.drop("more")
+    return materialize(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
+
+
+def _candidates(nodes: DataFrame, t: int, block: int = LIST_BLOCK) -> DataFrame:
+    """All pairs of nodes of different labels that share an indexed shingle and pass the bounds of size and position."""
+    rows = _mixed_lists(nodes, t, block)
+    return _list_candidates(rows, nodes.select("node", F.lit(b"").alias("bits")), t, block, 1 << 60).select("a", "b")
 
 
 def link_classes(
@@ -525,7 +550,7 @@ def link_classes(
     full = made.where("n > 0")
     # One node per distinct set, numbered as it is written: ids may repeat on different texts or be missing.
     sets = full.groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("small").alias("small")
     )
     nodes = materialize(sets.withColumn("node", F.monotonically_increasing_id()))
 
@@ -545,9 +570,17 @@ def link_classes(
             first = components(links)
     labelled = materialize(nodes.select("node", "digest", "doc_id").join(first, "node", "left").withColumn("label", F.coalesce("label", "node")))
 
+    bits = nodes.select("node", F.col("small").alias("bits"))
+    lists: list[DataFrame] = []
+
     def candidates(labelled: DataFrame, most: int) -> DataFrame:
-        indexed = nodes.select("node", "n", "prefix", "bits").join(labelled.select("node", "label"), "node")
-        return _candidates(materialize(indexed), t, most=most)
+        labels = labelled.select("node", "label")
+        if lists:
+            # Lists of one label stay so: later rounds look at what the round before has left.
+            lists.append(_still_mixed(lists[-1], labels))
+        else:
+            lists.append(_mixed_lists(materialize(nodes.select("node", "n", "prefix").join(labels, "node")), t, LIST_BLOCK))
+        return _list_candidates(lists[-1], bits, t, LIST_BLOCK, most)
 
     labelled = classes_by_rounds(labelled, candidates, lambda pairs: verified(pairs, nodes, documents, doc_id, text, k, t))
     return with_classes(made, labelled.select("label", "digest", "doc_id"), none)

@@ -17,6 +17,22 @@ _ALNUM = bytes(
 )
 
 
+# What worker processes keep between tasks. A worker outlives the stages of a pipeline, so a stage clears
+# what others have left before it fills its own.
+_KEPT: list[dict] = []
+
+
+def kept_by_worker(table: dict) -> dict:
+    _KEPT.append(table)
+    return table
+
+
+def clear_others(mine: dict | None = None) -> None:
+    for table in _KEPT:
+        if table is not mine:
+            table.clear()
+
+
 def alnum_words(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z) words of ASCII letters, digits and all non-ASCII code points."""
     return text.translate(_ALNUM).split()

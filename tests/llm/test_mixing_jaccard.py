@@ -278,3 +278,65 @@ def test_pipeline_of_an_empty_table(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+def clashing(spark, rows):
+    """(doc_id, text, source) rows with columns named like those that operators use themselves."""
+    extra = "_cell int, _dropped string, id int, row string, cell int, a int, b int, node int, label int, bits int, more boolean, takes int"
+    return spark.createDataFrame([(*r, 1, "x", 2, "r", 3, 4, 5, 6, 7, 8, True, 9) for r in rows], f"doc_id bigint, text string, source string, {extra}")
+
+
+def test_classes_beside_clashing_columns(spark, prose):
+    rows = [(i, t, s) for i, t, s in prose]
+    df = clashing(spark, rows).repartition(4)
+    want = plain_classes(plain_sets([(i, t) for i, t, _ in rows]))
+    kept = jaccard_join.one_of_each_class(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    twice = jaccard_join.one_of_each_class(df.unionByName(df))
+    assert twice.columns == df.columns and sorted(r.doc_id for r in twice.collect()) == sorted(set(want.values()))
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Nulls, repeated rows, a very long text and clashing columns go through all stages."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = [". ".join(" ".join(rng.choices(words, k=12)) for _ in range(n)) for n in (30, 40, 50, 1200)]
+    rows = [(1, texts[0], "a"), (1, texts[0], "a"), (None, texts[1], None), (None, None, "a"), (2, None, None), (3, "", "b"), (4, texts[2], "é"), (5, texts[3], "b"), (6, texts[0], "c")]
+    docs = clashing(spark, rows)
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        assert docs.columns == names, name
+    assert {r.text for r in docs.collect()} <= {*texts, None, ""}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() == docs.count()
+
+
+def test_pairs_that_leave_the_lists_grow_with_sets(spark, monkeypatch):
+    """A group of copies with words of their own: few of its pairs are compared on whole sets."""
+    rng = random.Random(1)
+    base = [f"w{rng.randint(0, 3000)}" for _ in range(200)]
+    rows = []
+    for i in range(250):
+        mine = list(base)
+        for _ in range(rng.choice((1, 2, 3))):
+            mine[rng.randrange(200)] = f"u{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(mine)))
+    left = []
+    verified = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *args: left.append(pairs.count()) or verified(pairs, *args))
+    sets = plain_sets(rows)
+    want = plain_classes(sets)
+    assert classes_of(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)) == {i: (len(sets[i]), want[i]) for i in sets}
+    links = sum(100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for i in sets for j in range(i))
+    assert links > 20 * len(rows) and sum(left) < 12 * len(rows), (left, links)
+
+
+def test_best_pairs_of_rows():
+    i, j, worth = (np.array(v) for v in ((0, 0, 0, 1, 1), (1, 2, 3, 2, 3), (5, 9, 7, 2, 1)))
+    # As the first of a pair row 0 has its best in (0, 2) and row 1 in (1, 2), as the second row 3 in (0, 3).
+    assert jaccard_join.best_of_rows(i, j, worth, 1).tolist() == [True, True, True, True, False]
+    assert jaccard_join.best_of_rows(i, j, worth, 2).tolist() == [True] * 5
+    found = jaccard_join.PairRows(1)
+    found.add(i, j, worth)
+    out = found.batch(np.array([40, 30, 20, 10]))
+    assert out.to_pydict() == {"a": [10, 20, 20, 30], "b": [40, 30, 40, 40], "more": [True] * 4}
