@@ -9,43 +9,97 @@ from pyspark.sql import functions as F
 
 from floodgrid.operators.focal import dilate
 from floodgrid.operators.grid import Grid, from_rows
+from floodgrid.runtime import materialize
 
 # Cells of a strip: a task's arrays, whatever the width of the grid (a strip is one row at least).
 _STRIP_CELLS = 1 << 18
 _BLOCK = 4096
 
 
-def _nearest_in_row(gap: np.ndarray, width: int, cols: np.ndarray, dx: float) -> np.ndarray:
-    """min over j of gap[:, j]^2 + (dx (i - cols[j]))^2 for every column i and every row.
+def _nearest(gap: np.ndarray, cols: np.ndarray, at: np.ndarray, dx: float) -> tuple[np.ndarray, np.ndarray]:
+    """min over j of gap[:, j]^2 + (dx (at[i] - cols[j]))^2 for every row and ascending position, and its first j.
 
-    The best j never moves left as i grows, so positions are solved coarse to fine and each
-    searches only between the answers of its neighbours: O(width log width) per row.
+    The best j never moves left as the position grows, so positions are solved coarse to fine and
+    each searches only between the answers of its neighbours: O(n log n) per row.
     """
-    rows = gap.shape[0]
+    rows, count = gap.shape[0], len(at)
     g2 = gap**2
-    best = np.full((rows, width), np.inf)
-    arg = np.zeros((rows, width + 2), dtype="int64")  # guard columns at both ends
+    best = np.full((rows, count), np.inf)
+    arg = np.zeros((rows, count + 2), dtype="int64")  # guards at both ends
     arg[:, -1] = len(cols) - 1
-    step = 1 << max(width - 1, 1).bit_length()
+    step = 1 << max(count - 1, 1).bit_length()
     while step >= 1:
-        pos = np.arange(step - 1, width, 2 * step)
+        pos = np.arange(step - 1, count, 2 * step)
         if len(pos):
             left = np.maximum(pos - step, -1) + 1
-            right = np.minimum(pos + step, width) + 1
+            right = np.minimum(pos + step, count) + 1
             lo, hi = arg[:, left].ravel(), arg[:, right].ravel()
             size = hi - lo + 1
             start = np.concatenate(([0], np.cumsum(size)[:-1]))
             seg = np.repeat(np.arange(len(size)), size)
             j = np.arange(len(seg)) - start[seg] + lo[seg]
-            r, p = seg // len(pos), pos[seg % len(pos)]
+            r, p = seg // len(pos), at[pos[seg % len(pos)]]
             cost = g2[r, j] + (dx * (p - cols[j])) ** 2
             low = np.minimum.reduceat(cost, start)
-            at = np.flatnonzero(cost == low[seg])
-            _, first = np.unique(seg[at], return_index=True)
+            hit = np.flatnonzero(cost == low[seg])
+            _, first = np.unique(seg[hit], return_index=True)
             best[:, pos] = low.reshape(rows, -1)
-            arg[:, pos + 1] = j[at[first]].reshape(rows, -1)
+            arg[:, pos + 1] = j[hit[first]].reshape(rows, -1)
         step //= 2
-    return np.sqrt(best)
+    return best, arg[:, 1:-1]
+
+
+def _gap_matrix(pdf: pd.DataFrame, dy: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and their gaps in map units, infinite where the frame has no cell."""
+    rows, r = np.unique(pdf["row"].to_numpy(), return_inverse=True)
+    cols, c = np.unique(pdf["col"].to_numpy(), return_inverse=True)
+    gap = np.full((len(rows), len(cols)), np.inf)
+    gap[r, c] = pdf["gap"].to_numpy() * dy
+    return rows, cols, gap
+
+
+def _row_envelopes(gaps: DataFrame, grid: Grid, keys: list[str], fields: list[str], block: int) -> DataFrame:
+    """(keys, row, col, dist) from the gaps of each column, for rows of any length: no task holds a row.
+
+    Every block of columns answers the borders of all blocks. The best column of a row never moves left
+    from border to border, so the cells of a block need only the columns between the answers at its two
+    borders: a column goes to one block, or to all blocks whose border it wins. Long stretches of
+    such columns are looked at block by block and the least is kept.
+    """
+    dx, dy, width = abs(grid.res_x), abs(grid.res_y), grid.width
+    last = (width - 1) // block
+    borders = np.minimum(np.arange(last + 2) * block, width - 1)
+    cells = materialize(gaps.withColumn("src", F.floor(F.col("col") / block).cast("int")))
+
+    def keyed(out: pd.DataFrame, pdf: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, *names]]
+
+    def at_borders(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, cols, gap = _gap_matrix(pdf, dy)
+        sq, j = _nearest(gap, cols, borders, dx)
+        n = len(borders)
+        out = {"row": np.repeat(rows, n), "p": np.tile(np.arange(n), len(rows)), "sq": sq.ravel(), "best": cols[j].ravel()}
+        return keyed(pd.DataFrame(out), pdf, ["row", "p", "sq", "best"])
+
+    def in_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, cols, gap = _gap_matrix(pdf, dy)
+        first = int(pdf["p"].iloc[0]) * block
+        at = np.arange(first, min(first + block, width))
+        sq, _ = _nearest(gap, cols, at, dx)
+        out = {"row": np.repeat(rows, len(at)), "col": np.tile(at, len(rows)), "sq": sq.ravel()}
+        return keyed(pd.DataFrame(out), pdf, ["row", "col", "sq"])
+
+    answers = cells.groupBy(*keys, "strip", "src").applyInPandas(at_borders, ", ".join([*fields, "row int, p int, sq double, best int"]))
+    won = answers.groupBy(*keys, "row", "p").agg(F.min(F.struct("sq", "best"))["best"].alias("lo"))
+    ahead = Window.partitionBy(*keys, "row").orderBy("p")
+    spans = won.withColumn("hi", F.lead("lo").over(ahead)).where("hi is not null")
+    of = lambda c: F.floor(F.col(c) / block).cast("int")
+    spans = spans.withColumn("src", F.explode(F.sequence(of("lo"), of("hi"))))
+    sent = cells.join(spans, [*keys, "row", "src"]).where(F.col("col").between(F.col("lo"), F.col("hi")))
+    found = sent.groupBy(*keys, "strip", "p", "src").applyInPandas(in_block, ", ".join([*fields, "row int, col int, sq double"]))
+    return found.groupBy(*keys, "row", "col").agg(F.sqrt(F.min("sq")).alias("dist"))
 
 
 def distance_to(
@@ -53,17 +107,19 @@ def distance_to(
     grid: Grid,
     key: str | None = None,
     key_values: list | None = None,
+    block_cols: int = _STRIP_CELLS,
 ) -> DataFrame:
     """(key?, row, col, dist) for every grid cell; no row where the mask of the key is empty.
 
     Columns first (nearest mask row above and below, by windows), then rows (lower envelope,
     strips of rows as Arrow batches). A group is a block of one column or a strip of rows, so
-    narrow, tall grids are spread as well as square ones.
+    narrow, tall grids are spread as well as square ones. Rows of more than ``block_cols`` columns
+    are solved in blocks of columns (``_row_envelopes``), with the same result.
     """
     keys = [key] if key else []
     dx, dy = abs(grid.res_x), abs(grid.res_y)
     spark = mask.sparkSession
-    strip = max(1, min(32, _STRIP_CELLS // max(grid.width, 1)))
+    strip = max(1, min(32, _STRIP_CELLS // max(min(grid.width, block_cols), 1)))
     base = from_rows(spark, grid)
     if key:
         kind = mask.schema[key].dataType
@@ -106,34 +162,28 @@ def distance_to(
         .withColumn("strip", F.floor(F.col("row") / strip).cast("int"))
     )
     width = grid.width
+    fields = [f"{key} {mask.schema[key].dataType.simpleString()}"] if key else []
+    if width > block_cols:
+        return _row_envelopes(gaps, grid, keys, fields, block_cols)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, r = np.unique(pdf["row"].to_numpy(), return_inverse=True)
-        cols, c = np.unique(pdf["col"].to_numpy(), return_inverse=True)
-        gap = np.full((len(rows), len(cols)), np.inf)
-        gap[r, c] = pdf["gap"].to_numpy() * dy
-        d = _nearest_in_row(gap, width, cols, dx)
-        out = pd.DataFrame(
-            {
-                "row": np.repeat(rows, width).astype("int32"),
-                "col": np.tile(np.arange(width, dtype="int32"), len(rows)),
-                "dist": d.ravel(),
-            }
-        )
+        rows, cols, gap = _gap_matrix(pdf, dy)
+        at = np.arange(width, dtype="int32")
+        sq, _ = _nearest(gap, cols, at, dx)
+        out = pd.DataFrame({"row": np.repeat(rows, width).astype("int32"), "col": np.tile(at, len(rows)), "dist": np.sqrt(sq).ravel()})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "row", "col", "dist"]]
 
-    fields = [f"{key} {mask.schema[key].dataType.simpleString()}"] if key else []
-    schema = ", ".join([*fields, "row int", "col int", "dist double"])
+    schema = ", ".join([*fields, "row int, col int, dist double"])
     return gaps.groupBy(*keys, "strip").applyInPandas(run, schema)
 
 
-def distance_inside(mask: DataFrame, grid: Grid) -> DataFrame:
+def distance_inside(mask: DataFrame, grid: Grid, block_cols: int = _STRIP_CELLS) -> DataFrame:
     """For mask cells: distance to the nearest cell outside (the grid border is not outside)."""
     m = mask.select("row", "col").distinct()
     outside = from_rows(mask.sparkSession, grid).join(m, ["row", "col"], "left_anti")
-    return distance_to(outside, grid).join(m, ["row", "col"], "left_semi")
+    return distance_to(outside, grid, block_cols=block_cols).join(m, ["row", "col"], "left_semi")
 
 
 def _row_gaps(queries: DataFrame, targets: DataFrame, rows: int, cols: int, keys: list[str]) -> DataFrame:

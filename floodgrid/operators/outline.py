@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodgrid.operators.grid import Grid, cell_id
-from floodgrid.operators.tilegraph import forest_sums
+from floodgrid.operators.tilegraph import TILE, forest_sums, label_components
 from floodgrid.runtime import materialize
 
 # Sides of a cell in turning order: step to the neighbour, start and end corner (column, row offsets).
@@ -93,3 +93,30 @@ def polygons(rings: DataFrame, grid: Grid) -> DataFrame:
     y = grid.origin_y + F.col("r") * grid.res_y
     pts = F.sort_array(F.collect_list(F.struct("seq", x.alias("x"), y.alias("y"))))
     return rings.where("corner").groupBy("label", "ring").agg(F.transform(pts, lambda p: F.array(p["x"], p["y"])).alias("vertices"))
+
+
+# Edges of a ring that one row of ``polygon_pieces`` stands for.
+PIECE = 4096
+
+
+def polygon_pieces(labelled: DataFrame, grid: Grid, piece: int = PIECE, tile: int = TILE) -> DataFrame:
+    """(label, part, ring, hole, shell, piece, vertices): the polygons of a mask, long rings in several rows.
+
+    A part is a 4-connected stretch of a label, which has one shell and any number of holes. A ring is
+    named by its smallest edge; that of the shell is the upper side of the part's smallest cell, so
+    a hole's shell follows from the part that its edges belong to. ``vertices`` are the corners in map
+    units on ``piece`` edges of the ring; pieces in order give the ring, without the first corner again. A
+    piece of a long straight side may have no row. Cells of different labels must not touch.
+    """
+    rings = materialize(outline_rings(labelled, grid))
+    parts = label_components(labelled, grid, tile=tile, diagonal=False).select(cell_id(grid).alias("_cell"), F.col("label").alias("part"))
+    cell = F.floor(F.col("ring") / 4)
+    named = rings.where("seq = 1").select("ring", cell.alias("_cell")).join(parts, "_cell")
+    shell = F.col("part") * 4
+    named = named.select("ring", "part", (F.col("ring") != shell).alias("hole"), shell.alias("shell"))
+    x = grid.origin_x + F.col("c") * grid.res_x
+    y = grid.origin_y + F.col("r") * grid.res_y
+    pts = F.sort_array(F.collect_list(F.struct("seq", x.alias("x"), y.alias("y"))))
+    cut = F.floor((F.col("seq") - 1) / piece).cast("int").alias("piece")
+    pieces = rings.where("corner").groupBy("label", "ring", cut).agg(F.transform(pts, lambda p: F.array(p["x"], p["y"])).alias("vertices"))
+    return pieces.join(named, "ring").select("label", "part", "ring", "hole", "shell", "piece", "vertices")

@@ -295,7 +295,7 @@ def accumulate(cells: DataFrame, grid: Grid, tile: int = TILE) -> DataFrame:
     )
 
 
-def _label_tile(keys: list[str], width: int):
+def _label_tile(keys: list[str], width: int, diagonal: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["row"].to_numpy("int64"), pdf["col"].to_numpy("int64")
         r0, c0 = r.min(), c.min()
@@ -305,7 +305,7 @@ def _label_tile(keys: list[str], width: int):
         big = size
         lab = np.full(size + 1, big, dtype="int64")
         lab[pos] = pos
-        around = [dr * (w + 2) + dc for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
+        around = [dr * (w + 2) + dc for dr in (-1, 0, 1) for dc in (-1, 0, 1) if diagonal or not (dr and dc)]
         while True:
             low = np.min([lab[pos + d] for d in around], axis=0)
             new = lab.copy()
@@ -325,9 +325,9 @@ def _label_tile(keys: list[str], width: int):
 
 
 def label_components(
-    mask: DataFrame, grid: Grid, keys: Iterable[str] = (), tile: int = TILE, with_piece: bool = False
+    mask: DataFrame, grid: Grid, keys: Iterable[str] = (), tile: int = TILE, with_piece: bool = False, diagonal: bool = True
 ) -> DataFrame:
-    """8-connected components per key; ``label`` is the smallest cell id of the component.
+    """8-connected components per key, 4-connected without ``diagonal``; ``label`` is the smallest cell id of the component.
 
     ``with_piece`` keeps the label inside the tile too: a key of at most tile x tile cells for
     joins that a giant component would make lopsided.
@@ -340,12 +340,11 @@ def label_components(
         .distinct()
         .withColumns({"trow": tile_keys(tile)[0], "tcol": tile_keys(tile)[1]})
         .groupBy(*keys, "trow", "tcol")
-        .applyInPandas(_label_tile(keys, grid.width), schema)
+        .applyInPandas(_label_tile(keys, grid.width, diagonal), schema)
     )
     border = local.where(on_tile_border(tile))
-    steps = F.array(
-        *[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))]
-    )
+    ways = ((0, 1), (1, -1), (1, 0), (1, 1)) if diagonal else ((0, 1), (1, 0))
+    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ways])
     asks = border.select(*keys, "row", "col", F.col("label").alias("a"), F.explode(steps).alias("s")).select(
         *keys,
         F.expr(f"floor(row / {tile}) as r0"),

@@ -6,7 +6,7 @@ Each has the SQL of the query that uses the default tile.
 from __future__ import annotations
 
 from floodgrid.functions.rounding import rounded
-from floodgrid.operators import conditioning, hydro
+from floodgrid.operators import conditioning, distance, hydro
 from floodgrid.operators.tilegraph import label_components
 from floodgrid.queries import fixtures as fx
 from floodgrid.queries.flow_queries import _seeds
@@ -44,3 +44,13 @@ def connected_components_small_tiles(spark, sf):
 @query(ORACLES["depression_filling"])
 def depression_filling_small_tiles(spark, sf):
     return rounded(conditioning.fill_depressions(fx.dem(spark, sf), fx.grid(spark, sf), TILE))
+
+
+@query(ORACLES["distance_to_rivers"])
+def distance_to_rivers_small_blocks(spark, sf):
+    return rounded(distance.distance_to(fx.river_cells(spark, sf), fx.grid(spark, sf), block_cols=TILE))
+
+
+@query(ORACLES["distance_inside_basin"])
+def distance_inside_basin_small_blocks(spark, sf):
+    return rounded(distance.distance_inside(fx.basin(spark, sf), fx.grid(spark, sf), block_cols=TILE))

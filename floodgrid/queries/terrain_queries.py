@@ -113,6 +113,36 @@ def mask_outlines(spark, sf):
     return outline.ring_measures(rings).select("label", "area", "perimeter")
 
 
+PARTS4 = {
+    "adj4": """SELECT a.id AS a, b.id AS b FROM m a, (VALUES (-1,0),(0,-1),(0,1),(1,0)) s(dr,dc)
+        JOIN m b ON b.row=a.row+s.dr AND b.col=a.col+s.dc""",
+    "reach4": "SELECT id AS src, id AS node FROM m UNION SELECT r.src, adj4.b FROM reach4 r JOIN adj4 ON adj4.a=r.node",
+    "part": "SELECT node AS id, min(src) AS part FROM reach4 GROUP BY node",
+    "cnr": """SELECT part.part, m.row+dr AS r, m.col+dc AS c, count(*) AS n, count(*)=2 AND sum(dr)=1 AND sum(dc)=1 AS cross_
+        FROM m JOIN part ON part.id=m.id, (VALUES (0,0),(0,1),(1,0),(1,1)) s(dr,dc) GROUP BY 1,2,3""",
+    "turns": "SELECT part, r, c, CASE WHEN cross_ THEN 2 WHEN n IN (1,3) THEN 1 END AS times, CASE WHEN cross_ THEN -2 WHEN n=1 THEN -1 WHEN n=3 THEN 1 END AS bend FROM cnr WHERE cross_ OR n IN (1,3)",
+}
+
+
+@query(sql("SELECT part, c*1e0 AS x, r*1e0 AS y, times FROM turns", **LABELS, **PARTS4))
+def mask_polygon_vertices(spark, sf):
+    """Corners of the polygons of the observed cells; where a part touches itself the corner counts twice."""
+    g = fx.grid(spark, sf)
+    pieces = outline.polygon_pieces(fx.materialize(label_components(fx.observed(spark, sf), g)), g, piece=8, tile=16)
+    v = pieces.select("part", F.explode("vertices").alias("v")).groupBy("part", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
+    return v.agg(F.count("*").cast("int").alias("times"))
+
+
+@query(sql("""SELECT lab.label, t.part, t.part*4 AS shell, CAST(1 + sum(bend)/4 AS BIGINT) AS holes, CAST(sum(times) AS BIGINT) AS vertices
+    FROM turns t JOIN lab ON lab.id=t.part GROUP BY 1,2""", **LABELS, **PARTS4))
+def mask_polygon_holes(spark, sf):
+    """Polygons of the observed cells with the number of holes that belong to each shell."""
+    g = fx.grid(spark, sf)
+    pieces = outline.polygon_pieces(fx.materialize(label_components(fx.observed(spark, sf), g)), g)
+    holes = F.count_distinct(F.when(F.col("hole"), F.col("ring"))).alias("holes")
+    return pieces.groupBy("label", "part", "shell").agg(holes, F.sum(F.size("vertices")).alias("vertices"))
+
+
 RES = {
     "tg": "SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, (c+5e-1)*7e-1 AS x, (r+5e-1)*7e-1 AS y FROM (SELECT unnest(range(CAST(floor(h/7e-1) AS BIGINT))) AS r FROM h) a, (SELECT unnest(range(142)) AS c) b",
     "sv": "SELECT * FROM gn WHERE z <> -9999",

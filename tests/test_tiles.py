@@ -118,6 +118,27 @@ def test_distance_is_exact_and_anisotropic(spark, monkeypatch, block):
         assert r.dist == pytest.approx(want)
 
 
+@pytest.mark.parametrize("block", [1, 7, 16])
+@pytest.mark.parametrize("share", [0.002, 0.05])
+def test_distance_by_column_blocks_equals_whole_rows(spark, block, share):
+    rng = np.random.default_rng(block)
+    g = Grid(W, H, res_x=2.5, res_y=-1.5)
+    cells = [(k, int(r), int(c)) for k in (3, 4) for r, c in zip(*np.nonzero(rng.random((H, W)) < share))] + [(3, 1, W - 1)]
+    mask = spark.createDataFrame(cells, "k int, row int, col int")
+    want = {(r.k, r.row, r.col): r.dist for r in distance.distance_to(mask, g, "k", [3, 4]).collect()}
+    got = distance.distance_to(mask, g, "k", [3, 4], block_cols=block).collect()
+    assert len(got) == len(want)
+    assert all(r.dist == want[r.k, r.row, r.col] for r in got)
+
+
+def test_distance_on_a_long_row_keeps_tasks_small(spark):
+    n = 300_000
+    mask = spark.createDataFrame([(0, 5), (1, n - 1)], "row int, col int")
+    got = distance.distance_to(mask, Grid(n, 2), block_cols=1 << 14)
+    far = got.agg(F.count("*").alias("n"), F.max("dist").alias("d"), F.sum(F.abs(F.col("dist") - F.least(F.hypot("row", F.col("col") - 5), F.hypot(1 - F.col("row"), n - 1 - F.col("col"))))).alias("e")).first()
+    assert far.n == 2 * n and far.e < 1e-6 and 149_000 < far.d < 151_000
+
+
 def test_distance_to_nothing_has_no_rows(spark):
     assert distance.distance_to(spark.createDataFrame([], "row int, col int"), G).count() == 0
 
@@ -167,3 +188,27 @@ def test_outlines_keep_area_and_holes(spark):
     assert got == {0: (2, 1, 24.0, 24), 1: (2, 0, 2.0, 8)}
     corners = {(r.label, r.ring): len(r.vertices) for r in outline.polygons(rings, G).collect()}
     assert sorted(corners.values()) == [4, 4, 4, 4]
+
+
+def test_polygon_pieces_give_holes_to_their_shells(spark):
+    """An island within a hole, two parts around a gap that meet by corners, a hole open to the outside by a corner."""
+    art = ["#######..##", "#.....#.#.#", "#.###.#.##.", "#.#.#.#....", "#.###.#.##.", "#.....#.##.", "#######...#", "...........", "###........", "#.#........", "##........."]
+    cells = [(r, c) for r, line in enumerate(art) for c, x in enumerate(line) if x == "#"]
+    g = Grid(11, 11)
+    mask = label_components(spark.createDataFrame(cells, "row int, col int"), g)
+    rows = outline.polygon_pieces(mask, g, piece=3, tile=4).collect()
+    rings = {}
+    for r in sorted(rows, key=lambda r: (r.ring, r.piece)):
+        rings.setdefault((r.part, r.ring, r.hole, r.shell), []).extend(tuple(v) for v in r.vertices)
+
+    def area(v):
+        return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(v, v[1:] + v[:1])) / 2
+
+    parts = {}
+    for (part, ring, hole, shell), v in rings.items():
+        assert (area(v) < 0) == hole and (ring == shell) != hole
+        assert all((a[0] == b[0]) != (a[1] == b[1]) for a, b in zip(v, v[1:] + v[:1]))
+        parts.setdefault(part, []).append((hole, abs(area(v))))
+    want = {0: [(False, 49.0), (True, 25.0)], 9: [(False, 3.0)], 19: [(False, 3.0)], 24: [(False, 9.0), (True, 1.0)], 52: [(False, 4.0)], 76: [(False, 1.0)], 88: [(False, 7.0)]}
+    assert {p: sorted(v) for p, v in parts.items()} == want
+    assert all(len(r.vertices) <= 3 for r in rows)
