@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from floodgrid.runtime import materialize
+
 _GEOJSON_DEPTH = {
     "Point": "array<double>",
     "LineString": "array<array<double>>",
@@ -60,6 +64,76 @@ def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     return parse_features(docs, "text", ["path"]).drop("feature_id")
 
 
+def _running(chunks: DataFrame, of: Callable[[Column], Column], values: list[str]) -> DataFrame:
+    """``values`` replaced by their running sum or maximum along each file; null where nothing came yet.
+
+    Blocks of a file run by themselves; what comes before a block follows from one row per block.
+    """
+    inside = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = chunks.groupBy("path", "block").agg(*[of(F.col(v)).alias(v) for v in values])
+    before = whole.select("path", "block", *[of(F.col(v)).over(ahead).alias(f"_{v}") for v in values])
+    both = chunks.withColumns({v: of(F.col(v)).over(inside) for v in values}).join(before, ["path", "block"])
+    put = (lambda a, b: F.greatest(a, b)) if of is F.max else (lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return both.withColumns({v: put(F.col(v), F.col(f"_{v}")) for v in values}).drop(*[f"_{v}" for v in values])
+
+
+def read_large_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """``read_geojson`` for files of any size: one collection is read by many tasks.
+
+    Spark splits the files and cuts them behind every closing brace. Running counts of quotes, braces
+    and brackets say where a piece stands in the document; pieces up to the brace that ends an element of
+    the root's ``features`` are put together and parsed, so a task holds single features. Files without such an array
+    (one feature, an empty collection) are parsed whole. Null elements have no number here. A file whose braces,
+    brackets or quotes do not pair gives one row with the issue ``broken document``; in others a
+    feature that is not JSON gives such a row in its place, beside the readable ones.
+    """
+    raw = spark.read.option("lineSep", "}").text(path)
+    order = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    chunks = materialize(raw.select(*order, "value"))
+    clean = F.regexp_replace("value", r"(?s)\\.", "")
+    count = lambda c, x: (F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("long")
+    quoted = chunks.withColumn("clean", clean).withColumn("own", count(F.col("clean"), '"')).withColumn("quotes", F.col("own"))
+    quoted = _running(quoted, F.sum, ["quotes"])
+    # Text outside of strings; a piece that starts within a string gets the quote it lacks.
+    opened = F.when((F.col("quotes") - F.col("own")) % 2 == 1, '"').otherwise("")
+    quoted = quoted.withColumn("bare", F.regexp_replace(F.concat(opened, "clean"), '"[^"]*("|$)', "")).withColumn("out", F.col("quotes") % 2 == 0)
+    braces = count(F.col("bare"), "{") - F.col("out").cast("long")
+    brackets = count(F.col("bare"), "[") - count(F.col("bare"), "]")
+    depth = quoted.withColumns({"db": braces, "dk": brackets}).withColumns({"braces": F.col("db"), "brackets": F.col("dk")})
+    depth = _running(depth, F.sum, ["braces", "brackets"])
+    was_brace, was_bracket = F.col("braces") - F.col("db"), F.col("brackets") - F.col("dk")
+    # Pieces in which a new array of the root begins; the latest one says whether elements are features.
+    begins = (was_brace <= 1) & (((was_bracket == 0) & (F.col("brackets") > 0)) | ((was_bracket == 1) & F.col("bare").rlike(r"^[^\[\]{}]*\]")))
+    named = F.col("clean").rlike(r'"features"\s*:\s*\[')
+    ends = F.col("out") & (F.col("braces") == 1) & (F.col("brackets") == 1)
+    marked = depth.withColumns({"begins": begins, "since": F.when(begins, F.struct("block", "at", named.alias("named"))), "ends": ends})
+    marked = _running(marked, F.max, ["since"]).withColumn("inside", F.coalesce("since.named", F.lit(False)))
+    marked = marked.withColumn("ends", F.col("ends") & F.col("inside")).withColumn("n", F.col("ends").cast("long"))
+    marked = _running(marked, F.sum, ["n"]).withColumn("n", F.col("n") - F.col("ends").cast("long"))
+    lead = F.when(F.col("begins"), F.regexp_replace("value", r'(?s)^.*?"features"\s*:\s*\[[\s,]*', "")).otherwise(F.col("value"))
+    pieces = materialize(marked.select("path", "block", "at", "n", "ends", "inside", F.struct("since.block", "since.at").alias("since"), "value", lead.alias("text"), "braces", "brackets", "out"))
+
+    last = F.max_by(F.struct("braces", "brackets", "out", (F.trim(F.regexp_replace("value", r"\s", "")) == "").alias("blank")), F.struct("block", "at"))
+    files = pieces.groupBy("path").agg(last.alias("l"), F.max("ends").alias("many"))
+    paired = F.col("l.out") & (F.col("l.brackets") == 0) & ((F.col("l.braces") == 0) | ((F.col("l.braces") == -1) & F.col("l.blank")))
+    extra = (F.col("l.braces") == -1).alias("extra")  # the file does not end with its last brace
+    files = materialize(files.select("path", "many", paired.alias("paired"), extra))
+
+    def put_together(of: DataFrame, keys: list[str], text: str) -> DataFrame:
+        parts = F.sort_array(F.collect_list(F.struct("block", "at", F.concat(text, F.lit("}")).alias("t"))))
+        return of.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"), F.max("ends").alias("ended"))
+
+    good = pieces.join(files.where("paired and many").select("path"), "path", "left_semi").where("inside")
+    parts = put_together(good, ["path", "since", "n"], "text").where("ended")
+    parts = parts.withColumn("text", F.regexp_replace("text", r"^(?:[\s,]|null\b)+", ""))
+    single = pieces.join(files.where("paired and not many").select("path", "extra"), "path")
+    single = put_together(single, ["path", "extra"], "value").withColumn("text", F.when(F.col("extra"), F.regexp_replace("text", r"\}$", "")).otherwise(F.col("text")))
+    found = parse_features(parts, "text", ["path", "n"]).withColumn("feature_id", F.col("n").cast("int")).drop("n")
+    broken = files.where("not paired").select("path", F.lit("broken document").alias("issue"))
+    return found.unionByName(parse_features(single, "text", ["path"])).unionByName(broken, allowMissingColumns=True)
+
+
 # --- ArcGIS JSON ---
 
 ESRI_KINDS = {"esriGeometryPoint": "Point", "esriGeometryPolyline": "Line", "esriGeometryPolygon": "Polygon"}

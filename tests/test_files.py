@@ -35,6 +35,33 @@ def test_geojson_file_and_lines(spark, tmp_path):
     assert [(r.kind, r.properties["id"]) for r in back] == [("Polygon", "1")]
 
 
+def test_large_collections_are_read_in_pieces_as_whole(spark, tmp_path):
+    odd = ["}{", '"features":[{', "\\\\", '\\"}', "]", "", "null", "a,b"]
+    feats = []
+    for i in range(400):
+        kind = [{"type": "Point", "coordinates": [i, 0.5]}, POLY, {"type": "GeometryCollection", "geometries": [POLY, {"type": "Point", "coordinates": [1, i]}]}, None][i % 4]
+        feats.append({"type": "Feature", "properties": {"n": odd[i % 8], "k": i, "deep": {"features": [{"x": {}}]}}, "geometry": kind})
+    body = {"meta": {"features": [{"type": "Point"}], "s": "}"}, "others": [{"a": {}}, {"b": 1}], "features": feats, "after": [{"type": "Feature", "geometry": POLY}], "z": {}}
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "compact.geojson").write_text(json.dumps({"type": "FeatureCollection", **body}))
+    (folder / "indented.geojson").write_text(json.dumps(body, indent=3) + "\n")
+    (folder / "no_tail.geojson").write_text('{"features":[' + ",\n".join(json.dumps(f) for f in feats[:9]) + "]}")
+    (folder / "single.geojson").write_text(json.dumps(feats[1]) + " \n")
+    (folder / "single_tight.geojson").write_text(json.dumps({"type": "Feature", "geometry": POLY, "properties": {"n": "t", "k": {}}}))
+    (folder / "none.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": []}))
+    (folder / "cut.geojson").write_text(json.dumps({"features": feats})[:5000])
+    (folder / "text.geojson").write_text("no json")
+    key = lambda r: (r.path.rsplit("/", 1)[1], r.feature_id, r.kind, json.dumps(r.properties), json.dumps(r.coords), r.issue)
+    want = sorted(map(key, features.read_geojson(spark, str(folder)).collect()), key=str)
+    for size in ("700", "5000", "64m"):
+        small = spark.newSession()
+        small.conf.set("spark.sql.files.maxPartitionBytes", size)
+        small.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = sorted(map(key, features.read_large_geojson(small, str(folder)).collect()), key=str)
+        assert got == want
+
+
 def test_wms_layers(spark, tmp_path):
     (tmp_path / "c.xml").write_text(
         '<w:C xmlns:w="http://w"><w:Layer><w:Title>Root</w:Title><w:Layer><w:Name>a</w:Name><w:Title>A</w:Title></w:Layer>'
