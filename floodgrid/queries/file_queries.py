@@ -51,13 +51,13 @@ def geojson_round_trip(spark, sf):
 
 
 @query("""SELECT CAST(o_orderkey // 10000 AS BIGINT) AS document, CAST(row_number() OVER (PARTITION BY o_orderkey // 10000 ORDER BY o_orderkey) - 1 AS INT) AS feature_id,
-    CAST(o_orderkey AS VARCHAR) AS id, o_clerk || '}' AS clerk, CAST(o_orderkey % 100 AS DOUBLE) AS x, CAST(o_orderkey // 100 AS DOUBLE) AS y FROM orders""")
+    CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority || '}' AS priority, CAST(o_orderkey % 100 AS DOUBLE) AS x, CAST(o_orderkey // 100 AS DOUBLE) AS y FROM orders""")
 def geojson_collection_pieces(spark, sf):
     """Orders as feature collections, one per 10,000 keys, written as one document a file and read in pieces."""
     path = _folder(spark)
     k = F.col("o_orderkey")
     point = F.struct(F.lit("Point").alias("type"), F.array((k % 100).cast("double"), F.floor(k / 100).cast("double")).alias("coordinates"))
-    properties = F.struct(k.alias("id"), F.concat("o_clerk", F.lit("}")).alias("clerk"))
+    properties = F.struct(k.alias("id"), F.concat("o_orderpriority", F.lit("}")).alias("priority"))
     feature = F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), point.alias("geometry")))
     rows = fx.table(spark, sf, "orders").select(F.floor(k / 10000).alias("document"), F.struct(k.alias("k"), feature.alias("f")).alias("e"))
     ordered = F.transform(F.sort_array(F.collect_list("e")), lambda e: e["f"])
@@ -66,7 +66,7 @@ def geojson_collection_pieces(spark, sf):
     back = features.read_large_geojson(spark, path)
     at, has = F.col("coords")[0][0][0], F.col("properties")
     document = F.regexp_extract("path", "document=([0-9]+)/", 1).cast("long")
-    return back.select(document.alias("document"), "feature_id", has["id"].alias("id"), has["clerk"].alias("clerk"), at[0].alias("x"), at[1].alias("y"))
+    return back.select(document.alias("document"), "feature_id", has["id"].alias("id"), has["priority"].alias("priority"), at[0].alias("x"), at[1].alias("y"))
 
 
 @query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, CAST(NULL AS VARCHAR) AS brand FROM customer UNION ALL SELECT p_partkey, p_name, NULL, p_brand FROM part")
